@@ -104,7 +104,7 @@ def read_footers(files: DataFrame, decode: bool = False) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, size in zip(batch["path"], batch["file_size"]):
-                yield pd.DataFrame(_footer_rows(path, int(size), decode), columns=_FOOTER_COLUMNS)
+                yield pd.DataFrame(footer_rows(path, int(size), decode), columns=_FOOTER_COLUMNS)
 
     return files.select("path", "file_size").repartition(tasks, "path").mapInPandas(scan, FOOTER_SCHEMA)
 
@@ -123,7 +123,7 @@ _FOOTER_COLUMNS = [
 ]
 
 
-def _footer_rows(path: str, size: int, decode: bool) -> list[tuple]:
+def footer_rows(path: str, size: int, decode: bool) -> list[tuple]:
     import pyarrow.parquet as pq
 
     starts = ends = False

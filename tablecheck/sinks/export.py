@@ -123,15 +123,15 @@ def json_array_lines(df: DataFrame) -> DataFrame:
     objects = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
     def bracket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead = "[\n"
+        yield pd.DataFrame({"value": ["["]})
+        first = True
         for batch in batches:
-            if len(batch):
-                text = batch["value"].copy()
-                text.iloc[1:] = ",\n" + text.iloc[1:]
-                text.iloc[0] = lead + text.iloc[0]
-                lead = ",\n"
-                yield pd.DataFrame({"value": text})
-        yield pd.DataFrame({"value": ["[\n]\n" if lead == "[\n" else "\n]\n"]})
+            text = "," + batch["value"]
+            if first and len(text):
+                text.iloc[0] = batch["value"].iloc[0]
+                first = False
+            yield pd.DataFrame({"value": text})
+        yield pd.DataFrame({"value": ["]"]})
 
     return objects.mapInPandas(bracket, "value string")
 
@@ -160,7 +160,7 @@ def export_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "
         writer = rows.write.mode(mode).option("header", True).option("sep", DELIMITERS[fmt])
         writer.option("escape", '"').csv(path)
     elif fmt == "json":
-        json_array_lines(rows).write.mode(mode).option("lineSep", "").text(path)
+        json_array_lines(rows).write.mode(mode).text(path)
     elif fmt in ("jsonl", "ndjson"):
         rows.write.mode(mode).option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":

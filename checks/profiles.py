@@ -27,7 +27,7 @@ from .common import (
 
 def _rounded(df):
     return df.select(
-        *[F.round(c, 4).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes]
+        *[F.round(c, 4).alias(c) if t == "double" and not c.endswith("_ratio") else F.col(f"`{c}`") for c, t in df.dtypes]
     )
 
 
@@ -129,7 +129,7 @@ def long_form(source: str, columns: list[str]) -> str:
     }
     case = " ".join(f"WHEN t = '{k}' THEN '{v}'" for k, v in kinds.items())
     parts = [
-        f"SELECT {i} AS pos, '{c}' AS \"column\", typeof({c}) AS t, nullif(CAST({c} AS VARCHAR), '') AS v FROM ({source})"
+        f"SELECT {i} AS pos, '{c}' AS \"column\", typeof({c}) AS t, nullif(regexp_replace(CAST({c} AS VARCHAR), '^-0\\.0$', '0.0'), '') AS v FROM ({source})"
         for i, c in enumerate(columns)
     ]
     return f"SELECT pos, \"column\", v, CASE {case} ELSE 'numeric' END AS kind FROM ({union_all(parts)})"
@@ -156,8 +156,8 @@ def counts(source: str, columns: list[str]) -> str:
 
 
 def _columns_twin(source: str, columns: list[str]) -> str:
-    return f"""SELECT "column", row_count, present_count, missing_count, round(missing_ratio, 4) AS missing_ratio, distinct_count,
-                      round(distinct_ratio, 4) AS distinct_ratio, numeric_count, round(numeric_mean, 4) AS numeric_mean,
+    return f"""SELECT "column", row_count, present_count, missing_count, missing_ratio, distinct_count,
+                      distinct_ratio, numeric_count, round(numeric_mean, 4) AS numeric_mean,
                       numeric_min, numeric_max FROM ({counts(source, columns)})"""
 
 
@@ -234,8 +234,9 @@ def quality_twin(source: str, columns: dict[str, str]) -> str:
         text, ranged = family == "text", family in ("numeric", "temporal")
         empty = f"count(*) FILTER (WHERE {c} = '')" if text else "CAST(NULL AS BIGINT)"
         words = f"count(*) FILTER (WHERE lower(trim({c})) IN ('unknown', 'n/a', 'na', 'null', 'none', '0'))" if text else "CAST(NULL AS BIGINT)"
-        low = f"CAST(min({c}) AS VARCHAR)" if ranged else "CAST(NULL AS VARCHAR)"
-        high = f"CAST(max({c}) AS VARCHAR)" if ranged else "CAST(NULL AS VARCHAR)"
+        shift = " + 0" if family == "numeric" else ""
+        low = f"CAST(min({c}){shift} AS VARCHAR)" if ranged else "CAST(NULL AS VARCHAR)"
+        high = f"CAST(max({c}){shift} AS VARCHAR)" if ranged else "CAST(NULL AS VARCHAR)"
         zero = f"min({c}) = 0 AND max({c}) = 0" if family == "numeric" else "false"
         outside = (lambda v: f"{v} < '1900-01-01' OR {v} > '2200-01-01'") if family == "temporal" else (lambda v: "false")
         parts.append(

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tablecheck.operators import asof, query, schema
+from tablecheck.sources.tables import read_table
 
 from .common import CHECK_DIR, DATE, MIXED_COLUMNS, MIXED_TWIN, NUMBER, file_name, load, mixed_events, sql, union_all
 
@@ -57,7 +58,7 @@ SHARED = {
     ),
     "g_rollup": (
         "lineitem",
-        """SELECT l_returnflag, l_linestatus, grouping(l_linestatus) AS is_total, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
+        """SELECT l_returnflag, l_linestatus, CAST(grouping(l_linestatus) AS INT) AS is_total, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
            FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
         None,
     ),
@@ -118,9 +119,10 @@ SHARED = {
     ),
     "g_setops": (
         "customer supplier nation",
-        """(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)
-           UNION ALL (SELECT n_nationkey FROM nation INTERSECT SELECT s_nationkey FROM supplier)
-           UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < 0)""",
+        """WITH anywhere AS (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier),
+                supplied AS (SELECT n_nationkey AS k FROM nation INTERSECT SELECT s_nationkey FROM supplier),
+                solvent AS (SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < 0)
+           SELECT k FROM anywhere UNION ALL SELECT k FROM supplied UNION ALL SELECT k FROM solvent""",
         None,
     ),
     "g_string": (
@@ -138,16 +140,18 @@ SHARED = {
     ),
     "g_date": (
         "events",
+        """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, count(*) AS n, CAST(min(extract(minute FROM ts)) AS BIGINT) AS first_minute,
+                  max(CAST(ts AS DATE)) AS day, max(ts + INTERVAL '1' DAY) AS next_day
+           FROM events GROUP BY date_trunc('hour', ts)""",
         """SELECT date_trunc('hour', ts) AS hour, count(*) AS n, CAST(min(extract(minute FROM ts)) AS BIGINT) AS first_minute,
                   max(CAST(ts AS DATE)) AS day, max(ts + INTERVAL '1' DAY) AS next_day
            FROM events GROUP BY date_trunc('hour', ts)""",
-        None,
     ),
     "g_math": (
         "lineitem",
         """SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_quantity), 6) AS root, CAST(floor(l_extendedprice) AS BIGINT) AS low,
                   CAST(ceil(l_extendedprice) AS BIGINT) AS high, round(ln(l_quantity + 1), 6) AS log, abs(l_tax - l_discount) AS gap,
-                  l_orderkey % 10 AS digit, round(power(l_quantity, 2), 2) AS square, greatest(l_tax, l_discount) AS larger
+                  l_orderkey % 10 AS digit, round(power(l_quantity, 2), 2) AS square, greatest(l_tax, l_discount) + 0.0 AS larger
            FROM lineitem""",
         None,
     ),
@@ -209,8 +213,6 @@ def _shared(name, spark, sf_dir):
 
 
 def scan_parquet(spark, sf_dir):
-    from tablecheck.sources.tables import read_table
-
     return read_table(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_extendedprice").filter("l_quantity > 25")
 
 
@@ -299,9 +301,9 @@ def _sort_twin(direction: str) -> str:
     return f"""
     WITH src AS ({MIXED_TWIN}),
     keyed AS (SELECT *, CASE WHEN regexp_matches(mixed, '{NUMBER}') THEN TRY_CAST(mixed AS DOUBLE) END AS number,
-                     CASE WHEN regexp_matches(mixed, '{DATE}') THEN TRY_CAST(mixed AS TIMESTAMP) END AS at FROM src),
-    ranked AS (SELECT *, CASE WHEN mixed IS NULL THEN 3 WHEN number IS NOT NULL THEN 0 WHEN at IS NOT NULL THEN 1 ELSE 2 END AS rank,
-                      CASE WHEN number IS NULL THEN at END AS moment FROM keyed)
+                     CASE WHEN regexp_matches(mixed, '{DATE}') THEN TRY_CAST(mixed AS TIMESTAMP) END AS stamp FROM src),
+    ranked AS (SELECT *, CASE WHEN mixed IS NULL THEN 3 WHEN number IS NOT NULL THEN 0 WHEN stamp IS NOT NULL THEN 1 ELSE 2 END AS rank,
+                      CASE WHEN number IS NULL THEN stamp END AS moment FROM keyed)
     SELECT row_number() OVER (ORDER BY {keys}, {ties}) - 1 AS position, {', '.join(MIXED_COLUMNS)}
     FROM (SELECT *, CASE WHEN rank = 2 THEN mixed END AS words FROM ranked)"""
 

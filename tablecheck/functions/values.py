@@ -27,7 +27,12 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
         return F.to_json(value)
     if isinstance(dtype, T.BinaryType):
         return F.base64(value)
-    return value.cast("string")
+    return plain_zero(value, dtype).cast("string")
+
+
+def plain_zero(value: Column, dtype: T.DataType) -> Column:
+    """0.0 for -0.0, which is the same number but another text."""
+    return value + F.lit(0).cast(dtype) if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
 
 
 def present(text: Column) -> Column:
@@ -44,7 +49,7 @@ def as_number(text: Column) -> Column:
 def number_of(value: Column, dtype: T.DataType) -> Column:
     """Double of a numeric or numeric-looking value; null otherwise."""
     if ty.is_numeric(dtype):
-        number = value.cast("double")
+        number = plain_zero(value, dtype).cast("double")
         return F.when(F.abs(number) < float("inf"), number)
     if ty.is_text(dtype):
         return as_number(value)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, values
 from ..functions import types as ty
 from ..plans.ordering import Key, with_row_index
+from ..plans.small import small_frame
 
 # Row states and how many rows a preview shows.
 MISSING_IN_BASE = "missing_in_base"
@@ -41,8 +42,7 @@ def compare_metadata(base: DataFrame, other: DataFrame) -> DataFrame:
             precision, scale = getattr(f.dataType, "precision", None), getattr(f.dataType, "scale", None)
             kind = "nullable" if f.nullable else "required"
             rows.append((side, pos, f.name, f.dataType.simpleString(), kind, precision, scale, ty.signature(f.dataType)))
-    return base.sparkSession.createDataFrame(
-        rows,
+    return small_frame(base.sparkSession, rows,
         "side string, pos int, `column` string, data_type string, nullable_status string, "
         "decimal_precision int, decimal_scale int, type_signature string",
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..plans.files import footer_rows, file_system, list_files
+from ..plans.shipping import ship_package
 from ..sources.options import DELIMITERS, FORMATS, normalize_options
 from ..sources.workbooks import workbook_rows
 
@@ -203,6 +204,7 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
     kinds = {r.family for r in files.select("family").distinct().collect()}
     if not kinds:
         raise ValueError(f"No data files below {root!r}.")
+    ship_package(spark)
     tasks = 4 * spark.sparkContext.defaultParallelism
     seen = []
     direct = [k for k in kinds if k in ("parquet", "orc", "arrow", "feather")]

@@ -13,6 +13,7 @@ from ..functions import names, values
 from ..functions import types as ty
 from ..plans.aggregate import column_metrics, distinct_rows
 from ..plans.files import footers
+from ..plans.small import small_frame
 from ..plans.storage import checkpointed
 from .schema import parquet_schema
 
@@ -295,7 +296,8 @@ def _quality_metrics(name: str, dtype: T.DataType) -> dict[str, Column]:
         metrics["empty_string_count"] = F.count_if(value == "")
         metrics["suspicious_default_count"] = F.count_if(F.lower(F.trim(value)).isin(*DEFAULT_WORDS))
     elif ty.is_numeric(dtype) or ty.is_temporal(dtype):
-        metrics["min_value"], metrics["max_value"] = F.min(value).cast("string"), F.max(value).cast("string")
+        low, high = values.plain_zero(F.min(value), dtype), values.plain_zero(F.max(value), dtype)
+        metrics["min_value"], metrics["max_value"] = low.cast("string"), high.cast("string")
         if ty.is_numeric(dtype):
             metrics["zero_range"] = (F.min(value) == 0) & (F.max(value) == 0)
     return metrics
@@ -304,7 +306,7 @@ def _quality_metrics(name: str, dtype: T.DataType) -> dict[str, Column]:
 def data_quality(df: DataFrame) -> DataFrame:
     """Nulls, empty text, placeholder words, ranges: all columns in one pass."""
     rows = [(i, f.dataType.simpleString(), ty.is_temporal(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    declared = df.sparkSession.createDataFrame(rows, "pos int, data_type string, temporal boolean")
+    declared = small_frame(df.sparkSession, rows, "pos int, data_type string, temporal boolean")
     # One row per column of the schema.
     measured = column_metrics(df, _quality_metrics, _QUALITY).join(F.broadcast(declared), "pos")
     total = F.col("total_rows")
@@ -359,12 +361,19 @@ def catalog_check(relations: DataFrame, selected: str | None = None) -> DataFram
 
 
 def _as_issues(df: DataFrame, level: str, category: str, subject: Column) -> DataFrame:
-    """One row per finding; a single ``pass`` row when a check found nothing."""
+    """One row per finding of a check."""
     found = df.select(subject.alias("subject"), F.explode("issues").alias("message"))
-    rows = found.select(F.lit(level).alias("level"), F.lit(category).alias("category"), "subject", "message")
-    passed = df.agg(F.count_if(F.size("issues") > 0).alias("n"), F.count(F.lit(1)).alias("rows")).filter("n = 0")
-    nothing = passed.select(F.lit("pass").alias("level"), F.lit(category).alias("category"), F.lit("all").alias("subject"), F.lit("passed").alias("message"))
-    return rows.unionByName(nothing)
+    return found.select(F.lit(level).alias("level"), F.lit(category).alias("category"), "subject", "message")
+
+
+def _report(checks: dict[str, DataFrame]) -> DataFrame:
+    """Findings of all checks, and a ``pass`` row for each check without any.
+
+    The findings are stored first, so that each check runs once.
+    """
+    found = checkpointed(reduce(DataFrame.unionByName, checks.values()))
+    every = small_frame(found.sparkSession, [("pass", c, "all", "passed") for c in checks], "level string, category string, subject string, message string")
+    return _with_advice(found.unionByName(every.join(found.select("category").distinct(), "category", "left_anti").select(*found.columns)))
 
 
 def _with_advice(rows: DataFrame) -> DataFrame:
@@ -372,45 +381,47 @@ def _with_advice(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.create_map(*pairs)[F.col("message")].alias("recommendation"))
 
 
-def _quality_issues(df: DataFrame) -> list[DataFrame]:
+def _quality_issues(df: DataFrame) -> dict[str, DataFrame]:
     copies = data_quality_totals(df).select(_found(("duplicate_rows", F.col("duplicate_rows") > 0)).alias("issues"))
-    return [
-        _as_issues(data_quality(df), "warning", "data_quality", F.col("column")),
-        _as_issues(copies, "warning", "duplicates", F.lit("table")),
-    ]
+    return {
+        "data_quality": _as_issues(data_quality(df), "warning", "data_quality", F.col("column")),
+        "duplicates": _as_issues(copies, "warning", "duplicates", F.lit("table")),
+    }
 
 
 def doctor_table(df: DataFrame) -> DataFrame:
     """Issues of any table, whatever format it came from."""
-    parts = [_as_issues(table_structure(df), "warning", "structure", F.lit("table")), *_quality_issues(df)]
-    return _with_advice(reduce(DataFrame.unionByName, parts))
+    structure = _as_issues(table_structure(df), "warning", "structure", F.lit("table"))
+    return _report({"structure": structure, **_quality_issues(df)})
 
 
 def doctor(spark: SparkSession, path: str | list[str], decode: bool = False) -> DataFrame:
     """Issues of the Parquet files below ``path`` that form one table.
 
-    Footers are read once into a checkpoint and serve five checks. Files that
+    Footers are read once into a checkpoint and serve six checks. Files that
     cannot be read are errors; the data checks run on the others.
     """
     scanned = checkpointed(footers(spark, path, decode))
     per_column = F.concat_ws(": ", "file", "column")
     group = F.concat_ws("#", "path", F.col("row_group").cast("string"))
-    parts = [
-        _as_issues(file_integrity(spark, path, scanned=scanned), "error", "integrity", F.col("path")),
-        _as_issues(schema_validation(spark, path, scanned), "warning", "schema", per_column),
-        _as_issues(decimal_timestamp_diagnostics(spark, path, scanned), "warning", "numbers_and_times", per_column),
-        _as_issues(row_groups(spark, path, scanned), "warning", "row_groups", group),
-        _as_issues(column_statistics(spark, path, scanned), "warning", "statistics", F.col("column")),
-        _as_issues(compression_encoding(spark, path, scanned), "warning", "compression", F.col("column")),
-    ]
+    column = F.col("column")
+    found = {
+        "integrity": (file_integrity(spark, path, scanned=scanned), "error", F.col("path")),
+        "schema": (schema_validation(spark, path, scanned), "warning", per_column),
+        "numbers_and_times": (decimal_timestamp_diagnostics(spark, path, scanned), "warning", per_column),
+        "row_groups": (row_groups(spark, path, scanned), "warning", group),
+        "statistics": (column_statistics(spark, path, scanned), "warning", column),
+        "compression": (compression_encoding(spark, path, scanned), "warning", column),
+    }
+    checks = {name: _as_issues(rows, level, name, subject) for name, (rows, level, subject) in found.items()}
     try:
         paths = [path] if isinstance(path, str) else path
         table = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet").parquet(*paths)
-        parts += _quality_issues(table)
+        checks |= _quality_issues(table)
     except AnalysisException:
         unread = spark.createDataFrame([(["not_scanned"],)], "issues array<string>")
-        parts.append(_as_issues(unread, "warning", "data_quality", F.lit("table")))
-    return _with_advice(reduce(DataFrame.unionByName, parts))
+        checks["data_quality"] = _as_issues(unread, "warning", "data_quality", F.lit("table"))
+    return _report(checks)
 
 
 def health(issues: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions import types as ty
 from ..plans.joining import outer_join
+from ..plans.small import small_frame
 
 # Join kinds and limits of the preview.
 JOIN_KINDS = ("inner", "left", "right", "full")
@@ -90,6 +91,5 @@ def join_candidates(base: DataFrame, other: DataFrame) -> DataFrame:
         for o in other.schema.fields
         if ty.signature(b.dataType) == ty.signature(o.dataType) and ty.can_be_key(b.dataType)
     ]
-    return base.sparkSession.createDataFrame(
-        rows, "base_column string, join_column string, type_signature string, same_name boolean"
+    return small_frame(base.sparkSession, rows, "base_column string, join_column string, type_signature string, same_name boolean"
     )

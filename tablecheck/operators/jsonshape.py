@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..plans.spreading import spread
 
 
 def _type_name(shape: Column) -> Column:
@@ -34,7 +35,7 @@ def json_to_table(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     object its fields (``object``), anything else itself (``scalar``). Invalid
     documents give no rows; see ``json_validate``.
     """
-    parsed = df.select(names.col(id_col).alias("id"), F.try_parse_json(names.col(json_col)).alias("doc")).filter("doc IS NOT NULL")
+    parsed = spread(df).select(names.col(id_col).alias("id"), F.try_parse_json(names.col(json_col)).alias("doc")).filter("doc IS NOT NULL")
     shape = F.schema_of_variant("doc")
     items = F.col("doc").try_cast("array<variant>")
     records = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions import names, values
 from ..functions import types as ty
-from ..plans.aggregate import column_metrics, distinct_rows, value_counts
+from ..plans.aggregate import column_metrics, column_names, distinct_rows, value_counts
+from ..plans.small import small_frame
+from ..plans.spreading import spread
 
 # Thresholds of the profile rules.
 TYPE_SHARE = 0.8
@@ -43,14 +45,25 @@ def _kinds(df: DataFrame) -> DataFrame:
         return "date" if ty.is_temporal(dtype) else "other"
 
     rows = [(i, f.name, kind(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "pos int, `column` string, kind string")
+    return small_frame(df.sparkSession, rows, "pos int, `column` string, kind string")
 
 
-def _text_tests(text: Column, kind: Column) -> dict[str, Column]:
-    number = F.when(kind.isin("numeric", "other"), values.as_number(text))
-    boolean = (kind == "boolean") | ((kind == "other") & values.is_boolean_text(text))
-    date = (kind == "date") | ((kind == "other") & number.isNull() & values.as_moment(text).isNotNull())
-    return {"number": number, "boolean": F.coalesce(boolean, F.lit(False)), "date": F.coalesce(date, F.lit(False))}
+def _text_tests(df: DataFrame) -> DataFrame:
+    """Adds ``number``, ``boolean``, ``date``: what the column ``text`` reads as, given its ``kind``.
+
+    In steps, so that each test of a text is worked out once. The text of a
+    numeric column needs no test of its form.
+    """
+    text, kind, raw, free = F.col("text"), F.col("kind"), F.col("raw"), F.col("kind") == "other"
+    numeric = F.when(kind == "numeric", text.try_cast("double"))
+    boolean = (kind == "boolean") | (free & values.is_boolean_text(text))
+    date = (kind == "date") | (free & F.col("number").isNull() & values.as_moment(text).isNotNull())
+    return (
+        df.withColumn("raw", numeric.when(free, values.as_number(text)))
+        .withColumn("number", F.when(F.abs(raw) < float("inf"), raw))
+        .withColumn("boolean", F.coalesce(boolean, F.lit(False)))
+        .withColumn("date", F.coalesce(date, F.lit(False)))
+    )
 
 
 def _exact_counts(df: DataFrame) -> DataFrame:
@@ -61,10 +74,10 @@ def _exact_counts(df: DataFrame) -> DataFrame:
     """
     # One row per column of the schema.
     kinds = F.broadcast(_kinds(df))
-    counted = value_counts(df).join(kinds, "column")
-    n, here = F.col("n"), F.col("key").isNotNull()
-    tests = _text_tests(F.when(F.length("key") < values.LONGEST_PLAIN_KEY, F.col("key")), F.col("kind"))
-    tested = counted.select("pos", "column", "kind", "n", here.alias("here"), *[c.alias(k) for k, c in tests.items()])
+    counted = value_counts(df).join(kinds, "pos")
+    n = F.col("n")
+    short = F.when(F.length("key") < values.LONGEST_PLAIN_KEY, F.col("key"))
+    tested = _text_tests(counted.select("*", F.col("key").isNotNull().alias("here"), short.alias("text")))
     number = F.col("number")
     return tested.groupBy("pos", "column").agg(
         F.sum(n).alias("row_count"),
@@ -80,27 +93,33 @@ def _exact_counts(df: DataFrame) -> DataFrame:
 
 
 def _approximate_counts(df: DataFrame) -> DataFrame:
-    """The same counts in one pass without any shuffle of values; distinct counts are sketches."""
-
-    def metrics(name: str, dtype: T.DataType) -> dict[str, Column]:
-        text = values.as_text(names.col(name), dtype)
-        here = values.present(text)
-        kind = F.lit("numeric" if ty.is_numeric(dtype) else "boolean" if isinstance(dtype, T.BooleanType) else "date" if ty.is_temporal(dtype) else "other")
-        tests = _text_tests(F.when(here, text), kind)
-        number = values.number_of(names.col(name), dtype)
-        return {
-            "row_count": F.count(F.lit(1)),
-            "present_count": F.count_if(here),
-            "distinct_count": F.approx_count_distinct(F.when(here, text)),
-            "numeric_count": F.count(number),
-            "boolean_count": F.count_if(here & tests["boolean"]),
-            "date_count": F.count_if(here & tests["date"]),
-            "numeric_sum": F.sum(number),
-            "numeric_min": F.min(number),
-            "numeric_max": F.max(number),
-        }
-
-    return column_metrics(df, metrics, _COUNTS)
+    """The same counts in one pass without any shuffle of values; distinct counts are sketches.
+
+    Text is tested in a projection below the aggregate, once per cell; typed
+    columns need no test.
+    """
+    tested: list[Column] = []
+    found: dict[str, dict[str, Column]] = {}
+    for i, f in enumerate(df.schema.fields):
+        value, dtype = names.col(f.name), f.dataType
+        v, number = F.col(f"v{i}"), F.col(f"number{i}")
+        tested.append((value if ty.can_be_grouped(dtype) else values.as_text(value, dtype)).alias(f"v{i}"))
+        tested.append(values.number_of(value, dtype).alias(f"number{i}"))
+        counts = {"row_count": F.count(F.lit(1)), "numeric_count": F.count(number)}
+        counts |= {"numeric_sum": F.sum(number), "numeric_min": F.min(number), "numeric_max": F.max(number)}
+        if ty.is_text(dtype):
+            tested.append(values.is_boolean_text(value).alias(f"boolean{i}"))
+            tested.append((values.as_moment(value).isNotNull() & values.as_number(value).isNull()).alias(f"date{i}"))
+            v = F.when(v != "", v)
+            counts |= {"boolean_count": F.count_if(f"boolean{i}"), "date_count": F.count_if(f"date{i}")}
+        elif isinstance(dtype, T.BooleanType):
+            counts["boolean_count"] = F.count(v)
+        elif ty.is_temporal(dtype):
+            counts["date_count"] = F.count(v)
+        counts |= {"present_count": F.count(v), "distinct_count": F.approx_count_distinct(v)}
+        found[f.name] = counts
+    known = spread(df).select(*[names.col(f.name) for f in df.schema.fields], *tested)
+    return column_metrics(known, lambda name, _: found[name], _COUNTS, df.columns).fillna(0, ["boolean_count", "date_count"])
 
 
 def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -160,9 +179,10 @@ def top_values(df: DataFrame, k: int = 3) -> DataFrame:
 
     The rank window keeps k rows per column and task before it shuffles.
     """
-    best = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("label"), F.col("key"))
-    ranked = value_counts(df).filter("key IS NOT NULL").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select(
+    best = Window.partitionBy("pos").orderBy(F.col("n").desc(), F.col("label"), F.col("key"))
+    ranked = value_counts(df, labelled=True).filter("key IS NOT NULL").withColumn("rank", F.row_number().over(best))
+    # One row per column of the schema.
+    return ranked.filter(F.col("rank") <= k).join(F.broadcast(column_names(df)), "pos").select(
         "column", F.col("rank").cast("long").alias("rank"), F.col("label").alias("value"), F.col("n").alias("value_count")
     )
 
@@ -215,31 +235,35 @@ def eda_findings(df: DataFrame, approx: bool = False) -> DataFrame:
 
     Findings: ``empty_column``, ``high_missing`` (value is the ratio),
     ``constant_column``, ``duplicate_rows`` (value is their number),
-    ``no_rows``.
+    ``no_rows``. The table is profiled once; the profile, one row per column,
+    is then looked at as an array.
     """
-    stats = column_counts(df, approx)
-    here = F.col("present_count") > 0
-    none = F.lit(None).cast("double")
 
-    def finding(condition: Column, name: str, value: Column) -> Column:
-        return F.struct(condition.alias("on"), F.lit(name).alias("finding"), value.alias("value"))
+    def finding(condition: Column, name: str, subject: Column | None = None, value: Column | None = None) -> Column:
+        subject = F.lit(None).cast("string") if subject is None else subject
+        value = F.lit(None).cast("double") if value is None else value.cast("double")
+        return F.struct(
+            F.lit(name).alias("finding"), subject.alias("subject"), value.alias("value"), condition.alias("on")
+        )
+
+    def of_column(c: Column) -> Column:
+        here = c["present_count"] > 0
+        return F.array(
+            finding(~here, "empty_column", c["column"]),
+            finding(here & (c["missing_ratio"] >= HIGH_MISSING), "high_missing", c["column"], c["missing_ratio"]),
+            finding(here & (c["distinct_count"] == 1), "constant_column", c["column"]),
+        )
 
-    tests = F.array(
-        finding(~here, "empty_column", none),
-        finding(here & (F.col("missing_ratio") >= HIGH_MISSING), "high_missing", F.col("missing_ratio")),
-        finding(here & (F.col("distinct_count") == 1), "constant_column", none),
-    )
-    per_column = stats.select(F.inline(F.filter(tests, lambda x: x["on"])), F.col("column").alias("subject"))
-    per_column = per_column.select("finding", "subject", "value")
-    whole = F.lit(None).cast("string").alias("subject")
-    copies = duplicate_rows(df).filter("duplicate_rows > 0")
-    found = per_column.unionByName(
-        copies.select(F.lit("duplicate_rows").alias("finding"), whole, F.col("duplicate_rows").cast("double").alias("value"))
+    kept = F.struct("pos", "column", "row_count", "present_count", "missing_ratio", "distinct_count")
+    profile = column_counts(df, approx).agg(F.array_sort(F.collect_list(kept)).alias("columns"), F.max("row_count").alias("n"))
+    profile = profile.select("*", duplicate_rows(df).scalar().alias("copies"))
+    whole = F.array(
+        finding(F.col("copies") > 0, "duplicate_rows", value=F.col("copies")),
+        finding(F.coalesce(F.col("n"), F.lit(0)) == 0, "no_rows"),
     )
-    empty = stats.agg(F.max("row_count").alias("n")).filter("n = 0")
-    found = found.unionByName(empty.select(F.lit("no_rows").alias("finding"), whole, none.alias("value")))
-    clean = found.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
-    return found.unionByName(clean.select(F.lit("no_issues").alias("finding"), whole, none.alias("value")))
+    found = F.filter(F.concat(F.flatten(F.transform("columns", of_column)), whole), lambda x: x["on"])
+    nothing = F.array(finding(F.lit(True), "no_issues"))
+    return profile.select(F.inline(F.when(F.size(found) > 0, found).otherwise(nothing))).drop("on")
 
 
 def suggestions(df: DataFrame, approx: bool = False) -> DataFrame:

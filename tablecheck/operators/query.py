@@ -11,6 +11,7 @@ from ..functions import names, values
 from ..functions import types as ty
 from ..plans.aggregate import column_metrics
 from ..plans.ordering import Key, with_row_index
+from ..plans.small import small_frame
 
 # Names under which the open table can be queried.
 TABLE_ALIASES = ("file_data", "parquet_data")
@@ -147,7 +148,7 @@ def numeric_columns(df: DataFrame) -> DataFrame:
     """
     numeric = [(i, f.name) for i, f in enumerate(df.schema.fields) if ty.is_numeric(f.dataType)]
     texts = [f.name for f in df.schema.fields if ty.is_text(f.dataType)]
-    known = df.sparkSession.createDataFrame(numeric, "pos int, `column` string")
+    known = small_frame(df.sparkSession, numeric, "pos int, `column` string")
     if not texts:
         return known
     tested = column_metrics(

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions import names
 from ..functions import types as ty
 from ..plans.files import COLUMN_STRUCT, footers
+from ..plans.shipping import ship_package
+from ..plans.small import small_frame
 
 # Least likeness of names for a rename, its rounding; documentation columns.
 RENAME_LIKENESS = 0.62
@@ -40,7 +42,7 @@ def schema_columns(df: DataFrame) -> DataFrame:
     rows: list[tuple] = []
     for field in df.schema.fields:
         _walk(field.name, field.dataType, field.nullable, [], 0, 0, rows)
-    return df.sparkSession.createDataFrame(rows, TREE_SCHEMA)
+    return small_frame(df.sparkSession, rows, TREE_SCHEMA)
 
 
 def _walk(name: str, dtype: T.DataType, nullable: bool, parents: list[str], repetition: int, definition: int, rows: list) -> None:
@@ -151,14 +153,13 @@ def _leaves(df: DataFrame) -> list[tuple[str, str]]:
 
 def schema_drift(current: DataFrame, reference: DataFrame) -> DataFrame:
     """Added, removed and type-changed columns, and pairs that look renamed."""
-    return current.sparkSession.createDataFrame(drift(_leaves(current), _leaves(reference)), DRIFT_SCHEMA)
+    return small_frame(current.sparkSession, drift(_leaves(current), _leaves(reference)), DRIFT_SCHEMA)
 
 
 def drift_summary(current: DataFrame, reference: DataFrame) -> DataFrame:
     rows = drift(_leaves(current), _leaves(reference))
     count = {kind: sum(r[0] == kind for r in rows) for kind in ("added", "removed", "type_changed", "rename_candidate")}
-    return current.sparkSession.createDataFrame(
-        [(len(current.columns), len(reference.columns), *count.values())],
+    return small_frame(current.sparkSession, [(len(current.columns), len(reference.columns), *count.values())],
         "current_columns bigint, reference_columns bigint, added bigint, removed bigint, type_changed bigint, rename_candidates bigint",
     )
 
@@ -169,6 +170,7 @@ def schema_drift_dataset(spark: SparkSession, path: str | list[str], reference:
     Files are reduced to their distinct schemas before names are compared, so
     the work grows with the number of schemas, not of files.
     """
+    ship_package(spark)
     known = parquet_schema(spark, reference).select("path", "type_signature").collect()
     then = [(r.path, r.type_signature) for r in known]
     files = footers(spark, path).filter("columns IS NOT NULL")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import names, values
 from ..functions import types as ty
 from ..plans.joining import outer_join
+from ..plans.small import small_frame
 from .compare import UNCHANGED, Pair, check_mapping, compared_columns
 
 # Confidence of each kind of name match, key name scores and weights.
@@ -59,8 +60,7 @@ def infer_mapping(base: DataFrame, other: DataFrame) -> DataFrame:
     used_base, used_compare = {p.base for p in pairs}, {p.compare for p in pairs}
     rows += [(c, None, c, "skipped", None) for c in base.columns if c not in used_base]
     rows += [(None, c, c, "skipped", None) for c in other.columns if c not in used_compare]
-    return base.sparkSession.createDataFrame(
-        rows, "base_column string, compare_column string, display_column string, match_type string, confidence double"
+    return small_frame(base.sparkSession, rows, "base_column string, compare_column string, display_column string, match_type string, confidence double"
     )
 
 
@@ -112,7 +112,7 @@ def key_stats(base: DataFrame, other: DataFrame, pairs: list[Pair] | None = None
         (i, p.base, p.compare, float(max(_name_score(p.base), _name_score(p.compare)) + SAME_NAME_BONUS * (p.base == p.compare)))
         for i, p in enumerate(usable)
     ]
-    known = spark.createDataFrame(rows, "pos int, base_column string, compare_column string, name_score double")
+    known = small_frame(spark, rows, "pos int, base_column string, compare_column string, name_score double")
     counts = ("base_total", "base_distinct", "base_nulls", "compare_total", "compare_distinct", "compare_nulls")
     if usable:
         known = known.join(_candidate_counts(base, [p.base for p in usable], "base"), "pos", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import names, values
 from ..functions import types as ty
 from ..plans.aggregate import column_metrics, label
+from ..plans.spreading import spread
 
 # Write types and the Spark types they stand for; cut of a sample value.
 WRITE_TYPES = {
@@ -43,25 +44,23 @@ _TESTS = {
 }
 
 
-def _tests(name: str, dtype: T.DataType) -> dict[str, Column]:
-    text = values.as_text(names.col(name), dtype)
-    here = values.present(text)
-    number = values.as_number(text)
-    whole = number.isNotNull() & (F.floor(number) == number)
-    shown = {
-        "present": F.count_if(here),
-        "missing_count": F.count_if(~here),
-        "all_boolean": F.every(F.when(here, values.is_boolean_text(text))),
-        "all_integer": F.every(F.when(here, whole)),
-        "all_number": F.every(F.when(here, number.isNotNull())),
-        "all_date": F.every(F.when(here, number.isNull() & values.as_moment(text).isNotNull())),
-        "any_clock": F.bool_or(F.when(here, text.rlike(values.CLOCK_PATTERN))),
-        "sample_value": F.min(F.when(here, label(text, SAMPLE_WIDTH))),
-    }
-    if ty.is_nested(dtype):
-        known = ("present", "missing_count", "sample_value")
-        return {k: shown[k] for k in known}
-    return shown
+def _known_tests(value: Column, dtype: T.DataType) -> dict[str, Column]:
+    """Tests of a column that is not text: mostly answered by its type."""
+    yes, no = F.lit(True), F.lit(False)
+    tests = {"all_boolean": no, "all_integer": no, "all_number": no, "all_date": no, "any_clock": no}
+    if isinstance(dtype, T.BooleanType):
+        tests["all_boolean"] = yes
+    elif ty.is_numeric(dtype):
+        number = values.number_of(value, dtype)
+        tests["all_number"] = yes if isinstance(dtype, T.IntegralType) else F.every(F.when(value.isNotNull(), number.isNotNull()))
+        whole = F.coalesce(F.floor(number) == number, no)
+        tests["all_integer"] = yes if isinstance(dtype, T.IntegralType) else F.every(F.when(value.isNotNull(), whole))
+    elif ty.is_temporal(dtype):
+        tests["all_date"] = yes
+        tests["any_clock"] = F.lit(not isinstance(dtype, T.DateType))
+    sample = F.min(value) if ty.can_be_grouped(dtype) else F.min(values.as_text(value, dtype))
+    shown = values.as_text(sample, dtype) if ty.can_be_grouped(dtype) else sample
+    return tests | {"present": F.count(value), "missing_count": F.count_if(value.isNull()), "sample_value": label(shown, SAMPLE_WIDTH)}
 
 
 def infer_write_types(df: DataFrame) -> DataFrame:
@@ -69,7 +68,33 @@ def infer_write_types(df: DataFrame) -> DataFrame:
 
     The sample is the least value, so that it does not depend on row order.
     """
-    tested = column_metrics(df, _tests, _TESTS)
+    # Text cells are tested in a projection below the aggregate, once per cell.
+    below: list[Column] = []
+    tests: dict[str, dict[str, Column]] = {}
+    for i, f in enumerate(df.schema.fields):
+        value = names.col(f.name)
+        if not ty.is_text(f.dataType):
+            tests[f.name] = _known_tests(value, f.dataType)
+            continue
+        here, number = values.present(value), values.as_number(value)
+        below += [
+            number.alias(f"number{i}"),
+            F.when(here, values.is_boolean_text(value)).alias(f"boolean{i}"),
+            F.when(here, number.isNull() & values.as_moment(value).isNotNull()).alias(f"date{i}"),
+            value.rlike(values.CLOCK_PATTERN).alias(f"clock{i}"),
+        ]
+        found, shown = F.col(f"number{i}"), F.when(here, value)
+        tests[f.name] = {
+            "present": F.count_if(here),
+            "missing_count": F.count_if(~here),
+            "all_boolean": F.every(f"boolean{i}"),
+            "all_integer": F.every(F.when(here, F.coalesce(F.floor(found) == found, F.lit(False)))),
+            "all_number": F.every(F.when(here, found.isNotNull())),
+            "all_date": F.every(f"date{i}"),
+            "any_clock": F.bool_or(f"clock{i}"),
+            "sample_value": label(F.min(shown), SAMPLE_WIDTH),
+        }
+    tested = column_metrics(spread(df).select(*[names.col(c) for c in df.columns], *below), lambda name, _: tests[name], _TESTS, df.columns)
     kind = (
         F.when(F.col("present") == 0, "VARCHAR")
         .when(F.col("all_boolean"), "BOOLEAN")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names, values
+from .small import small_frame
+from .spreading import spread
 
 # Beyond this many aggregates in one plan node the generated code outgrows the JVM limits.
 AGGREGATES_PER_PASS = 400
@@ -39,7 +41,7 @@ def column_metrics(
     passes = [wanted[i : i + per_pass] for i in range(0, len(wanted), per_pass)]
     if not passes:
         empty = ", ".join(f"{names.quoted(k)} {v}" for k, v in schema.items())
-        return df.sparkSession.createDataFrame([], f"pos int, `column` string, {empty}")
+        return small_frame(df.sparkSession, [], f"pos int, `column` string, {empty}")
     return reduce(DataFrame.unionByName, [_one_pass(df, part, schema) for part in passes])
 
 
@@ -58,24 +60,31 @@ def _one_pass(df: DataFrame, wanted: list[tuple[int, str, Metrics]], schema: dic
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, key, label, n`` for every distinct text value of every column.
+def value_counts(df: DataFrame, labelled: bool = False) -> DataFrame:
+    """``pos, key[, label], n`` for every distinct text value of every column.
 
-    Missing values (null or empty) have a null key. Map-side combining keeps
-    a value that fills a third of the table to one row per task; long texts
-    travel as their digest. ``label`` is the value for display, cut to 24
-    characters as in the reports.
+    ``pos`` is the place of the column in the schema. Missing values (null or
+    empty) have a null key. Map-side combining keeps a value that fills a
+    third of the table to one row per task; long texts travel as their
+    digest, if ``labelled`` with the value cut for display beside it.
     """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    fields = df.schema.fields
     texts = [values.as_text(names.col(f.name), f.dataType).alias(f"v{i}") for i, f in enumerate(fields)]
-    pairs = ", ".join(f"{_sql_text(f.name)}, v{i}" for i, f in enumerate(fields))
-    long = df.select(*texts).selectExpr(f"stack({len(fields)}, {pairs}) as (`column`, v)")
-    v = F.when(values.present(F.col("v")), F.col("v"))
-    return (
-        long.select("column", values.compact(v).alias("key"), label(v).alias("label"))
-        .groupBy("column", "key", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    pairs = ", ".join(f"{i}, v{i}" for i in range(len(fields)))
+    long = spread(df).select(*texts).selectExpr(f"stack({len(fields)}, {pairs}) as (pos, v)")
+    v = F.when(F.col("v") != "", F.col("v"))
+    keys = [F.col("pos"), values.compact(v).alias("key")]
+    if not labelled:
+        return long.select(*keys).groupBy("pos", "key").agg(F.count(F.lit(1)).alias("n"))
+    # A short text is its own label; only a digest needs one beside it.
+    cut = F.when(F.length(v) > values.LONGEST_PLAIN_KEY, label(v)).alias("cut")
+    counted = long.select(*keys, cut).groupBy("pos", "key", "cut").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("pos", "key", F.coalesce("cut", label(F.col("key"))).alias("label"), "n")
+
+
+def column_names(df: DataFrame) -> DataFrame:
+    """``pos, column``: one row per column of the schema."""
+    return small_frame(df.sparkSession, list(enumerate(df.columns)), "pos int, `column` string")
 
 
 def label(text: Column, width: int = 24) -> Column:
@@ -83,10 +92,6 @@ def label(text: Column, width: int = 24) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("..."))).otherwise(text)
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def distinct_rows(df: DataFrame, keys: list[Column]) -> DataFrame:
     """One row: ``total_rows, distinct_rows`` over the given key columns."""
     return (

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import ship_package
+
 # The four bytes at both ends of a Parquet file, least size of one.
 PARQUET_MAGIC = b"PAR1"
 LEAST_PARQUET_SIZE = 8
@@ -77,6 +79,7 @@ def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     if not folders:
         return seeds.select("path", "file_size")
     spread = seeds.filter("is_folder").repartition(min(len(folders), 10 * wanted))
+    ship_package(spark)
     inside = spread.select("path").mapInPandas(_list_below, "path string, file_size bigint")
     return seeds.filter("NOT is_folder").select("path", "file_size").unionByName(inside)
 
@@ -99,6 +102,7 @@ def read_footers(files: DataFrame, decode: bool = False) -> DataFrame:
     for a full read as well. A file that cannot be read gives a row with
     ``error``; nothing is raised.
     """
+    ship_package(files.sparkSession)
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..plans.files import file_system
+from ..plans.shipping import ship_package
 
 EXTENSIONS = (".arrow", ".ipc", ".feather")
 SHORT_NAME = "arrowfile"
@@ -175,4 +176,5 @@ class ArrowFileWriter(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(ArrowFileSource)

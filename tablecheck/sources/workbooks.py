@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators.writetypes import cast_columns, infer_write_types
 from ..plans.files import file_system, list_files
+from ..plans.shipping import ship_package
 from .options import normalize_options
 
 ROW_SCHEMA = "path string, row_number bigint, is_header boolean, width int, cells array<string>, error string"
@@ -116,6 +117,7 @@ def workbook_rows(files: DataFrame, options: dict) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=fields)
 
+    ship_package(files.sparkSession)
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
     return files.select("path").repartition(tasks, "path").mapInPandas(read, ROW_SCHEMA)
 

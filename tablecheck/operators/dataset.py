@@ -152,9 +152,13 @@ def _local(uri: Column) -> Column:
 
 
 def _json(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """Records and shape of JSON files: lines are documents, ``.json`` files are one document each."""
+    """Records and shape of JSON files: lines are documents, ``.json`` files are one document each.
+
+    A document that is too long for one Spark value counts as invalid; such
+    data belongs in a file of lines.
+    """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,ndjson}").text(root)
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(root)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     uri = F.col("_metadata.file_path").alias("uri")
     documents = lines.select(uri, F.col("value")).unionByName(whole.select(uri, F.col("value"))).filter("trim(value) <> ''")
     parsed = documents.select("uri", F.try_parse_json("value").alias("doc"))
@@ -333,7 +337,7 @@ def compact_dataset(spark: SparkSession, root: str, out: str, target_mb: int = 2
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_mb}MB",
     }
-    before = {k: spark.conf.get(k, None) for k in settings}
+    before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
@@ -344,4 +348,4 @@ def compact_dataset(spark: SparkSession, root: str, out: str, target_mb: int = 2
         (writer.partitionBy(*keys) if keys else writer).parquet(out)
     finally:
         for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+            spark.conf.set(k, v)

@@ -180,11 +180,6 @@ def smart_diff(
     return joined.select(text.alias("key"), status.alias("status"), mismatched.alias("mismatched_columns"), *shown)
 
 
-def _common(a: T.DataType, b: T.DataType) -> str | None:
-    """Type to bring two mapped columns to before they are grouped together."""
-    return None if a == b or not ty.is_numeric(a) else "double" if isinstance(a, T.FractionalType) or isinstance(b, T.FractionalType) else "bigint"
-
-
 def smart_diff_summary(
     base: DataFrame,
     other: DataFrame,
@@ -206,13 +201,12 @@ def smart_diff_summary(
         for i, p in enumerate([by, *pairs]):
             name = getattr(p, which)
             dtype = df.schema[name].dataType
-            common = _common(base.schema[p.base].dataType, other.schema[p.compare].dataType)
-            value = values.group_key(names.col(name), dtype)
-            keys.append((value.cast(common) if common else value).alias(f"k{i}"))
+            keys.append(values.group_key(names.col(name), dtype).alias(f"k{i}"))
             if nan_as_mismatch and i and isinstance(dtype, (T.FloatType, T.DoubleType)):
                 broken = broken | F.coalesce(F.isnan(names.col(name)), F.lit(False))
         return df.select(*keys, broken.alias("broken"), F.lit(which).alias("side"))
 
+    # The union widens mapped columns of different types as a comparison would.
     both = side(base, "base").unionByName(side(other, "compare"))
     rows = both.groupBy(*[f"k{i}" for i in range(len(pairs) + 1)], "broken").agg(
         F.count_if(F.col("side") == "base").alias("b"), F.count_if(F.col("side") == "compare").alias("c")

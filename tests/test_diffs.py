@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tablecheck.operators import compare, edits, joins, jsonshape, smartdiff
+from tablecheck.plans import joining
 
 NAN = float("nan")
 
@@ -95,7 +96,14 @@ def test_nan_and_null(spark):
     assert smartdiff.smart_diff_summary(a, b, key=("id", "id")).first().changed_rows == 2
 
 
-def test_hot_key_diff_is_whole(spark):
+@pytest.fixture
+def hot_joins(monkeypatch):
+    """Keys count as hot from a few rows on, in tables of any size."""
+    monkeypatch.setattr(joining, "SMALL_SIDE", 0)
+    monkeypatch.setattr(joining, "FEWEST_HOT_ROWS", 2)
+
+
+def test_hot_key_diff_is_whole(spark, hot_joins):
     """A third of the rows share one key on one side."""
     a = spark.range(900).select(F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("id"), F.col("id").alias("v"))
     b = spark.createDataFrame([(-1, 5), (400, 400), (5000, 1)], "id long, v long")
@@ -127,6 +135,28 @@ def test_positional(spark):
     assert hidden.count() == 3 and "base.o" not in hidden.columns
 
 
+def test_hot_keys_are_found(spark, hot_joins):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    assert joining.hot_keys(df, F.col("k")) == {None, "hot"}
+    assert joining.hot_keys(spark.range(9000).select(F.col("id").cast("string").alias("k")), F.col("k")) == set()
+
+
+@pytest.mark.parametrize("how", joins.JOIN_KINDS)
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_hot_joins_against_spark(spark, hot_joins, how, null_safe):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        third = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7.0).otherwise(F.col("id").cast("double"))
+        a = spark.range(60).select(third.alias("k"), F.col("id").alias("v"))
+        b = spark.range(40, 90).select(F.when(F.col("id") < 70, 11.0).when(F.col("id") == 71, None).otherwise(F.col("id").cast("double")).alias("j"), F.col("id").alias("w"))
+        for right in (b, b.union(b.limit(0)).filter("j > 20"), b.withColumn("j", F.when(F.col("w") < 60, 7.0).otherwise(F.col("j")))):
+            match = F.col("k").eqNullSafe(F.col("j")) if null_safe else F.col("k") == F.col("j")
+            got = joining.outer_join(a, right, F.col("k"), F.col("j"), how, null_safe)
+            assert rows(got.select("k", "v", "j", "w")) == rows(a.join(right, match, how))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("how", joins.JOIN_KINDS)
 def test_joins_against_spark(spark, how):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -142,6 +172,25 @@ def test_joins_against_spark(spark, how):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_hot_keys_of_unequal_types_meet(spark, hot_joins):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(30).select(F.when(F.col("id") < 20, 7).otherwise(F.col("id")).alias("k"))
+        b = spark.createDataFrame([(7.0,), (25.0,), (99.5,)], "j double")
+        got = joining.outer_join(a, b, F.col("k"), F.col("j"), "full", False)
+        assert rows(got) == rows(a.join(b, F.col("k") == F.col("j"), "full"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_diff_of_unequal_number_types(spark):
+    a = spark.sql("SELECT 1 AS id, 10000000000000001BD AS v UNION ALL SELECT 2, 2BD")
+    b = spark.sql("SELECT 1L AS id, 10000000000000002.0BD AS v UNION ALL SELECT 2, 2.0BD")
+    got = smartdiff.smart_diff_summary(a, b, key=("id", "id")).first()
+    assert (got.changed_rows, got.unchanged_rows) == (1, 1)
+    assert rows(smartdiff.smart_diff(a, b, key=("id", "id")).select("key", "status")) == [("1", "value_mismatch"), ("2", "unchanged")]
+
+
 def test_join_errors_and_preview(spark):
     a = spark.range(50)
     with pytest.raises(ValueError):

@@ -25,6 +25,8 @@ from ..sources.options import DELIMITERS, format_of
 # Codecs, row group limits, export formats.
 CODECS = ("uncompressed", "snappy", "gzip", "brotli", "zstd")
 MOST_GROUP_ROWS = 10_000_000
+# Moments as text, with all their digits.
+MOMENTS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"}
 EXPORT_FORMATS = ("csv", "tsv", "psv", "json", "jsonl", "ndjson", "parquet", "avro", "orc", "arrow", "feather", "ipc")
 JOBS_AT_ONCE = 4
 
@@ -120,7 +122,7 @@ def json_array_lines(df: DataFrame) -> DataFrame:
 
     Rows stream through; a partition's text is never held as a whole.
     """
-    objects = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    objects = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", **MOMENTS}).alias("value"))
 
     def bracket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": ["["]})
@@ -157,12 +159,12 @@ def export_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "
     counted = _Counted(_plain(named) if fmt in DELIMITERS else named)
     rows = counted.rows
     if fmt in DELIMITERS:
-        writer = rows.write.mode(mode).option("header", True).option("sep", DELIMITERS[fmt])
+        writer = rows.write.mode(mode).options(**MOMENTS).option("header", True).option("sep", DELIMITERS[fmt])
         writer.option("escape", '"').csv(path)
     elif fmt == "json":
         json_array_lines(rows).write.mode(mode).text(path)
     elif fmt in ("jsonl", "ndjson"):
-        rows.write.mode(mode).option("ignoreNullFields", False).json(path)
+        rows.write.mode(mode).options(**MOMENTS).option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
         rows.write.mode(mode).parquet(path)
     elif fmt == "orc":

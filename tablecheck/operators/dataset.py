@@ -121,7 +121,7 @@ def _delimited(spark: SparkSession, root: str, family: str, headers: DataFrame)
     options = normalize_options(family)
     schema = ", ".join(f"c{i} string" for i in range(width))
     reader = spark.read.schema(schema).option("header", True).option("sep", options["delimiter"]).option("escape", '"')
-    reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{family}")
+    reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case(family))
     stacked = ", ".join(f"{i}, c{i}" for i in range(width))
     cells = reader.csv(root).selectExpr("_metadata.file_path AS uri", f"stack({width}, {stacked}) AS (pos, v)")
     here, number = values.present(F.col("v")), values.as_number(F.col("v"))
@@ -146,6 +146,12 @@ def _delimited(spark: SparkSession, root: str, family: str, headers: DataFrame)
     )
 
 
+def _any_case(*extensions: str) -> str:
+    """Glob of file names with one of the extensions, whatever the case."""
+    spelled = ["".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions]
+    return "*.{" + ",".join(spelled) + "}"
+
+
 def _local(uri: Column) -> Column:
     """Spark's ``file:///a%20b`` form as the plain path the listing gives."""
     return F.url_decode(F.replace(F.regexp_replace(uri, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
@@ -157,8 +163,8 @@ def _json(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     A document that is too long for one Spark value counts as invalid; such
     data belongs in a file of lines.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,ndjson}").text(root)
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case("jsonl", "ndjson")).text(root)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case("json")).text(root, wholetext=True)
     uri = F.col("_metadata.file_path").alias("uri")
     documents = lines.select(uri, F.col("value")).unionByName(whole.select(uri, F.col("value"))).filter("trim(value) <> ''")
     parsed = documents.select("uri", F.try_parse_json("value").alias("doc"))
@@ -204,7 +210,12 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
         FORMATS.items(),
         F.lit(None).cast("string"),
     )
-    files = list_files(spark, root).withColumn("family", family).filter("family IS NOT NULL")
+    _, inner, prefix = file_system(root)
+    base = prefix + inner.rstrip("/") + "/"
+    relative = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path"))
+    # Spark never reads names that start with . or _, except partition folders.
+    hidden = F.exists(F.split(relative, "/"), lambda p: p.startswith(".") | (p.startswith("_") & ~p.contains("=")))
+    files = list_files(spark, root).withColumn("family", family).filter("family IS NOT NULL").filter(~hidden)
     kinds = {r.family for r in files.select("family").distinct().collect()}
     if not kinds:
         raise ValueError(f"No data files below {root!r}.")
@@ -233,9 +244,6 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
             )
         )
     found = reduce(DataFrame.unionByName, seen)
-    _, inner, prefix = file_system(root)
-    base = prefix + inner.rstrip("/") + "/"
-    relative = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path"))
     folder = F.regexp_replace(F.col("relative_path"), "/?[^/]*$", "")
     signature = F.when(F.col("error").isNull(), F.sha2(F.to_json("columns"), 256))
     return (
@@ -341,8 +349,9 @@ def compact_dataset(spark: SparkSession, root: str, out: str, target_mb: int = 2
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        table = spark.read.parquet(root)
-        plain = spark.read.option("recursiveFileLookup", True).parquet(root)
+        reader = spark.read.option("mergeSchema", True)
+        table = reader.parquet(root)
+        plain = reader.option("recursiveFileLookup", True).parquet(root)
         keys = [c for c in table.columns if c not in plain.columns]
         writer = table.hint("rebalance", *keys).write.mode("errorifexists")
         (writer.partitionBy(*keys) if keys else writer).parquet(out)

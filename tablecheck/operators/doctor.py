@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -416,9 +416,10 @@ def doctor(spark: SparkSession, path: str | list[str], decode: bool = False) ->
     checks = {name: _as_issues(rows, level, name, subject) for name, (rows, level, subject) in found.items()}
     try:
         paths = [path] if isinstance(path, str) else path
-        table = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet").parquet(*paths)
+        reader = spark.read.options(ignoreCorruptFiles=True, recursiveFileLookup=True, mergeSchema=True)
+        table = reader.option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(*paths)
         checks |= _quality_issues(table)
-    except AnalysisException:
+    except PySparkException:  # no file can be read, or their columns contradict each other
         unread = spark.createDataFrame([(["not_scanned"],)], "issues array<string>")
         checks["data_quality"] = _as_issues(unread, "warning", "data_quality", F.lit("table"))
     return _report(checks)

@@ -15,6 +15,8 @@ from .spreading import spread
 
 # Beyond this many aggregates in one plan node the generated code outgrows the JVM limits.
 AGGREGATES_PER_PASS = 400
+# Columns stacked into (column, value) pairs by one plan node; each pass reads its columns only.
+COLUMNS_PER_PASS = 200
 
 Metrics = dict[str, Column]
 
@@ -68,9 +70,14 @@ def value_counts(df: DataFrame, labelled: bool = False) -> DataFrame:
     third of the table to one row per task; long texts travel as their
     digest, if ``labelled`` with the value cut for display beside it.
     """
-    fields = df.schema.fields
-    texts = [values.as_text(names.col(f.name), f.dataType).alias(f"v{i}") for i, f in enumerate(fields)]
-    pairs = ", ".join(f"{i}, v{i}" for i in range(len(fields)))
+    fields = list(enumerate(df.schema.fields))
+    passes = [fields[i : i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
+    return reduce(DataFrame.unionByName, [_value_counts(df, part, labelled) for part in passes])
+
+
+def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]], labelled: bool) -> DataFrame:
+    texts = [values.as_text(names.col(f.name), f.dataType).alias(f"v{i}") for i, f in fields]
+    pairs = ", ".join(f"{i}, v{i}" for i, _ in fields)
     long = spread(df).select(*texts).selectExpr(f"stack({len(fields)}, {pairs}) as (pos, v)")
     v = F.when(F.col("v") != "", F.col("v"))
     keys = [F.col("pos"), values.compact(v).alias("key")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,13 @@ EXTENSIONS = (".arrow", ".ipc", ".feather")
 SHORT_NAME = "arrowfile"
 # Batches read by one task; a file with more is split.
 BATCHES_PER_TASK = 16
+# With more files than this there are tasks enough, and no file is opened to plan them.
+MANY_FILES = 2_000
 
 
 @dataclass
 class BatchRange(InputPartition):
-    """Record batches ``start .. end`` of a file; a stream (``end`` = -1) is read whole."""
+    """Record batches ``start .. end`` of a file; with ``end`` -1 all of it, whatever its layout."""
 
     path: str
     start: int
@@ -57,6 +60,16 @@ def _paths(path: str) -> list[str]:
     return sorted(result)
 
 
+def _split(path: str) -> list[BatchRange]:
+    system, inner, _ = file_system(path)
+    with system.open_input_file(inner) as source:
+        reader, is_file = _open(source)
+        if not is_file:
+            return [BatchRange(path, 0, -1)]
+        count = reader.num_record_batches
+    return [BatchRange(path, i, min(i + BATCHES_PER_TASK, count)) for i in range(0, count, BATCHES_PER_TASK)]
+
+
 def _open(source):
     """(reader, is a file): the file layout first, then the stream layout."""
     import pyarrow as pa
@@ -97,15 +110,11 @@ class ArrowFileReader(DataSourceReader):
         self.path, self.schema = path, schema
 
     def partitions(self) -> list[BatchRange]:
-        parts = []
-        for path in _paths(self.path):
-            system, inner, _ = file_system(path)
-            with system.open_input_file(inner) as source:
-                reader, is_file = _open(source)
-                count = reader.num_record_batches if is_file else -1
-            if count < 0:
-                parts.append(BatchRange(path, 0, -1))
-            parts += [BatchRange(path, i, min(i + BATCHES_PER_TASK, count)) for i in range(0, max(count, 0), BATCHES_PER_TASK)]
+        paths = _paths(self.path)
+        if len(paths) > MANY_FILES:
+            return [BatchRange(p, 0, -1) for p in paths]
+        with ThreadPoolExecutor(32) as pool:
+            parts = [part for found in pool.map(_split, paths) for part in found]
         return parts or [BatchRange("", 0, 0)]
 
     def read(self, partition: BatchRange) -> Iterator:
@@ -118,7 +127,8 @@ class ArrowFileReader(DataSourceReader):
         system, inner, _ = file_system(partition.path)
         with system.open_input_file(inner) as source:
             reader, is_file = _open(source)
-            batches = (reader.get_batch(i) for i in range(partition.start, partition.end)) if is_file else reader
+            end = reader.num_record_batches if is_file and partition.end < 0 else partition.end
+            batches = (reader.get_batch(i) for i in range(partition.start, end)) if is_file else reader
             for batch in batches:
                 columns = [batch.column(f.name) if f.name in batch.schema.names else pa.nulls(len(batch), f.type) for f in target]
                 cast = [c if c.type == f.type else c.cast(f.type, safe=False) for c, f in zip(columns, target)]

@@ -21,13 +21,14 @@ def read_table(spark: SparkSession, path: str, options: dict | None = None) -> D
     ``options`` are the reader options of the format (see ``sources.options``)
     plus, for any text format, ``schema`` to skip the pass that infers types
     and ``multi_line`` for line breaks inside values (such files are not split).
-    ``format`` overrides the extension.
+    ``format`` overrides the extension; ``merge_schema`` unites the columns of
+    Parquet files that differ.
     """
     given = dict(options or {})
     family = given.pop("format", None) or format_of(path)[0]
     chosen = normalize_options(family, given)
     if family == "parquet":
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", bool(given.get("merge_schema"))).parquet(path)
     if family == "orc":
         return spark.read.orc(path)
     if family in DELIMITERS:

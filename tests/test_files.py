@@ -50,6 +50,11 @@ def test_doctor_reports_broken_files_and_checks_the_rest(spark, broken):
     assert advice.count() == advice.distinct().count() > 2
 
 
+def test_doctor_of_files_that_differ(spark, folder):
+    found = doctor.doctor(spark, folder)
+    assert found.filter("category = 'data_quality' AND message = 'high_null_ratio' AND subject = 'w'").count() == 1
+
+
 def test_row_groups_and_statistics(spark, tmp_path):
     n = 1000
     table = pa.table({"k": list(range(n)), "same": [7] * n, "none": pa.array([None] * n, pa.int64()), "low": ["a", "b"] * (n // 2)})
@@ -231,6 +236,8 @@ def test_listing_finds_empty_and_nested_files(spark, folder):
 def test_scan_of_other_formats(spark, tmp_path):
     (tmp_path / "a b+c.csv").write_text('id,name,at\n1,"x,y",2024-01-01\n2,z,2024-01-02\n')
     (tmp_path / "head.csv").write_text("id,name\n")
+    (tmp_path / "UP.CSV").write_text("id\n5\n6\n7\n")
+    (tmp_path / "_hidden.csv").write_text("id\n5\n")
     (tmp_path / "t.tsv").write_text("k\tv\n1\ttrue\n")
     (tmp_path / "l.jsonl").write_text('{"a":1}\n\n{"a":2}\n')
     (tmp_path / "d.json").write_text('[{"a":1},\n{"a":2},{"a":3}]')
@@ -239,7 +246,7 @@ def test_scan_of_other_formats(spark, tmp_path):
     got = {r.relative_path.rsplit("/", 1)[-1][-6:]: r for r in dataset.scan_dataset(spark, str(tmp_path)).collect()}
     csv = got["+c.csv"[-6:]]
     assert csv.row_count == 2 and [(c.name, c.type_signature) for c in csv.columns] == [("id", "NUMERIC"), ("name", "TEXT"), ("at", "TEMPORAL")]
-    assert got["ad.csv"].row_count == 0
+    assert got["ad.csv"].row_count == 0 and got["UP.CSV"].row_count == 3 and "en.csv" not in " ".join(got)
     assert [c.type_signature for c in got["t.tsv"].columns] == ["NUMERIC", "BOOLEAN"]
     assert got[".jsonl"].row_count == 2 and got["d.json"].row_count == 3
     assert got["ndjson"].error is not None
@@ -256,10 +263,12 @@ def test_compaction(spark, tmp_path):
     root, out = str(tmp_path / "in"), str(tmp_path / "out")
     df = spark.range(1000).select("id", F.when(F.col("id") < 700, "01").otherwise("2").alias("p"))
     df.repartition(20).write.partitionBy("p").parquet(root)
+    spark.range(3).select(F.lit(0).cast("long").alias("id"), F.lit("x").alias("late"), F.lit("01").alias("p")).write.mode("append").partitionBy("p").parquet(root)
     setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(setting)
     dataset.compact_dataset(spark, root, out, 64)
     files = rows(list_files(spark, out).filter("path LIKE '%.parquet'").select("path"))
     assert len(files) == 2 and any("p=01" in f[0] for f in files)
     assert spark.read.parquet(out).agg(F.sum("id")).first()[0] == sum(range(1000))
+    assert spark.read.parquet(out).filter("late = 'x'").count() == 3
     assert spark.conf.get(setting) == before

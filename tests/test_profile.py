@@ -81,6 +81,12 @@ def test_duplicates_treat_null_and_empty_alike(spark):
     assert profile.duplicate_rows(df).first()[0] == 3
 
 
+def test_wide_tables_take_several_passes(spark):
+    df = spark.range(6).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(230)])
+    got = {r.column: r.distinct_count for r in profile.profile_columns(df).collect()}
+    assert got == {f"c{i}": min(i + 1, 6) for i in range(230)}
+
+
 def test_findings(spark):
     df = spark.range(10).select(
         F.lit(1).alias("same"), F.when(F.col("id") < 2, None).otherwise(F.col("id")).alias("gaps"), F.lit(None).cast("string").alias("none")

@@ -6,7 +6,7 @@ import pytest
 from conftest import rows, same_rows
 from pyspark.sql import functions as F
 
-from tablecheck.sources import catalog, folder, jsonrecords, options, tables
+from tablecheck.sources import arrowfile, catalog, folder, jsonrecords, options, tables
 
 
 def write(path, text, encoding="utf-8"):
@@ -80,7 +80,7 @@ def test_flatten_keeps_dots_and_lists(spark):
     assert rows(flat) == [(1, 2, "x", "[1,2]")]
 
 
-def test_arrow_layouts(spark, tmp_path):
+def test_arrow_layouts(spark, tmp_path, monkeypatch):
     table = pa.table({"id": list(range(100)), "t": [f"v{i}" for i in range(100)]})
     with pa.OSFile(str(tmp_path / "a.arrow"), "wb") as sink, pa.ipc.new_file(sink, table.schema) as w:
         for batch in table.to_batches(max_chunksize=3):
@@ -93,6 +93,9 @@ def test_arrow_layouts(spark, tmp_path):
     for name in ("a.arrow", "s.ipc", "f.feather"):
         df = tables.read_table(spark, str(tmp_path / name))
         assert df.agg(F.count("*"), F.sum("id")).first() == (100, 4950), name
+    monkeypatch.setattr(arrowfile, "MANY_FILES", 0)
+    assert tables.read_table(spark, str(tmp_path)  + "/a.arrow").count() == 100
+    monkeypatch.undo()
     split = tables.read_table(spark, str(tmp_path / "a.arrow"))
     assert split.rdd.getNumPartitions() == 3  # 34 batches, 16 per task
 

@@ -170,7 +170,7 @@ def _top_twin(source: str, columns: list[str]) -> str:
     SELECT "column", rank, value, value_count FROM (
       SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value_count DESC, value, key) AS rank FROM (
         SELECT "column", CASE WHEN length(v) > 24 THEN substring(v, 1, 23) || '...' ELSE v END AS value,
-               CASE WHEN length(v) > 64 THEN sha256(v) ELSE v END AS key, count(*) AS value_count
+               CASE WHEN length(v) > 64 THEN '#' || sha256(v) ELSE v END AS key, count(*) AS value_count
         FROM ({long_form(source, columns)}) WHERE v IS NOT NULL GROUP BY ALL))
     WHERE rank <= 3"""
 

@@ -14,6 +14,7 @@ DATE_PATTERN = r"^\s*\d{4}-\d{1,2}(-\d{1,2}([T ].*)?)?\s*$"
 CLOCK_PATTERN = r"[tT ]\d{1,2}:\d{2}"
 
 LONGEST_PLAIN_KEY = 64
+DIGEST_MARK = "#"
 
 
 def as_text(value: Column, dtype: T.DataType) -> Column:
@@ -65,13 +66,20 @@ def is_boolean_text(text: Column) -> Column:
     return F.lower(text).isin("true", "false")
 
 
+def is_long(text: Column) -> Column:
+    """Longer than a plain key, and not a number with very many digits."""
+    trimmed = F.trim(text)
+    return (F.length(trimmed) > LONGEST_PLAIN_KEY) & trimmed.rlike("[^0-9eE.+-]")
+
+
 def compact(text: Column) -> Column:
-    """The text itself, or the SHA-256 of a long one.
+    """The text itself, or a mark and the SHA-256 of a long one.
 
     Grouping whole documents would shuffle them; 64 hex digits stand for the
-    whole text (not a prefix of it) and meet only by a SHA-256 collision.
+    whole text (not a prefix of it) and meet only by a SHA-256 collision. A
+    digest never reads as a number, date or Boolean, as no long text does.
     """
-    return F.when(F.length(text) > LONGEST_PLAIN_KEY, F.sha2(text, 256)).otherwise(text)
+    return F.when(is_long(text), F.concat(F.lit(DIGEST_MARK), F.sha2(text, 256))).otherwise(text)
 
 
 def group_key(value: Column, dtype: T.DataType) -> Column:

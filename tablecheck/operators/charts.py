@@ -64,17 +64,18 @@ def histogram(df: DataFrame, x: str, limit: int | None = None) -> DataFrame:
     """``bin, bin_start, bin_end, count``: bins of equal width over min..max.
 
     The last bin is closed; a constant column falls into bin 0 of width 1;
-    empty bins are kept. The bounds are scalar subqueries, so the table is
+    empty bins are kept. The bounds are a scalar subquery, so the table is
     read twice and only bin counts are shuffled.
     """
     bins = min(MOST_BINS, max(FEWEST_BINS, limit or USUAL_POINTS))
     numbers = df.select(_number(df, x).alias("v")).filter("v IS NOT NULL")
-    low = numbers.agg(F.min("v").alias("low")).scalar()
-    high = numbers.agg(F.max("v").alias("high")).scalar()
+    ends = numbers.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("ends")).scalar()
+    low, high = F.col("ends.low"), F.col("ends.high")
     width = F.when(high == low, F.lit(1.0)).otherwise((high - low) / bins)
     place = F.when(high == low, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / width)))
-    counted = numbers.select(place.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    placed = numbers.select("v", ends.alias("ends")).select(place.cast("int").alias("bin"))
+    counted = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), ends.alias("ends"))
     # At most MOST_BINS rows on either side.
     filled = frame.join(F.broadcast(counted), "bin", "left")
     start, end = low + F.col("bin") * width, low + (F.col("bin") + 1) * width

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..plans.files import footer_rows, file_system, list_files
 from ..plans.shipping import ship_package
+from ..plans.storage import checkpointed
 from ..sources.options import DELIMITERS, FORMATS, normalize_options
 from ..sources.workbooks import workbook_rows
 
@@ -204,6 +205,7 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
 
     Parquet, ORC and Arrow files are asked for their metadata only. Delimited
     and JSON files are read by Spark, split as usual, and counted per file.
+    The scan is stored, since every report on it would repeat it.
     """
     family = reduce(
         lambda rest, item: F.when(F.lower("path").endswith(item[0]), F.lit(item[1][0])).otherwise(rest),
@@ -220,14 +222,12 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
     if not kinds:
         raise ValueError(f"No data files below {root!r}.")
     ship_package(spark)
-    tasks = 4 * spark.sparkContext.defaultParallelism
     seen = []
     direct = [k for k in kinds if k in ("parquet", "orc", "arrow", "feather")]
     if direct:
-        chosen = files.filter(F.col("family").isin(*direct)).repartition(tasks, "path")
-        seen.append(chosen.mapInPandas(_inspect, _FOUND))
+        seen.append(files.filter(F.col("family").isin(*direct)).mapInPandas(_inspect, _FOUND))
     for kind in sorted(kinds & set(DELIMITERS)):
-        headers = files.filter((F.col("family") == kind)).repartition(tasks, "path").mapInPandas(_inspect, _FOUND)
+        headers = files.filter(F.col("family") == kind).mapInPandas(_inspect, _FOUND)
         seen.append(_delimited(spark, root, kind, headers))
     if "json" in kinds:
         seen.append(_json(spark, root, files.filter("family = 'json'")))
@@ -246,7 +246,7 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
     found = reduce(DataFrame.unionByName, seen)
     folder = F.regexp_replace(F.col("relative_path"), "/?[^/]*$", "")
     signature = F.when(F.col("error").isNull(), F.sha2(F.to_json("columns"), 256))
-    return (
+    return checkpointed(
         files.join(found, "path", "left")
         .withColumn("relative_path", relative)
         .withColumn("partition_dir", F.when(folder == "", ".").otherwise(folder))

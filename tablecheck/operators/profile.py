@@ -69,15 +69,13 @@ def _text_tests(df: DataFrame) -> DataFrame:
 def _exact_counts(df: DataFrame) -> DataFrame:
     """Counts of every column from the (column, value) frequencies: one shuffle.
 
-    The value tests run once per distinct value. A digest stands for a long
-    text; no number, boolean or date is that long.
+    The value tests run once per distinct value.
     """
     # One row per column of the schema.
     kinds = F.broadcast(_kinds(df))
     counted = value_counts(df).join(kinds, "pos")
     n = F.col("n")
-    short = F.when(F.length("key") < values.LONGEST_PLAIN_KEY, F.col("key"))
-    tested = _text_tests(counted.select("*", F.col("key").isNotNull().alias("here"), short.alias("text")))
+    tested = _text_tests(counted.select("*", F.col("key").isNotNull().alias("here"), F.col("key").alias("text")))
     number = F.col("number")
     return tested.groupBy("pos", "column").agg(
         F.sum(n).alias("row_count"),

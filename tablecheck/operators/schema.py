@@ -14,6 +14,7 @@ from ..functions import types as ty
 from ..plans.files import COLUMN_STRUCT, footers
 from ..plans.shipping import ship_package
 from ..plans.small import small_frame
+from ..plans.storage import checkpointed
 
 # Least likeness of names for a rename, its rounding; documentation columns.
 RENAME_LIKENESS = 0.62
@@ -175,7 +176,7 @@ def schema_drift_dataset(spark: SparkSession, path: str | list[str], reference:
     then = [(r.path, r.type_signature) for r in known]
     files = footers(spark, path).filter("columns IS NOT NULL")
     listed = files.select("path", F.transform("columns", lambda c: F.struct(c["path"], c["type_signature"])).alias("now"))
-    listed = listed.withColumn("schema_key", F.sha2(F.to_json("now"), 256))
+    listed = checkpointed(listed.withColumn("schema_key", F.sha2(F.to_json("now"), 256)))
     distinct = listed.groupBy("schema_key").agg(F.first("now").alias("now"))
 
     @F.pandas_udf(f"array<struct<{DRIFT_SCHEMA}>>")

@@ -84,7 +84,7 @@ def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]], labell
     if not labelled:
         return long.select(*keys).groupBy("pos", "key").agg(F.count(F.lit(1)).alias("n"))
     # A short text is its own label; only a digest needs one beside it.
-    cut = F.when(F.length(v) > values.LONGEST_PLAIN_KEY, label(v)).alias("cut")
+    cut = F.when(values.is_long(v), label(v)).alias("cut")
     counted = long.select(*keys, cut).groupBy("pos", "key", "cut").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("pos", "key", F.coalesce("cut", label(F.col("key"))).alias("label"), "n")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship_package
+from .small import small_frame
 
 # The four bytes at both ends of a Parquet file, least size of one.
 PARQUET_MAGIC = b"PAR1"
@@ -47,11 +48,13 @@ def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """``path, file_size`` of every file below the given files or folders.
 
     The driver opens folders level by level only until there is one for every
-    core; the rest of the tree is listed in tasks.
+    core; the rest of the tree is listed in tasks. The result is spread out,
+    ready for a task per file or few.
     """
     import pyarrow.fs as pafs
 
     wanted = spark.sparkContext.defaultParallelism
+    tasks = 4 * wanted
     folders: list[str] = []
     files: list[tuple[str, bool, int]] = []
     for one in [root] if isinstance(root, str) else root:
@@ -75,13 +78,13 @@ def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
                 else:
                     files.append((prefix + info.path, False, info.size))
         folders = below
-    seeds = spark.createDataFrame(files + [(f, True, 0) for f in folders], "path string, is_folder boolean, file_size bigint")
+    seeds = small_frame(spark, files + [(f, True, 0) for f in folders], "path string, is_folder boolean, file_size bigint")
     if not folders:
-        return seeds.select("path", "file_size")
+        return seeds.select("path", "file_size").repartition(max(1, min(len(files), tasks)))
     spread = seeds.filter("is_folder").repartition(min(len(folders), 10 * wanted))
     ship_package(spark)
     inside = spread.select("path").mapInPandas(_list_below, "path string, file_size bigint")
-    return seeds.filter("NOT is_folder").select("path", "file_size").unionByName(inside)
+    return seeds.filter("NOT is_folder").select("path", "file_size").unionByName(inside).repartition(tasks, "path")
 
 
 def _list_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,14 +106,13 @@ def read_footers(files: DataFrame, decode: bool = False) -> DataFrame:
     ``error``; nothing is raised.
     """
     ship_package(files.sparkSession)
-    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, size in zip(batch["path"], batch["file_size"]):
                 yield pd.DataFrame(footer_rows(path, int(size), decode), columns=_FOOTER_COLUMNS)
 
-    return files.select("path", "file_size").repartition(tasks, "path").mapInPandas(scan, FOOTER_SCHEMA)
+    return files.select("path", "file_size").mapInPandas(scan, FOOTER_SCHEMA)
 
 
 _FOOTER_COLUMNS = [

@@ -118,8 +118,7 @@ def workbook_rows(files: DataFrame, options: dict) -> DataFrame:
                     yield pd.DataFrame(rows, columns=fields)
 
     ship_package(files.sparkSession)
-    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
-    return files.select("path").repartition(tasks, "path").mapInPandas(read, ROW_SCHEMA)
+    return files.select("path").mapInPandas(read, ROW_SCHEMA)
 
 
 def read_workbooks(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:

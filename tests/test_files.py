@@ -209,7 +209,7 @@ def folder(spark, tmp_path_factory):
 
 
 def test_dataset_scan(spark, folder):
-    scan = dataset.scan_dataset(spark, folder).cache()
+    scan = dataset.scan_dataset(spark, folder)
     got = {r.relative_path: r for r in scan.collect()}
     assert len(got) == 8
     assert got["dt=2024-01-01/region=eu/a.parquet"].partition_values == {"dt": "2024-01-01", "region": "eu"}
@@ -225,7 +225,6 @@ def test_dataset_scan(spark, folder):
     assert {r.message for r in dataset.dataset_warnings(scan).collect()} == set(dataset.ADVICE)
     totals = dataset.dataset_totals(scan).first()
     assert totals.file_count == 8 and totals.total_rows == 40200
-    scan.unpersist()
 
 
 def test_listing_finds_empty_and_nested_files(spark, folder):

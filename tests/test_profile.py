@@ -76,6 +76,12 @@ def test_long_values_are_told_apart_beyond_any_prefix(spark):
     assert [(r.value, r.value_count) for r in top] == [("x" * 23 + "...", 2), ("x" * 23 + "...", 1)]
 
 
+def test_long_numbers_are_numbers(spark):
+    df = spark.createDataFrame([("1" * 90,), ("0." + "3" * 80,), (" " * 70 + "5",), ("9" * 400,), ("a" + "1" * 90,)], "t string")
+    got = profile.profile_columns(df).first()
+    assert (got.numeric_count, got.distinct_count, got.numeric_max) == (3, 5, float("1" * 90))
+
+
 def test_duplicates_treat_null_and_empty_alike(spark):
     df = spark.createDataFrame([(1, None), (1, ""), (1, "NULL"), (2, "a"), (None, "a"), (None, "a")], "k int, t string")
     assert profile.duplicate_rows(df).first()[0] == 3

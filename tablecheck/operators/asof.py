@@ -16,60 +16,53 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, le
     Right columns must not share names with left ones. Of right rows with the
     same key and time the greatest row counts.
 
-    A key may hold a large part of all rows, so the window is not per key but
-    per key and time slice (slices are quantiles of the right times). The last
-    right row of each earlier slice is carried into the next ones as an extra
-    row: at most one row per key and slice, found by map-side aggregation.
+    A key may hold a large part of all rows, and so may one time of a key.
+    Rows of equal key and time have the same match, so both sides are first
+    reduced to distinct (key, time), combined before the shuffle. The window
+    over these is per key and time slice (slices are quantiles over both
+    sides); the last right row of each earlier slice is carried into the next
+    ones as an extra row, at most one per key and slice. The matches are then
+    joined to the left rows, where AQE can split a hot key.
     """
     if how not in ("inner", "left"):
         raise ValueError("An as-of join is 'inner' or 'left'.")
-    cuts = cut_points(right, number_line(right, right_on), shuffle_partitions(left.sparkSession))
+    left_time, right_time = number_line(left, left_on), number_line(right, right_on)
+    times = left.select(left_time.alias("t")).unionByName(right.select(right_time.alias("t")))
+    cuts = cut_points(times, F.col("t"), shuffle_partitions(left.sparkSession))
 
-    def slice_of(df: DataFrame, name: str) -> Column:
-        return slice_number(number_line(df, name), cuts)
+    def keyed(df: DataFrame, by: str, on: str, time: Column) -> DataFrame:
+        here = names.col(by).isNotNull() & names.col(on).isNotNull()
+        columns = [names.col(by).alias("by"), slice_number(time, cuts).alias("slice"), names.col(on).alias("at")]
+        return df.filter(here).select(*columns, *([row.alias("r")] if df is right else []))
 
+    # The time leads, so the greatest of several rows is the latest one.
     row = F.struct(names.col(right_on), *[names.col(c) for c in right.columns if c != right_on])
-    match_type = right.select(row.alias("r")).schema["r"].dataType
-    nothing = F.lit(None).cast(match_type)
-    left_row = F.struct(*[names.col(c) for c in left.columns])
-    left_type = left.select(left_row.alias("l")).schema["l"].dataType
+    known = keyed(right, right_by, right_on, right_time).groupBy("by", "slice", "at").agg(F.max("r").alias("r"))
+    asked = keyed(left, left_by, left_on, left_time).distinct()
+    nothing = F.lit(None).cast(known.schema["r"].dataType).alias("r")
 
-    usable = right.filter(names.col(right_by).isNotNull() & names.col(right_on).isNotNull())
-    later = usable.select(
-        names.col(right_by).alias("by"), slice_of(right, right_on).alias("slice"), names.col(right_on).alias("at"), row.alias("r")
-    )
-    carried = Window.partitionBy("by").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        later.select("by", "slice", "r")
-        .unionByName(left.select(names.col(left_by).alias("by"), slice_of(left, left_on).alias("slice"), nothing.alias("r")))
-        .groupBy("by", "slice")
+    earlier = Window.partitionBy("by").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    last_of_slice = known.select("by", "slice", "r").unionByName(asked.select("by", "slice", nothing))
+    carried = (
+        last_of_slice.groupBy("by", "slice")
         .agg(F.max("r").alias("r"))
-        .withColumn("r", F.last("r", ignorenulls=True).over(carried))
+        .withColumn("r", F.last("r", ignorenulls=True).over(earlier))
         .filter("r IS NOT NULL")
     )
-    asked = left.select(
-        names.col(left_by).alias("by"),
-        slice_of(left, left_on).alias("slice"),
-        names.col(left_on).alias("at"),
-        F.lit(2).alias("turn"),
-        nothing.alias("r"),
-        left_row.alias("l"),
-    )
-    no_left = F.lit(None).cast(left_type).alias("l")
-    rows = asked.unionByName(later.withColumn("turn", F.lit(1)).select("*", no_left))
-    at_type = rows.schema["at"].dataType
-    rows = rows.unionByName(slices.select("by", "slice", F.lit(None).cast(at_type).alias("at"), F.lit(0).alias("turn"), "r", no_left))
-    order = Window.partitionBy("by", "slice").orderBy(F.col("at").asc_nulls_first(), "turn", F.col("r").asc_nulls_first())
-    found = rows.withColumn(
-        "found", F.last("r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).filter("l IS NOT NULL")
-    # A left row without time or key sorts beside the carried row but matches nothing.
-    found = found.withColumn("found", F.when(F.col("at").isNotNull() & F.col("by").isNotNull(), F.col("found")))
-    if how == "inner":
-        found = found.filter("found IS NOT NULL")
-    return found.select(
-        *[F.col("l").getField(c).alias(c) for c in left.columns], *[F.col("found").getField(c).alias(c) for c in right.columns]
+    # In a slice: the carried row, then right rows before left rows of the same time.
+    rows = asked.select("*", F.lit(2).alias("turn"), nothing).unionByName(known.withColumn("turn", F.lit(1)))
+    no_time = F.lit(None).cast(rows.schema["at"].dataType).alias("at")
+    rows = rows.unionByName(carried.select("by", "slice", no_time, F.lit(0).alias("turn"), "r"))
+    so_far = Window.partitionBy("by", "slice").orderBy(F.col("at").asc_nulls_first(), "turn")
+    found = F.last("r", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    matches = (
+        rows.select(F.col("by").alias("__by"), F.col("at").alias("__at"), "turn", found.alias("__found"))
+        .filter("turn = 2 AND __found IS NOT NULL")
+        .drop("turn")
     )
+    joined = left.join(matches, (names.col(left_by) == F.col("__by")) & (names.col(left_on) == F.col("__at")), how)
+    columns = [F.col("__found").getField(c).alias(c) for c in right.columns]
+    return joined.select(*[names.col(c) for c in left.columns], *columns)
 
 
 def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str) -> DataFrame:

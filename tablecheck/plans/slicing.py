@@ -28,23 +28,24 @@ def cut_points(df: DataFrame, value: Column, slices: int) -> list[float]:
 
 
 def slice_number(value: Column, cuts: list[float]) -> Column:
-    """How many cut points are at or below the value.
+    """How many cut points are below the value; 0 for null.
 
-    Looked up in two steps (block, then place in the block), so a row is
-    compared with about ``2 * sqrt(n)`` of the n points.
+    Looked up in two steps (block, then place in the block), so a row meets
+    about ``2 * sqrt(n)`` of the n points. Built without lambda functions,
+    over which the optimizer of Spark 4.1 can trip when unions follow.
     """
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts) - 1) + 1
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
 
-    def at_or_below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda p: p <= value))
+    def below(points: Column) -> Column:
+        return F.array_position(F.sort_array(F.array_append(points, value)), value).cast("int") - 1
 
-    block = at_or_below(_doubles([b[0] for b in blocks]))
-    inside = at_or_below(F.element_at(F.array(*[_doubles(b) for b in blocks]), F.greatest(block, F.lit(1))))
+    block = F.coalesce(below(_doubles([b[0] for b in blocks])), F.lit(0))
+    inside = below(F.element_at(F.array(*[_doubles(b) for b in blocks]), F.greatest(block, F.lit(1))))
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
 
 
 def _doubles(points: list[float]) -> Column:
-    return F.array(*[F.lit(p) for p in points])
+    return F.array(*[F.lit(float(p)) for p in points])

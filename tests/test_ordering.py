@@ -45,7 +45,7 @@ def test_slice_number(spark, cuts, points):
     cuts = sorted(cuts)
     df = spark.createDataFrame([(p,) for p in points], "p double")
     got = df.select("p", slicing.slice_number(F.col("p"), cuts).alias("s")).collect()
-    assert all(r.s == sum(c <= r.p for c in cuts) for r in got)
+    assert all(r.s == sum(c < r.p for c in cuts) for r in got)
 
 
 def test_unique_names():

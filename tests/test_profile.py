@@ -185,13 +185,14 @@ def test_quick_aggregates_and_columns(spark, tables):
 
 def test_asof_hot_key_against_brute_force(spark):
     left = [(i, "hot" if i % 3 else f"k{i}", i * 10) for i in range(60)] + [(99, None, 5), (98, "hot", None)]
-    right = [(i * 7, "hot", f"r{i}") for i in range(40)] + [(0, "k3", "s")]
+    left += [(200 + i, "hot", 77) for i in range(30)]
+    right = [(i * 7, "hot", f"r{i}") for i in range(40)] + [(0, "k3", "s"), (77, "hot", "r9"), (77, "hot", "r0"), (None, "hot", "n")]
     a = spark.createDataFrame(left, "id int, k string, t int")
     b = spark.createDataFrame(right, "rt int, rk string, name string")
     got = {r.id: r.name for r in asof.asof_join(a, b, "t", "rt", "k", "rk", "left").collect()}
 
     def expected(k, t):
-        mates = [r for r in right if k is not None and t is not None and r[1] == k and r[0] <= t]
+        mates = [r for r in right if None not in (k, t, r[0]) and r[1] == k and r[0] <= t]
         return max(mates)[2] if mates else None
 
     assert got == {i: expected(k, t) for i, k, t in left}

@@ -16,7 +16,7 @@ from ..functions import names, values
 from ..functions import types as ty
 from ..operators.joins import join_tables
 from ..operators.query import run_sql
-from ..operators.writetypes import as_write_type, write_type
+from ..operators.writetypes import as_write_type
 from ..plans.files import file_system
 from ..sources import arrowfile
 from ..sources.catalog import open_relation

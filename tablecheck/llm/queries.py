@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, pii, sharding
+from tablecheck.llm import bpe, mixing, pii, quality_rules, sharding
 from tablecheck.llm.common import load
 
 
@@ -25,11 +25,20 @@ def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_histogram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(load(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(load(spark, sf_dir, "documents"))
+
+
 def op10_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op4_stratified_shards, op10_disguised_pii)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op4_stratified_shards, op6_histogram_rules, op9_flow_mix, op10_disguised_pii)}
 
 # Checksums come from a table of 256 entries, made by the polynomial's rule; the hash is that of common.seeded_hash.
 _OP4 = """

@@ -18,12 +18,12 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from tablecheck.llm.common import ship_package
+from tablecheck.llm.common import map_slices, schema_with, with_column
 
 #: Characters of a piece that is given to the library at once.
 PIECE = 16_384
@@ -83,9 +83,9 @@ class Codec:
                 heapq.heappush(heap, (r, k, stop))
         return [self.ranks[match[i : end[i]]] for i in range(size) if alive[i]]
 
-    def decode(self, ids) -> bytes | None:
+    def decode(self, ids: list[int]) -> bytes | None:
         try:
-            return b"".join([self.tokens[i] for i in ids.tolist()])
+            return b"".join([self.tokens[i] for i in ids])
         except KeyError:
             return None
 
@@ -115,58 +115,57 @@ def codec(ranks_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-class Bpe:
-    """Column functions for one rank file. ``path``: the file, on the driver."""
+def _shared_codec(spark: SparkSession, path: str, pattern: str):
+    """The rank file's bytes and the pattern, sent to the executors once."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast((file.read(), pattern))
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        ship_package(spark)
-        with open(path, "rb") as file:
-            shared = spark.sparkContext.broadcast((file.read(), pattern))
 
-        @F.pandas_udf(ArrayType(IntegerType()))
-        def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode = codec(*shared.value).encode
-            for texts in batches:
-                yield pd.Series([encode(t or "") for t in texts], dtype=object)
-
-        @F.pandas_udf(BinaryType())
-        def decode_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            decode = codec(*shared.value).decode
-            for lists in batches:
-                yield pd.Series([None if ids is None else decode(ids) for ids in lists], dtype=object)
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """All columns of the documents, and the ids of the text in ``ids`` (which replaces a column of that name).
 
-        self._encode, self._decode = encode_texts, decode_ids
+    ``path``: the rank file, on the driver.
+    """
+    shared = _shared_codec(docs.sparkSession, path, pattern)
 
-    def encode(self, text: Column) -> Column:
-        return self._encode(text)
+    def start():
+        encode = codec(*shared.value).encode
+        return lambda b: with_column(b, ids, pa.array([encode(t or "") for t in b.column(text).to_pylist()], pa.list_(pa.int32())))
 
-    def decode(self, ids: Column) -> Column:
-        return self._decode(ids)
+    return map_slices(docs, start, schema_with(docs, ids, ArrayType(IntegerType())))
 
 
-@F.pandas_udf(BinaryType())
-def little_endian(lists: pd.Series) -> pd.Series:
-    """Ids as unsigned 32-bit integers, least byte first."""
-    return pd.Series([None if ids is None else np.asarray(ids).astype("<u4").tobytes() for ids in lists], dtype=object)
+def decode_documents(rows: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """All columns of the rows, and the bytes that the ids stand for in ``decoded``."""
+    shared = _shared_codec(rows.sparkSession, path, pattern)
 
+    def start():
+        decode = codec(*shared.value).decode
+        return lambda b: with_column(b, decoded, pa.array([None if x is None else decode(x) for x in b.column(ids).to_pylist()], pa.binary()))
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of the documents, with the ids of the text in a further column ``ids`` (which replaces one of that name)."""
-    return docs.withColumn(ids, Bpe(docs.sparkSession, path, pattern).encode(F.col(text)))
+    return map_slices(rows, start, schema_with(rows, decoded, BinaryType()))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the ids of every text and the bytes that they decode to."""
-    bpe = Bpe(docs.sparkSession, path, pattern)
-    encoded = docs.select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    """(doc_id, n_tokens, packed, decoded): the ids of every text as unsigned 32-bit integers, least byte first, and the bytes that
+    they decode to. One pass, so that no second Python process holds the same texts."""
+    shared = _shared_codec(docs.sparkSession, path, pattern)
+
+    def start():
+        own = codec(*shared.value)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64())]
+            columns += [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x.tolist()) for x in ids], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "packed", "decoded"])
+
+        return work
+
+    kinds = StructType([docs.schema["doc_id"]]).add("n_tokens", LongType()).add("packed", BinaryType()).add("decoded", BinaryType())
+    return map_slices(docs.select("doc_id", "text"), start, kinds)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(trip: DataFrame) -> DataFrame:
     """Per document: the number of ids, and SHA-256 of the ids and of the decoded bytes."""
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian("ids"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return trip.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,12 +1,13 @@
 """Toxicity of documents: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-A word's input is its own vector (words of the training vocabulary) beside the mean vector of its hashed byte trigrams (any word). Two
+A word's input is its own vector (words of the training vocabulary) beside the scaled sum of the vectors of its hashed
+runs of three to five bytes (any word, so that stems count in forms never seen). Two
 gated recurrent layers read a window of ``WINDOW`` words in both directions, attention pools their states, and a logistic unit scores the
 window. Windows overlap and cover the whole text; a document's score is that of its most toxic window.
 
 The network is trained on the driver, in numpy, on a bounded sample: for each label the ``SAMPLE_DOCS`` labelled documents that come first by
 a seeded hash, of at most ``SAMPLE_CHARS`` characters each. Only whole documents are labelled, so training picks the window of each
-document that scores highest, learns from it, and picks again. Word and trigram vectors start from the log odds of
+document that scores highest, learns from it, and picks again. Word and run vectors start from the log odds of
 occurring in toxic documents, so that the first picks are good. At last the threshold is set between the two classes of the sample.
 
 Scoring is a narrow pass over the documents: the network (under 1 MB, whatever the data) is broadcast, windows of a slice of documents are scored together, and
@@ -32,11 +33,12 @@ from tablecheck.llm.common import map_slices, seeded_hash
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
-TRIGRAMS = 4_096
+GRAMS = 16_384
 VOCABULARY = 8_000
 SAMPLE_DOCS = 1_500
 SAMPLE_CHARS = 20_000
 ROUNDS, BATCH, RATE = 4, 128, 0.01
+LEAST_STEPS = 40  # of each round
 KEPT_WORDS = 200_000
 BATCH_WINDOWS = 4_096
 
@@ -47,18 +49,26 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def trigrams(forms: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all words in one row, and where each word's begin. Every word has one at least."""
-    marked = [b"<" + w.encode() + b">" for w in forms]
+def grams(forms: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed runs of three to five bytes of all words in one row, and where each word's begin. No word may be empty."""
+    marked = [b"<" + w.encode() + b">>>" for w in forms]
     lengths = np.array([len(m) for m in marked], dtype=np.int64)
-    data = np.frombuffer(b"".join(marked) + b"\0\0", dtype=np.uint8).astype(np.uint32)
-    hashed = (data[:-2] * np.uint32(0x9E3779B1)) ^ (data[1:-1] * np.uint32(0x85EBCA77)) ^ (data[2:] * np.uint32(0xC2B2AE3D))
-    hashed = (hashed ^ (hashed >> np.uint32(15))) % np.uint32(TRIGRAMS)
+    data = np.frombuffer(b"".join(marked) + b"\0\0\0\0", dtype=np.uint8).astype(np.uint32)
+    n = len(data) - 4
+    run = (data[:n] * np.uint32(0x9E3779B1)) ^ (data[1 : n + 1] * np.uint32(0x85EBCA77)) ^ (data[2 : n + 2] * np.uint32(0xC2B2AE3D))
+    runs = [run]
+    for k in (3, 4):
+        run = (run ^ (run >> np.uint32(13))) * np.uint32(0x27D4EB2F) + data[k : n + k]
+        runs.append(run)
+    hashed = np.stack(runs, axis=1)
+    hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    hashed = (hashed ^ (hashed >> np.uint32(12))) % np.uint32(GRAMS)
     ends = np.cumsum(lengths)
-    inside = np.ones(len(hashed), dtype=bool)
-    inside[ends - 1] = inside[ends - 2] = False
-    starts = np.concatenate([[0], np.cumsum(lengths - 2)[:-1]])
-    return hashed[inside].astype(np.int64), starts.astype(np.int64)
+    inside = np.ones(n, dtype=bool)
+    for k in range(1, 5):
+        inside[ends - k] = False
+    starts = 3 * np.concatenate([[0], np.cumsum(lengths - 4)[:-1]])
+    return hashed[inside].ravel().astype(np.int64), starts.astype(np.int64)
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -82,7 +92,7 @@ class Network:
         self.vocabulary = vocabulary  # word: row of "word", from 1; row 0 is for all others
         self.p = {
             "word": near(len(vocabulary) + 1, WORD_DIM) * 0.3,
-            "char": near(TRIGRAMS, CHAR_DIM) * 0.3,
+            "char": near(GRAMS, CHAR_DIM) * 0.3,
             "in": near(WORD_DIM + CHAR_DIM, 6 * HIDDEN),
             "in_bias": np.zeros(6 * HIDDEN, np.float32),
             "forward": near(HIDDEN, 3 * HIDDEN),
@@ -98,9 +108,9 @@ class Network:
     def features(self, forms: Sequence[str]) -> np.ndarray:
         """Word and character vectors of words."""
         own = np.fromiter((self.vocabulary.get(w, 0) for w in forms), dtype=np.int64, count=len(forms))
-        tri, starts = trigrams(forms)
+        tri, starts = grams(forms)
         counts = np.diff(np.append(starts, len(tri)))
-        chars = np.add.reduceat(self.p["char"][tri], starts, axis=0) / counts[:, None]
+        chars = np.add.reduceat(self.p["char"][tri], starts, axis=0) / np.sqrt(counts)[:, None]
         return np.concatenate([self.p["word"][own], chars], axis=1).astype(np.float32)
 
     def inputs(self, features: np.ndarray) -> np.ndarray:
@@ -193,18 +203,18 @@ def train(texts: Sequence[str | None], labels: Sequence[int]) -> Network:
     forms = list(dict.fromkeys(w for doc in docs for w in doc))
     row = {w: i + 1 for i, w in enumerate(forms)}  # 0: padding
     own = np.array([0, *(net.vocabulary.get(w, 0) for w in forms)])
-    tri, starts = trigrams(["padding", *forms])
+    tri, starts = grams(["padding", *forms])
     counts = np.diff(np.append(starts, len(tri)))
     owner = np.repeat(np.arange(len(starts)), counts)
 
-    # Start from the log odds of words and of trigrams, in the first place of their vectors.
+    # Start from the log odds of words and of runs, in the first place of their vectors.
     odds = np.zeros(len(forms) + 1, np.float32)
     for w, i in row.items():
         odds[i] = np.log((in_docs[1][w] + 0.5) / (n[1] + 1)) - np.log((in_docs[0][w] + 0.5) / (n[0] + 1))
     sure = np.array([0, *(min(1.0, (in_docs[0][w] + in_docs[1][w]) / 20) for w in forms)], np.float32)
     p["word"][own[own > 0], 0] = (odds * sure)[own > 0] * 0.5
-    weight = np.bincount(tri, weights=sure[owner], minlength=TRIGRAMS)
-    p["char"][:, 0] = np.bincount(tri, weights=(odds * sure)[owner], minlength=TRIGRAMS) / np.maximum(weight, 1) * 0.5
+    weight = np.bincount(tri, weights=sure[owner], minlength=GRAMS)
+    p["char"][:, 0] = np.bincount(tri, weights=(odds * sure)[owner], minlength=GRAMS) / np.maximum(weight, 1) * 0.5
 
     per_doc = [windows(np.array([row[w] for w in doc], dtype=np.int64)) for doc in docs]
     all_windows, first = np.concatenate(per_doc), np.concatenate([[0], np.cumsum([len(w) for w in per_doc])])
@@ -212,7 +222,7 @@ def train(texts: Sequence[str | None], labels: Sequence[int]) -> Network:
     rng, moments, step = np.random.default_rng(11), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}, 0
 
     def features() -> np.ndarray:
-        chars = np.add.reduceat(p["char"][tri], starts, axis=0) / counts[:, None]
+        chars = np.add.reduceat(p["char"][tri], starts, axis=0) / np.sqrt(counts)[:, None]
         return np.concatenate([p["word"][own], chars], axis=1).astype(np.float32)
 
     def top() -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +238,7 @@ def train(texts: Sequence[str | None], labels: Sequence[int]) -> Network:
         else:  # no training yet: the window with the highest odds of a word
             scored = np.where(all_windows > 0, (odds * sure)[all_windows], -9).max(axis=1)
             chosen = np.lexsort((-scored, of_doc))[first[:-1]]
-        for _ in range(2):
+        for _ in range(max(2, LEAST_STEPS * BATCH // len(docs))):
             shuffled = rng.permutation(len(docs))
             for k in range(0, len(shuffled), BATCH):
                 part = shuffled[k : k + BATCH]
@@ -245,7 +255,7 @@ def train(texts: Sequence[str | None], labels: Sequence[int]) -> Network:
                 holder = np.repeat(np.arange(len(used)), counts[used])
                 chars = np.zeros((len(used), CHAR_DIM), np.float32)
                 np.add.at(chars, holder, p["char"][tri[spots]])
-                chars /= counts[used][:, None]
+                chars /= np.sqrt(counts[used])[:, None]
                 x = np.concatenate([p["word"][ids], chars], axis=1)
                 kept: dict = {}
                 logit = net.logits(net.inputs(x)[place], wins > 0, kept)
@@ -257,7 +267,7 @@ def train(texts: Sequence[str | None], labels: Sequence[int]) -> Network:
                 d_x = d_in @ p["in"].T
                 g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
                 np.add.at(g["word"], ids, d_x[:, :WORD_DIM])
-                np.add.at(g["char"], tri[spots], (d_x[:, WORD_DIM:] / counts[used][:, None])[holder])
+                np.add.at(g["char"], tri[spots], (d_x[:, WORD_DIM:] / np.sqrt(counts[used])[:, None])[holder])
                 step += 1
                 for name, slope_of in g.items():
                     one, two = moments[name]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, mixing, pii, quality_model, quality_rules, sharding, toxicity
+from tablecheck.llm import bpe, mixing, near_duplicates, pii, quality_model, quality_rules, sharding, toxicity
 from tablecheck.llm.common import load
 
 
@@ -34,6 +34,11 @@ def op6_histogram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(load(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -46,7 +51,7 @@ def op10_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op3_recurrent_toxicity, op4_stratified_shards, op6_histogram_rules, op8_site_quality, op9_flow_mix, op10_disguised_pii)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op3_recurrent_toxicity, op4_stratified_shards, op6_histogram_rules, op7_bottom_k_near_duplicates, op8_site_quality, op9_flow_mix, op10_disguised_pii)}
 
 # Checksums come from a table of 256 entries, made by the polynomial's rule; the hash is that of common.seeded_hash.
 _OP4 = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, mixing, near_duplicates, pii, quality_model, quality_rules, sharding, toxicity
+from tablecheck.llm import bpe, mixing, near_duplicates, nearest, pii, quality_model, quality_rules, repeated_passages, sharding, toxicity
 from tablecheck.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(load(spark, sf_dir, "documents"), *rank_file()))
 
 
+def op2_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.remove_repeats(load(spark, sf_dir, "documents"), length=50)
+
+
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -29,6 +33,10 @@ def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_histogram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(load(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -51,7 +59,7 @@ def op10_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op3_recurrent_toxicity, op4_stratified_shards, op6_histogram_rules, op7_bottom_k_near_duplicates, op8_site_quality, op9_flow_mix, op10_disguised_pii)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_radix_repeats, op3_recurrent_toxicity, op4_stratified_shards, op5_cross_polytope, op6_histogram_rules, op7_bottom_k_near_duplicates, op8_site_quality, op9_flow_mix, op10_disguised_pii)}
 
 # Checksums come from a table of 256 entries, made by the polynomial's rule; the hash is that of common.seeded_hash.
 _OP4 = """

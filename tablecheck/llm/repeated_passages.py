@@ -16,7 +16,7 @@ Three passes refine the groups, each on what the pass before left unsettled.
 
 Work is dealt by blocks of documents and by ranges of the gram hash (the leading digit). A block sends each range its distinct grams or
 stretches once, with its smallest doc_id, so a passage that a third of all documents hold is one entry for each block and never one for each
-copy. Texts are shuffled once, compressed, and checkpointed by block; all later passes read them in place.
+copy. Texts are shuffled once, compressed, and stored by block; all later passes read them in place.
 
 Grams are told apart by 32 bits and their range, stretches by 64 bits more; a chance meeting of grams costs work and no correctness.
 Results: null texts are empty; texts under ``LENGTH`` bytes lose nothing; rows with equal doc_id do not remove from each other; a null doc_id
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from tablecheck.llm.common import checkpointed, map_slices, shuffle_partitions
+from tablecheck.plans.storage import scratch_folder
 
 GRAM = 16
 #: Bytes of text in a block, and in a piece that is hashed at once (places in a piece take 20 bits).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 PIECE = 1 << 20
 
 MESSAGE = "to long, sender long, kind int, a binary, b binary, c binary, d binary"
@@ -360,7 +361,11 @@ def _spans(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _packed(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, order_id, packed): compressed texts, all of a block in one partition; read in place by every pass."""
+    """(block, order_id, packed): compressed texts, stored by block in the shared folder.
+
+    The files are those of a bucketed table, so that every pass reads a block in place and only what is sent to it moves. The table's
+    name is given up at once; its files stay with the other checkpoints of the application.
+    """
 
     def start():
         import zstandard
@@ -376,7 +381,13 @@ def _packed(docs: DataFrame, blocks: int) -> DataFrame:
     order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), order_id.alias("order_id"), "text")
     packed = map_slices(rows, start, StructType().add("block", "long").add("order_id", "long").add("packed", BinaryType()))
-    return checkpointed(packed.repartition(max(blocks, shuffle_partitions(docs.sparkSession)), "block"))
+    spark, folder = docs.sparkSession, scratch_folder(docs.sparkSession)
+    name = "llm_blocks_" + folder.rsplit("/", 1)[-1]
+    packed.repartition(blocks, "block").write.bucketBy(blocks, "block").option("path", folder).option("compression", "none").saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # noqa: B018 - resolves the files before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -> DataFrame:
@@ -384,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
     if length < 2 * GRAM:
         raise ValueError(f"Windows have {2 * GRAM} bytes at least.")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = ranges = max(1, -(-total // BLOCK_BYTES))
+    blocks = ranges = max(shuffle_partitions(docs.sparkSession), -(-total // BLOCK_BYTES))
     packed = _packed(docs, blocks)
 
     def grams_out(key, rows: pd.DataFrame) -> pd.DataFrame:

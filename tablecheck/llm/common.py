@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablecheck.plans.shipping import ship_package
-from tablecheck.plans.storage import checkpointed, shuffle_partitions
+from tablecheck.plans.storage import checkpointed, scratch_folder, shuffle_partitions
 
-__all__ = ["bind", "checkpointed", "load", "map_slices", "seeded_hash", "ship_package", "shuffle_partitions", "words_of"]
+__all__ = ["bind", "checkpointed", "load", "map_slices", "seeded_hash", "ship_package", "shuffle_partitions", "stored", "words_of"]
 
 #: Rows that a Python task has in hand at once, apart from Spark's own Arrow batch.
 SLICE = 128
@@ -42,6 +42,13 @@ def seeded_hash(seed: str, *columns: str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: lineage and plan end here, and later plans know the true size."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def map_slices(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` in short slices, which bounds the memory that long texts take in Python.
 

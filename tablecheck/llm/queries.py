@@ -59,7 +59,13 @@ def op10_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_radix_repeats, op3_recurrent_toxicity, op4_stratified_shards, op5_cross_polytope, op6_histogram_rules, op7_bottom_k_near_duplicates, op8_site_quality, op9_flow_mix, op10_disguised_pii)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {q.__name__: q for q in (pipeline, op1_byte_bpe, op2_radix_repeats, op3_recurrent_toxicity, op4_stratified_shards, op5_cross_polytope, op6_histogram_rules, op7_bottom_k_near_duplicates, op8_site_quality, op9_flow_mix, op10_disguised_pii)}
 
 # Checksums come from a table of 256 entries, made by the polynomial's rule; the hash is that of common.seeded_hash.
 _OP4 = """

@@ -40,11 +40,11 @@ CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": SYMBOLS, "mark": r"[!\"
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: Length guards: below these a histogram is not judged.
-GUARD_CHARS = 200
-GUARD_WORDS = 80
+GUARD_CHARS = 400
+GUARD_WORDS = 100
 #: Largest Jensen-Shannon distances to the language's reference.
-MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.35
+MAX_CLASS_DISTANCE = 0.22
+MAX_WORD_DISTANCE = 0.25
 
 
 def measure(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

@@ -92,4 +92,64 @@ SELECT doc_id, CAST(octet_length(encode(body)) + 8 AS BIGINT) AS size,
 FROM placed, crc_table
 """
 
-ORACLES = {"op4_stratified_shards": _OP4}
+
+
+def _histogram_rules_sql() -> str:
+    """The rules with windows as text instead of hashes, and one row for each component of a histogram."""
+    q = quality_rules
+    known = [w for words in q.COMMON_WORDS.values() for w in words]
+    listed = ", ".join(f"'{w}'" for w in known)
+    classes = ", ".join(f"length(regexp_replace(body, '{_all_but(p)}', '', 'g'))" for p in q.CLASSES.values())
+    languages = ", ".join(f"'{x}'" for x in q.COMMON_WORDS)
+    js = "sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {a} + {b})) / 2, 0))"
+    part = "CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+
+    def distance(p: str, r: str) -> str:
+        x, y = f"{p}[i]", f"{r}[i]"
+        return js.format(p=p, a=part.format(x=x, y=y), b=part.format(x=y, y=x))
+
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS body, CASE WHEN lang IN ({languages}) THEN lang ELSE 'other' END AS language FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, [{classes}] AS classes FROM texts
+), win AS (
+  SELECT d, i, array_to_string(words[i:i + 4], ' ') AS key FROM split, unnest(range(1, greatest(len(words) - 3, 1))) t(i)
+), again AS (
+  SELECT d, i FROM win QUALIFY count(*) OVER (PARTITION BY d, key) > 1
+), covered AS (
+  SELECT d, count(DISTINCT i + k) AS n FROM again, range(5) t(k) GROUP BY d
+), counted AS (
+  SELECT d, doc_id, language, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, classes[3] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, length(body) AS chars, classes, list_transform([{listed}], lambda w: len(list_filter(words, lambda x: x = w))) AS common
+  FROM split LEFT JOIN covered USING (d)
+), shares AS (
+  SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED_PERCENT} * n_words AS base_failed,
+         list_transform(list_concat(classes, [chars - word_chars, word_chars - list_sum(classes)]), lambda c: c / greatest(chars, 1)) AS class_shares,
+         list_transform(list_concat(common, [n_words - list_sum(common)]), lambda c: c / greatest(n_words, 1)) AS word_shares
+  FROM counted
+), class_means AS (
+  SELECT language, list(m ORDER BY i) AS ref FROM (
+    SELECT language, i, coalesce(avg(class_shares[i]) FILTER (chars >= {q.GUARD_CHARS}), 0) AS m FROM shares, range(1, {len(q.CLASSES) + 3}) t(i) WHERE NOT base_failed GROUP BY ALL) GROUP BY 1
+), word_means AS (
+  SELECT language, list(m ORDER BY i) AS ref FROM (
+    SELECT language, i, coalesce(avg(word_shares[i]) FILTER (n_words >= {q.GUARD_WORDS}), 0) AS m FROM shares, range(1, {len(known) + 2}) t(i) WHERE NOT base_failed GROUP BY ALL) GROUP BY 1
+), judged AS (
+  SELECT s.*, CASE WHEN chars >= {q.GUARD_CHARS} THEN {distance("class_shares", "c.ref")} END AS far_class, CASE WHEN n_words >= {q.GUARD_WORDS} THEN {distance("word_shares", "w.ref")} END AS far_words
+  FROM shares s LEFT JOIN class_means c USING (language) LEFT JOIN word_means w USING (language)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(far_class > {q.MAX_CLASS_DISTANCE}, false) AND NOT coalesce(far_words > {q.MAX_WORD_DISTANCE}, false) AS kept
+FROM judged
+"""
+
+
+def _all_but(characters: str) -> str:
+    """A class of characters turned into all others, quoted for SQL."""
+    inner = characters[1:-1].removeprefix("^")
+    return (f"[{inner}]" if characters[1] == "^" else f"[^{inner}]").replace("'", "''")
+
+
+ORACLES = {"op4_stratified_shards": _OP4, "op6_histogram_rules": _histogram_rules_sql()}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
 # Extension -> (family, exact source format).
 FORMATS = {
     ".parquet": ("parquet", "parquet"),
@@ -28,9 +32,6 @@ ENCODINGS = {
     "utf-16": "utf-16",
     "utf16": "utf-16",
 }
-LONGEST = {"delimiter": 8, "quote": 1, "escape": 1, "null_string": 64}
-LONGEST_RECORD_PATH = 240
-MOST_WORKBOOK_ROWS = 1_048_576
 
 
 def format_of(path: str) -> tuple[str, str]:
@@ -42,55 +43,86 @@ def format_of(path: str) -> tuple[str, str]:
     raise ValueError(f"{path!r} has none of the supported extensions: {', '.join(FORMATS)}.")
 
 
-def record_path(text: object) -> str:
-    """``$.a.b``, ``.a.b`` and ``a.b`` all mean ``a.b``; ``$`` means the document."""
-    path = str(text or "").strip()
-    if path == "$":
-        return ""
-    for lead in ("$.", "."):
-        if path.startswith(lead):
-            path = path[len(lead) :]
-            break
-    return path[:LONGEST_RECORD_PATH]
+@dataclass(frozen=True)
+class Option:
+    """An option's usual value, and the function that turns a given value into a valid one or raises ``ValueError``."""
+
+    usual: object
+    valid: Callable[[object], object]
+
+
+def _flag(value: object) -> bool:
+    if isinstance(value, (bool, int)):
+        return bool(value)
+    raise ValueError("it is neither true nor false")
+
+
+def _text(least: int, most: int | None) -> Callable[[object], str]:
+    def valid(value: object) -> str:
+        if not isinstance(value, str) or len(value) < least or (most is not None and len(value) > most):
+            raise ValueError(f"it is not a text of {least} to {most} characters" if most is not None else f"it is not a text of {least} characters or more")
+        return value
+
+    return valid
+
+
+def _encoding(value: object) -> str:
+    found = ENCODINGS.get(str(value).strip().lower())
+    if not found:
+        raise ValueError(f"the encodings are {', '.join(sorted(set(ENCODINGS.values())))}")
+    return found
 
 
-def _row_number(value: object, usual: int, least: int) -> int:
-    try:
-        number = int(value)  # type: ignore[call-overload]
-    except (TypeError, ValueError):
-        number = usual
-    return min(max(number, least), MOST_WORKBOOK_ROWS)
+def _row(least: int) -> Callable[[object], int]:
+    def valid(value: object) -> int:
+        if isinstance(value, bool) or not isinstance(value, int) or value < least:
+            raise ValueError(f"it is not a row number from {least} on")
+        return value
+
+    return valid
+
+
+def record_path(value: object) -> str:
+    """``$.a.b``, ``.a.b`` and ``a.b`` all mean ``a.b``; ``$`` and nothing mean the whole document."""
+    if value is not None and not isinstance(value, str):
+        raise ValueError("it is not a text")
+    return re.sub(r"^(\$$|\$\.|\.)", "", (value or "").strip())
+
+
+def _delimited(delimiter: str) -> dict[str, Option]:
+    return {
+        "header": Option(True, _flag),
+        "delimiter": Option(delimiter, _text(1, None)),
+        "encoding": Option("utf-8", _encoding),
+        "quote": Option('"', _text(0, 1)),
+        "escape": Option('"', _text(0, 1)),
+        "null_string": Option("", _text(0, None)),
+    }
+
+
+# The options of each family; families that are not named take none.
+OPTIONS: dict[str, dict[str, Option]] = {family: _delimited(delimiter) for family, delimiter in DELIMITERS.items()} | {
+    "json": {"flatten": Option(False, _flag), "record_path": Option("", record_path), "require_objects": Option(False, _flag)},
+    "workbook": {"header_row": Option(1, _row(0)), "data_start_row": Option(None, _row(1)), "infer_types": Option(False, _flag)},
+}
 
 
 def normalize_options(family: str, options: dict | None = None) -> dict:
-    """Known options with valid values; anything else falls back to its default."""
-    given = options or {}
-    if family in DELIMITERS:
-        result = {
-            "header": bool(given.get("header", True)),
-            "delimiter": DELIMITERS[family],
-            "encoding": ENCODINGS.get(str(given.get("encoding") or "").strip().lower(), "utf-8"),
-            "quote": '"',
-            "escape": '"',
-            "null_string": "",
-        }
-        for key, longest in LONGEST.items():
-            text = given.get(key)
-            if text is not None and (str(text) or key != "delimiter"):
-                result[key] = str(text)[:longest]
-        return result
-    if family == "json":
-        return {
-            "flatten": bool(given.get("flatten", False)),
-            "record_path": record_path(given.get("record_path")),
-            "require_objects": bool(given.get("require_objects", False)),
-        }
+    """The options of the family: given ones that are valid, usual ones for those not given (or null).
+
+    An invalid value raises ``ValueError`` with the option's name; names the family does not know are left to the caller.
+    """
+    given = {k: v for k, v in (options or {}).items() if v is not None}
+    result = {}
+    for name, option in OPTIONS.get(family, {}).items():
+        try:
+            result[name] = option.valid(given[name]) if name in given else option.usual
+        except ValueError as problem:
+            raise ValueError(f"Option {name!r} cannot be {given[name]!r}: {problem}.") from None
     if family == "workbook":
-        header = _row_number(given.get("header_row", 1), 1, 0)
-        first = header + 1 if header else 1
-        return {
-            "header_row": header,
-            "data_start_row": _row_number(given.get("data_start_row", max(2, first)), max(2, first), first),
-            "infer_types": bool(given.get("infer_types", False)),
-        }
-    return {}
+        header = result["header_row"]
+        if result["data_start_row"] is None:
+            result["data_start_row"] = max(2, header + 1)
+        if result["data_start_row"] <= header:
+            raise ValueError("Data cannot start in or above the header row.")
+    return result

@@ -1,11 +1,19 @@
-"""Folders of ``.xlsx`` workbooks as one table; a task reads a workbook row by row."""
+"""Folders of ``.xlsx`` workbooks as one table; a task reads a workbook row by row.
+
+The first worksheet in the order of the tabs is read, which the workbook names by a relationship and not by the name of a part.
+Cells whose style shows a date or a time give ISO text; error cells are null.
+"""
 
 from __future__ import annotations
 
+import datetime
 import io
+import itertools
 import re
+import string
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,78 +29,128 @@ from .options import normalize_options
 ROW_SCHEMA = "path string, row_number bigint, is_header boolean, width int, cells array<string>, error string"
 _BATCH = 1000
 
-
-def _column_number(reference: str) -> int:
-    number = 0
-    for letter in re.match(r"[A-Z]*", reference.upper()).group():
-        number = number * 26 + ord(letter) - ord("A") + 1
-    return number
-
-
-def _shared_texts(archive: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in archive.namelist():
-        return []
-    texts = []
-    with archive.open("xl/sharedStrings.xml") as part:
-        for _, node in ElementTree.iterparse(part):
-            if node.tag.endswith("}si"):
-                texts.append("".join(t.text or "" for t in node.iter() if t.tag.endswith("}t")))
-                node.clear()
-    return texts
-
-
-def _cell_text(cell, shared: list[str]) -> str | None:
-    kind = cell.attrib.get("t")
-    if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter() if t.tag.endswith("}t"))
-    value = next((v.text for v in cell if v.tag.endswith("}v")), None)
-    if value is None:
-        return None
-    if kind == "s":
-        return shared[int(value)]
-    if kind == "b":
-        return "true" if value == "1" else "false"
-    return value
-
-
-def _sheet_rows(content: io.BufferedIOBase) -> Iterator[tuple[int, dict[int, str | None]]]:
-    """(row number, {column number: text}) of the first sheet, in order."""
-    with zipfile.ZipFile(content) as archive:
-        sheets = sorted(n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+# Namespaces and part names of the format, and its built-in number formats for dates and times.
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+# Quoted text, colours and conditions in brackets (but not elapsed time), escaped characters.
+NOT_DATE_PARTS = re.compile(r'"[^"]*"|\[(?!h+\]|m+\]|s+\])[^\]]*\]|\\.|_.|\*.', re.I)
+
+
+@dataclass
+class Book:
+    """What the cells of a workbook refer to: the part of its first sheet, shared texts, date styles, first day."""
+
+    sheet: str
+    texts: list[str] = field(default_factory=list)
+    dated: set[int] = field(default_factory=set)
+    day_zero: datetime.datetime = datetime.datetime(1899, 12, 30)
+
+    @classmethod
+    def of(cls, archive: zipfile.ZipFile) -> Book:
+        parts = set(archive.namelist())
+        tree = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+        targets = {}
+        for link in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")).iter(RELATION):
+            if link.attrib["Type"].endswith("/worksheet"):
+                target = link.attrib["Target"]
+                targets[link.attrib["Id"]] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        sheets = [targets[s.attrib[LINK]] for s in tree.iter(f"{MAIN}sheet") if s.attrib[LINK] in targets]
         if not sheets:
-            raise ValueError("the workbook has no sheet")
-        shared = _shared_texts(archive)
-        last = 0
-        with archive.open(sheets[0]) as part:
-            for _, node in ElementTree.iterparse(part):
-                if not node.tag.endswith("}row"):
+            raise ValueError("the workbook has no worksheet")
+        book = cls(sheets[0])
+        if any(p.attrib.get("date1904") in ("1", "true") for p in tree.iter(f"{MAIN}workbookPr")):
+            book.day_zero = datetime.datetime(1904, 1, 1)
+        if "xl/sharedStrings.xml" in parts:
+            with archive.open("xl/sharedStrings.xml") as part:
+                for _, item in ElementTree.iterparse(part):
+                    if item.tag == f"{MAIN}si":
+                        book.texts.append(_plain_text(item))
+                        item.clear()
+        if "xl/styles.xml" in parts:
+            styles = ElementTree.fromstring(archive.read("xl/styles.xml"))
+            own = {int(f.attrib["numFmtId"]) for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymdhs]", NOT_DATE_PARTS.sub("", f.attrib["formatCode"]), re.I)}
+            cells = styles.find(f"{MAIN}cellXfs")
+            book.dated = {k for k, x in enumerate(cells if cells is not None else ()) if int(x.attrib.get("numFmtId", 0)) in DATE_FORMATS | own}
+        return book
+
+    def text_of(self, cell: ElementTree.Element) -> str | None:
+        kind = cell.attrib.get("t", "n")
+        if kind == "inlineStr":
+            return _plain_text(cell)
+        value = cell.findtext(f"{MAIN}v")
+        if value is None or kind == "e":
+            return None
+        if kind == "s":
+            return self.texts[int(value)]
+        if kind == "b":
+            return {"1": "true"}.get(value, "false")
+        if kind == "n" and int(cell.attrib.get("s", 0)) in self.dated:
+            return self.moment(float(value))
+        return value
+
+    def moment(self, serial: float) -> str:
+        """ISO text of a day number: a time below 1, a date where there is no time of day."""
+        at = self.day_zero + datetime.timedelta(seconds=round(serial * 86_400))
+        if 0 <= serial < 1:
+            return at.time().isoformat()
+        return at.date().isoformat() if at.time() == datetime.time() else at.isoformat(sep=" ")
+
+
+def _plain_text(node: ElementTree.Element) -> str:
+    """All runs of a text, without phonetic hints."""
+    return "".join(t.text or "" for child in node for t in ([child] if child.tag == f"{MAIN}t" else child.iter(f"{MAIN}t") if child.tag != f"{MAIN}rPh" else ()))
+
+
+def column_names() -> Iterator[str]:
+    """A, B, ..., Z, AA, AB, ..."""
+    for size in itertools.count(1):
+        yield from map("".join, itertools.product(string.ascii_uppercase, repeat=size))
+
+
+def column_place(reference: str) -> int:
+    """Place of the column in a cell's reference, from 1; 0 without one."""
+    letters = reference.rstrip(string.digits)
+    return sum((1 + string.ascii_uppercase.index(letter)) * 26**k for k, letter in enumerate(reversed(letters)))
+
+
+def sheet_rows(content: io.BufferedIOBase) -> Iterator[tuple[int, dict[int, str | None]]]:
+    """(row number, {column place: text}) of the first worksheet, in order. Rows and cells without a reference follow the one before."""
+    with zipfile.ZipFile(content) as archive:
+        book = Book.of(archive)
+        number = 0
+        with archive.open(book.sheet) as part:
+            for _, row in ElementTree.iterparse(part):
+                if row.tag != f"{MAIN}row":
                     continue
-                number = int(node.attrib.get("r") or last + 1)
-                cells: dict[int, str | None] = {}
-                for cell in node:
-                    if cell.tag.endswith("}c"):
-                        at = _column_number(cell.attrib.get("r") or "") or max(cells, default=0) + 1
-                        cells[at] = _cell_text(cell, shared)
-                node.clear()
+                number = int(row.attrib.get("r", number + 1))
+                place, cells = 0, {}
+                for cell in row.iterfind(f"{MAIN}c"):
+                    place = column_place(cell.attrib.get("r", "")) or place + 1
+                    cells[place] = book.text_of(cell)
                 yield number, cells
-                last = number
+                row.clear()
 
 
-def _table_rows(content: io.BufferedIOBase, header_row: int, data_start_row: int) -> Iterator[tuple[int, bool, int, list[str | None]]]:
-    """Header and data rows up to the first empty row; width from the header or first data row."""
-    width, expected = 0, data_start_row
-    for number, cells in _sheet_rows(content):
-        here = {c: t for c, t in cells.items() if t not in (None, "")}
-        if number in (header_row, data_start_row):
-            width = max([width, *here])
+def table_rows(content: io.BufferedIOBase, header_row: int, data_start_row: int) -> Iterator[tuple[int, bool, int, list[str | None]]]:
+    """(row number, is header, width, cells) of the header and of the data rows up to the first empty one.
+
+    The table is as wide as its header or its first data row, whichever is wider.
+    """
+    width, following = 0, data_start_row
+    for number, cells in sheet_rows(content):
+        filled = [place for place, text in cells.items() if text]
+        if number == header_row or number == data_start_row:
+            width = max(filled, default=0) if not width else max(width, *filled, 0)
+        line = [cells.get(place) for place in range(1, width + 1)]
         if number == header_row:
-            yield number, True, width, [cells.get(c) for c in range(1, width + 1)]
-        if number < data_start_row:
-            continue
-        if number != expected or not here:
-            return
-        yield number, False, width, [cells.get(c) for c in range(1, width + 1)]
-        expected += 1
+            yield number, True, width, line
+        elif number >= data_start_row:
+            if number > following or not filled:
+                return
+            following = number + 1
+            yield number, False, width, line
 
 
 def workbook_rows(files: DataFrame, options: dict) -> DataFrame:
@@ -107,7 +165,7 @@ def workbook_rows(files: DataFrame, options: dict) -> DataFrame:
                 try:
                     system, inner, _ = file_system(path)
                     with system.open_input_file(inner) as source:
-                        for number, is_header, width, cells in _table_rows(source, header_row, data_start_row):
+                        for number, is_header, width, cells in table_rows(source, header_row, data_start_row):
                             rows.append((path, number, is_header, width, cells, None))
                             if len(rows) == _BATCH:
                                 yield pd.DataFrame(rows, columns=fields)
@@ -141,7 +199,7 @@ def read_workbooks(spark: SparkSession, path: str, options: dict | None = None)
         values = [F.get("cells", F.try_element_at("at", F.lit(n))).alias(n) for n in wanted]
     else:
         width = rows.agg(F.coalesce(F.max("width"), F.lit(0)).alias("w")).first().w
-        wanted = [_letters(i) for i in range(1, width + 1)]
+        wanted = list(itertools.islice(column_names(), width))
         data = rows.filter("NOT is_header AND error IS NULL")
         values = [F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(wanted)]
     table = data.select(F.col("path").alias("_path"), F.col("row_number").alias("_row"), *values)
@@ -149,11 +207,3 @@ def read_workbooks(spark: SparkSession, path: str, options: dict | None = None)
         return table
     types = {r.column: r.write_type for r in infer_write_types(table.select(*[names.col(n) for n in wanted])).collect()}
     return cast_columns(table, {n: types[n] for n in wanted})
-
-
-def _letters(number: int) -> str:
-    text = ""
-    while number:
-        number, rest = divmod(number - 1, 26)
-        text = chr(ord("A") + rest) + text
-    return text

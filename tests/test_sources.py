@@ -1,3 +1,4 @@
+import itertools
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -6,7 +7,7 @@ import pytest
 from conftest import rows, same_rows
 from pyspark.sql import functions as F
 
-from tablecheck.sources import arrowfile, catalog, folder, jsonrecords, options, tables
+from tablecheck.sources import arrowfile, catalog, folder, jsonrecords, options, tables, workbooks
 
 
 def write(path, text, encoding="utf-8"):
@@ -20,15 +21,34 @@ def test_formats_and_options():
     assert options.format_of("/x/a.ipc") == ("arrow", "ipc")
     with pytest.raises(ValueError):
         options.format_of("/x/a.txt")
-    got = options.normalize_options("psv", {"quote": "''", "encoding": "LATIN1", "delimiter": "", "bogus": 1, "header": 0})
+    got = options.normalize_options("psv", {"quote": "'", "encoding": "LATIN1", "delimiter": None, "bogus": 1, "header": 0})
     assert got == {"header": False, "delimiter": "|", "encoding": "latin-1", "quote": "'", "escape": '"', "null_string": ""}
-    assert options.normalize_options("csv", {"encoding": "ebcdic", "null_string": "x" * 99})["null_string"] == "x" * 64
+    assert options.normalize_options("csv", {"null_string": "x" * 99})["null_string"] == "x" * 99
     assert options.normalize_options("json", {"record_path": " $.a.b"})["record_path"] == "a.b"
-    assert options.normalize_options("workbook", {"header_row": 3, "data_start_row": 2})["data_start_row"] == 4
-    assert options.normalize_options("workbook", {"header_row": "x"})["header_row"] == 1
+    long = ".".join(["part"] * 100)
+    assert options.normalize_options("json", {"record_path": long})["record_path"] == long
+    assert options.normalize_options("workbook", {"header_row": 3})["data_start_row"] == 4
     assert options.normalize_options("workbook", {"header_row": 0}) == {"header_row": 0, "data_start_row": 2, "infer_types": False}
 
 
+@pytest.mark.parametrize(
+    ("family", "given"),
+    [
+        ("csv", {"encoding": "ebcdic"}),
+        ("csv", {"quote": "''"}),
+        ("csv", {"delimiter": ""}),
+        ("csv", {"header": "yes"}),
+        ("json", {"record_path": 5}),
+        ("workbook", {"header_row": "x"}),
+        ("workbook", {"header_row": -1}),
+        ("workbook", {"header_row": 3, "data_start_row": 2}),
+    ],
+)
+def test_invalid_options_are_errors(family, given):
+    with pytest.raises(ValueError):
+        options.normalize_options(family, given)
+
+
 def test_delimited(spark, tmp_path):
     plain = write(tmp_path / "a.csv", 'id;name;n\n1;\'a;b\';NA\n2;c;5\n')
     df = tables.read_table(spark, plain, {"delimiter": ";", "quote": "'", "null_string": "NA"})
@@ -105,21 +125,52 @@ def test_avro_names_the_package(spark, tmp_path):
         tables.read_table(spark, write(tmp_path / "x.avro", "Obj"))
 
 
-def sheet(path, body):
-    """A least ``.xlsx``: rows as {row number: {column letters: value}}."""
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def sheet(path, body, part="sheet1", others=(), styles=""):
+    """A small ``.xlsx``: rows as {row number: {column letters: value}}; a tuple is (value, attributes of the cell)."""
     lines = []
     for number, cells in body.items():
         parts = []
         for letters, value in cells.items():
             at = f"{letters}{number}"
-            if isinstance(value, str):
+            value, more = value if isinstance(value, tuple) else (value, "")
+            if isinstance(value, str) and not more:
                 parts.append(f'<c r="{at}" t="inlineStr"><is><t>{escape(value)}</t></is></c>')
             elif value is not None:
-                parts.append(f'<c r="{at}"><v>{value}</v></c>')
+                parts.append(f'<c r="{at}" {more}><v>{value}</v></c>')
         lines.append(f'<row r="{number}">{"".join(parts)}</row>')
-    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    names = [part, *others]
+    tabs = "".join(f'<sheet name="{n}" sheetId="{k + 1}" r:id="rId{k + 1}"/>' for k, n in enumerate(names))
+    links = "".join(f'<Relationship Id="rId{k + 1}" Type="{OFFICE}/worksheet" Target="worksheets/{n}.xml"/>' for k, n in enumerate(names))
     with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{OFFICE}"><sheets>{tabs}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        z.writestr(f"xl/worksheets/{part}.xml", f'<worksheet xmlns="{MAIN}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+        for other in others:
+            z.writestr(f"xl/worksheets/{other}.xml", f'<worksheet xmlns="{MAIN}"><sheetData/></worksheet>')
+        if styles:
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{MAIN}">{styles}</styleSheet>')
+
+
+def test_first_tab_dates_and_errors(spark, tmp_path):
+    styles = '<numFmts><numFmt numFmtId="170" formatCode="yyyy&quot; day &quot;dd"/><numFmt numFmtId="171" formatCode="0.00&quot; days&quot;"/></numFmts>'
+    styles += '<cellXfs><xf/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="21"/></cellXfs>'
+    body = {
+        1: {"A": "day", "B": "moment", "C": "plain", "D": "time", "E": "bad", "F": "yes", "AA": "far"},
+        2: {"A": (45292, 's="1"'), "B": (45292.5, 's="2"'), "C": (1.5, 's="3"'), "D": (0.25, 's="4"'), "E": ("#N/A", 't="e"'), "F": (1, 't="b"'), "AA": 7},
+    }
+    sheet(tmp_path / "w.xlsx", body, part="sheet10", others=("sheet1", "sheet2"), styles=styles)
+    found = tables.read_table(spark, str(tmp_path / "w.xlsx")).first()
+    assert (found.day, found.moment, found.plain, found.time, found.bad, found.yes, found.far) == ("2024-01-01", "2024-01-01 12:00:00", "1.5", "06:00:00", None, "true", "7")
+
+
+def test_column_names_and_places():
+    names = list(itertools.islice(workbooks.column_names(), 800))
+    assert names[:2] == ["A", "B"] and names[25:28] == ["Z", "AA", "AB"] and names[702] == "AAA"
+    assert [workbooks.column_place(f"{n}12") for n in names] == list(range(1, 801)) and workbooks.column_place("") == 0
 
 
 def test_workbooks(spark, tmp_path):

@@ -119,8 +119,9 @@ class Block:
         self.doc, self.first, self.last, self.hash = joined
 
     def grams(self, ranges: int) -> np.ndarray:
-        """Range of the hash and its lower half, as one number."""
-        return (((self.hash >> _U(32)) * _U(ranges)) & ~_U(0xFFFFFFFF)) | (self.hash & _U(0xFFFFFFFF))
+        """A range and 32 bits, as one number. The hashes at hand are the least of their windows, so they are mixed once more."""
+        mixed = self.hash * _U(0x9E3779B97F4A7C15)
+        return (((mixed >> _U(32)) * _U(ranges)) & ~_U(0xFFFFFFFF)) | ((mixed ^ (mixed >> _U(32))) & _U(0xFFFFFFFF))
 
     def stretch(self, k: int) -> bytes:
         return self.texts[self.doc[k]][self.first[k] : self.last[k] + self.length]

@@ -25,7 +25,7 @@ def _vectors(spark, sf_dir):
 
 def _join(how, spark, sf_dir):
     if how == "inner":
-        return joins.join_tables(load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier"), "c_nationkey", "s_nationkey", how)
+        return joins.join_tables(load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer"), "o_custkey", "c_custkey", how)
     return joins.join_tables(_vectors(spark, sf_dir), load(spark, sf_dir, "labels"), "vec_id", "doc_id", how)
 
 
@@ -35,11 +35,17 @@ def _join_count(how, spark, sf_dir):
     return joins.join_count(load(spark, sf_dir, "events"), load(spark, sf_dir, "lineitem"), "user_id", "l_suppkey", how)
 
 
+def join_count_mixed(spark, sf_dir):
+    """Text keys, of which several mean one number, against numbers."""
+    texts = sql(spark, sf_dir, "SELECT CASE WHEN event_id % 2 = 0 THEN '0' ELSE '' END || CAST(user_id AS STRING) AS key_text FROM events", "events")
+    return joins.join_count(texts, load(spark, sf_dir, "supplier"), "key_text", "s_suppkey", "left")
+
+
 def _join_twin(how: str) -> str:
     if how == "inner":
-        left = ", ".join(f'c.{c} AS "base.{c}"' for c in COLUMNS["customer"])
-        right = ", ".join(f's.{c} AS "join.{c}"' for c in "s_suppkey s_name s_nationkey s_acctbal".split())
-        return f"SELECT {left}, {right} FROM customer c JOIN supplier s ON c_nationkey = s_nationkey"
+        left = ", ".join(f'o.{c} AS "base.{c}"' for c in ORDERS)
+        right = ", ".join(f'c.{c} AS "join.{c}"' for c in COLUMNS["customer"])
+        return f"SELECT {left}, {right} FROM orders o JOIN customer c ON o_custkey = c_custkey"
     return f"""SELECT e.vec_id AS "base.vec_id", e.label AS "base.label", l.doc_id AS "join.doc_id", l.quality AS "join.quality",
                       l.toxic AS "join.toxic" FROM embeddings e {how} JOIN labels l ON e.vec_id = l.doc_id"""
 
@@ -251,6 +257,7 @@ SELECT id, mode, row_index, key, {_TYPE % 'v'} AS type, {_VALUE.format('v')} AS
 
 QUERIES = {f"join_{how}": partial(_join, how) for how in joins.JOIN_KINDS} | {
     "join_count": partial(_join_count, "inner"),
+    "join_count_mixed": join_count_mixed,
     "join_count_full": partial(_join_count, "full"),
     "positional_compare": partial(positional, ("o_orderdate", "o_orderdate")),
     "positional_compare_text": partial(positional, ("o_orderpriority", "o_orderpriority")),
@@ -279,6 +286,7 @@ _CELLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderda
 
 ORACLES = {f"join_{how}": _join_twin(how) for how in joins.JOIN_KINDS} | {
     "join_count": "SELECT count(*) AS total_rows FROM events JOIN lineitem ON user_id = l_suppkey",
+    "join_count_mixed": "SELECT count(*) AS total_rows FROM events LEFT JOIN supplier ON user_id = s_suppkey",
     "join_count_full": "SELECT count(*) AS total_rows FROM embeddings FULL JOIN labels ON vec_id = doc_id",
     "positional_compare": _position_twin("o_orderdate"),
     "positional_compare_text": _position_twin("o_orderpriority"),

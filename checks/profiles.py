@@ -184,8 +184,12 @@ PATCHY_COUNTS = counts(PATCHY_TWIN, PATCHY_COLUMNS)
 NAMED = {"missing": "missing_ratio >= 0.2", "unique": "present_count > 1 AND distinct_ratio >= 0.95", "numeric": "inferred_type = 'numeric'"}
 
 
-def _first(condition: str, n: int = 1) -> str:
-    return f"""(SELECT string_agg("column", ',' ORDER BY pos) FROM (SELECT * FROM c WHERE {condition} ORDER BY pos LIMIT {n}))"""
+def _first(condition: str) -> str:
+    return f"""(SELECT string_agg("column", ',' ORDER BY pos) FROM (SELECT * FROM c WHERE {condition} ORDER BY pos LIMIT 1))"""
+
+
+def _all(condition: str) -> str:
+    return f"""(SELECT string_agg("column", ',' ORDER BY pos) FROM c WHERE {condition})"""
 
 
 SUGGESTIONS_TWIN = f"""
@@ -194,9 +198,9 @@ all_rows AS (
   SELECT 1 AS rank, 'compare_by_category' AS suggestion, {_first("inferred_type IN ('categorical', 'boolean')")} AS columns,
          {_first(NAMED['numeric'])} IS NOT NULL AS ok
   UNION ALL SELECT 2, 'plot_over_time', {_first(NAMED['numeric'])} || ',' || {_first("inferred_type = 'date'")}, true
-  UNION ALL SELECT 3, 'review_missing', {_first(NAMED['missing'], 3)}, true
+  UNION ALL SELECT 3, 'review_missing', {_all(NAMED['missing'])}, true
   UNION ALL SELECT 4, 'check_duplicates', '', ({_duplicates_of(PATCHY_TWIN, PATCHY_COLUMNS)}) > 0
-  UNION ALL SELECT 5, 'identifier_like', {_first(NAMED['unique'], 3)}, true)
+  UNION ALL SELECT 5, 'identifier_like', {_all(NAMED['unique'])}, true)
 SELECT rank, suggestion, columns FROM all_rows WHERE ok AND columns IS NOT NULL"""
 
 FINDINGS_TWIN = f"""

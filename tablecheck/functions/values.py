@@ -22,18 +22,38 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
     if ty.is_text(dtype):
         return value
     if isinstance(dtype, T.MapType):
+        value = plain_zero(value, dtype)
         entries = F.sort_array(F.map_entries(value)) if ty.can_be_grouped(dtype.valueType) else F.map_entries(value)
         return F.to_json(entries)
     if ty.is_nested(dtype):
-        return F.to_json(value)
+        return F.to_json(plain_zero(value, dtype))
     if isinstance(dtype, T.BinaryType):
         return F.base64(value)
     return plain_zero(value, dtype).cast("string")
 
 
 def plain_zero(value: Column, dtype: T.DataType) -> Column:
-    """0.0 for -0.0, which is the same number but another text."""
-    return value + F.lit(0).cast(dtype) if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
+    """0.0 for -0.0, which is the same number but another text; inside nested values as well."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return value + F.lit(0).cast(dtype)
+    if isinstance(dtype, T.ArrayType) and _holds_fractions(dtype):
+        return F.transform(value, lambda x: plain_zero(x, dtype.elementType))
+    if isinstance(dtype, T.StructType) and _holds_fractions(dtype):
+        fields = [plain_zero(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.MapType) and _holds_fractions(dtype.valueType):
+        return F.transform_values(value, lambda _, x: plain_zero(x, dtype.valueType))
+    return value
+
+
+def _holds_fractions(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_fractions(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _holds_fractions(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _holds_fractions(dtype.valueType)
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
 
 
 def present(text: Column) -> Column:

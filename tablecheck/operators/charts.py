@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import names, values
 
-# Chart limits.
-FEWEST_POINTS, USUAL_POINTS, MOST_POINTS = 5, 25, 100
-FEWEST_BINS, MOST_BINS = 5, 30
-FEWEST_DOTS = 25
+# Points or bins where none are asked for.
+USUAL_POINTS = 25
 NO_LABEL = "-"
 
 
 def _points(limit: int | None) -> int:
-    return min(MOST_POINTS, max(FEWEST_POINTS, limit or USUAL_POINTS))
+    if limit is not None and limit < 1:
+        raise ValueError("A chart has one point at least.")
+    return limit or USUAL_POINTS
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -49,7 +49,7 @@ def line_data(df: DataFrame, x: str, y: str | None = None, agg: str = "count", l
 
 def scatter_data(df: DataFrame, x: str, y: str, limit: int | None = None, order_by: list[str] | None = None) -> DataFrame:
     """``x, y`` of the first rows in a stated order where both are numbers."""
-    dots = max(_points(limit), FEWEST_DOTS)
+    dots = _points(limit)
     order = [names.col(c).asc_nulls_last() for c in order_by or []]
     px, py = _number(df, x).alias("x"), _number(df, y).alias("y")
     both = df.select("*", px, py).filter("x IS NOT NULL AND y IS NOT NULL") if not {"x", "y"} & set(df.columns) else None
@@ -67,7 +67,7 @@ def histogram(df: DataFrame, x: str, limit: int | None = None) -> DataFrame:
     empty bins are kept. The bounds are a scalar subquery, so the table is
     read twice and only bin counts are shuffled.
     """
-    bins = min(MOST_BINS, max(FEWEST_BINS, limit or USUAL_POINTS))
+    bins = _points(limit)
     numbers = df.select(_number(df, x).alias("v")).filter("v IS NOT NULL")
     ends = numbers.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("ends")).scalar()
     low, high = F.col("ends.low"), F.col("ends.high")
@@ -76,7 +76,7 @@ def histogram(df: DataFrame, x: str, limit: int | None = None) -> DataFrame:
     placed = numbers.select("v", ends.alias("ends")).select(place.cast("int").alias("bin"))
     counted = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), ends.alias("ends"))
-    # At most MOST_BINS rows on either side.
+    # As many rows on either side as there are bins.
     filled = frame.join(F.broadcast(counted), "bin", "left")
     start, end = low + F.col("bin") * width, low + (F.col("bin") + 1) * width
     return filled.select("bin", start.alias("bin_start"), end.alias("bin_end"), F.coalesce("count", F.lit(0)).alias("count"))

@@ -67,6 +67,7 @@ ADVICE = {
     "no_columns": "Check the reader options; no column was found.",
     "blank_column_name": "Give the column a name.",
     "several_relations": "Name the table to be read.",
+    "short_read": "Write the file again; its footer promises more rows than can be read.",
     "not_scanned": "Repair the files, then run the checks again.",
 }
 
@@ -184,13 +185,13 @@ def row_groups(spark: SparkSession, path: str | list[str], scanned: DataFrame |
 
 
 def column_statistics(spark: SparkSession, path: str | list[str], scanned: DataFrame | None = None) -> DataFrame:
-    """Which statistics each column has over all its chunks, and what they say.
+    """Which statistics each column has in every file, and what they say over all.
 
     A column counts as constant when the set of its minima equals the set of
     its maxima; the sets are compared by grouping, never gathered.
     """
     chunks = checkpointed_if_needed(_chunks(spark, path, scanned), scanned)
-    merged = chunks.groupBy("column").agg(
+    by_file = chunks.groupBy("path", "column").agg(
         F.count("min_value").alias("mins"),
         F.count("max_value").alias("maxes"),
         F.count("null_count").alias("null_counts"),
@@ -199,6 +200,16 @@ def column_statistics(spark: SparkSession, path: str | list[str], scanned: DataF
         F.sum("distinct_count").alias("distincts"),
         F.coalesce(F.sum("num_values"), F.lit(0)).alias("total"),
     )
+    # A column has a statistic if every file has it: one file must not hide another.
+    bare = (F.col("mins") == 0) & (F.col("maxes") == 0) & (F.col("null_counts") == 0) & (F.col("distinct_counts") == 0)
+    limitless = ~bare & ((F.col("mins") == 0) | (F.col("maxes") == 0))
+    merged = by_file.groupBy("column").agg(
+        *[F.min(c).alias(c) for c in ("mins", "maxes", "null_counts", "distinct_counts")],
+        *[F.sum(c).alias(c) for c in ("nulls", "distincts", "total")],
+        F.count_if(bare).alias("files_without_statistics"),
+        F.count_if(limitless).alias("files_without_min_max"),
+        F.count_if(F.col("null_counts") == 0).alias("files_without_null_count"),
+    )
     ends = chunks.select("column", F.explode(F.array(
         F.struct(F.col("min_value").alias("v"), F.lit(True).alias("is_min")), F.struct(F.col("max_value").alias("v"), F.lit(False).alias("is_min"))
     )).alias("e")).select("column", "e.*").filter("v IS NOT NULL")
@@ -220,18 +231,14 @@ def column_statistics(spark: SparkSession, path: str | list[str], scanned: DataF
         F.when(distinct, F.col("distincts")).alias("distinct_count"),
         ((total > 0) & counted & (nulls >= total)).alias("all_null"),
         (limits & F.coalesce(F.col("equal_ends"), F.lit(False)) & (total - nulls > 0)).alias("constant_value"),
-    )
-    nothing = ~F.col("has_min_max") & ~F.col("has_null_count") & ~F.col("has_distinct_count")
-    return stated.select(
-        "*",
         _found(
-            ("no_statistics", nothing),
-            ("no_min_max", ~nothing & ~F.col("has_min_max")),
-            ("no_null_count", ~F.col("has_null_count")),
-            ("only_nulls", F.col("all_null")),
-            ("one_value", F.col("constant_value")),
-        ).alias("issues"),
+            ("no_statistics", F.col("files_without_statistics") > 0),
+            ("no_min_max", F.col("files_without_min_max") > 0),
+            ("no_null_count", F.col("files_without_null_count") > 0),
+        ).alias("lacks"),
     )
+    says = _found(("only_nulls", F.col("all_null")), ("one_value", F.col("constant_value")))
+    return stated.select("*", F.concat("lacks", says).alias("issues")).drop("lacks")
 
 
 def checkpointed_if_needed(df: DataFrame, scanned: DataFrame | None) -> DataFrame:
@@ -252,6 +259,9 @@ def compression_encoding(spark: SparkSession, path: str | list[str], scanned: Da
         F.coalesce(F.sum("uncompressed_size"), F.lit(0)).alias("uncompressed_size"),
         F.coalesce(F.sum("distinct_count"), F.lit(0)).alias("distincts"),
         F.coalesce(F.sum("num_values"), F.lit(0)).alias("total"),
+        # Chunk by chunk, so that a compressed file does not hide one that is not.
+        F.bool_or(F.coalesce("compression", F.lit("")).isin("", "UNCOMPRESSED")).alias("some_uncompressed"),
+        F.bool_or((F.col("compressed_size") == 0) & (F.col("uncompressed_size") > 0)).alias("some_unsized"),
     )
     stored, plain = F.col("compressed_size"), F.col("uncompressed_size")
     known = (F.col("distincts") > 0) & (F.col("total") > 0)
@@ -263,19 +273,21 @@ def compression_encoding(spark: SparkSession, path: str | list[str], scanned: Da
         "uncompressed_size",
         F.when(stored > 0, F.round(plain / stored, 3)).alias("compression_ratio"),
         F.when(known, F.round(F.col("distincts") / F.col("total"), 4)).alias("cardinality_ratio"),
+        "some_uncompressed",
+        "some_unsized",
     )
     dictionary = F.col("encodings").contains("DICTIONARY")
     spread = F.col("cardinality_ratio")
     return sized.select(
         "*",
         _found(
-            ("no_compressed_size", (stored == 0) & (plain > 0)),
+            ("no_compressed_size", F.col("some_unsized")),
             ("weak_compression", (F.col("compression_ratio") < WEAK_COMPRESSION) & (plain > WORTH_COMPRESSING)),
-            ("uncompressed", F.col("compression").isin("", "UNCOMPRESSED")),
+            ("uncompressed", F.col("some_uncompressed")),
             ("missing_dictionary", (spread < LOW_CARDINALITY) & ~dictionary),
             ("needless_dictionary", (spread > HIGH_CARDINALITY) & dictionary),
         ).alias("issues"),
-    )
+    ).drop("some_uncompressed", "some_unsized")
 
 
 _QUALITY = {
@@ -395,11 +407,36 @@ def doctor_table(df: DataFrame) -> DataFrame:
     return _report({"structure": structure, **_quality_issues(df)})
 
 
+def rows_read(table: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``path, row_count, rows_read, issues`` of each file with a footer: rows it promises and rows that could be read.
+
+    ``table`` reads the files with errors ignored, which drops the rest of a
+    bad file without a trace. Every column is decoded, as a count alone would
+    be answered from the footers.
+    """
+    decoded = [F.size(names.col(f.name)) if isinstance(f.dataType, T.MapType) else names.col(f.name) for f in table.schema.fields]
+    place = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    read = table.select(place.alias("place"), F.xxhash64(*decoded).alias("digest") if _hashable(table.schema) else F.to_json(F.struct(*decoded)).alias("digest"))
+    counted = read.groupBy("place").agg(F.count(F.lit(1)).alias("rows_read"), F.max("digest").alias("decoded"))
+    promised = scanned.filter("row_group IS NULL AND error IS NULL").select("path", "row_count", F.regexp_replace("path", "^file:/+", "/").alias("place"))
+    both = promised.join(counted, "place", "left").select("path", "row_count", F.coalesce("rows_read", F.lit(0)).alias("rows_read"), F.col("decoded").isNotNull().alias("seen"))
+    return both.select("path", "row_count", "rows_read", _found(("short_read", (F.col("rows_read") < F.col("row_count")) | (~F.col("seen") & (F.col("row_count") > 0)))).alias("issues"))
+
+
+def _hashable(dtype: T.DataType) -> bool:
+    """Whether the hash functions take the type: all but maps inside other types."""
+    if isinstance(dtype, T.StructType):
+        return all(_hashable(f.dataType) or isinstance(f.dataType, T.MapType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return not isinstance(dtype.elementType, T.MapType) and _hashable(dtype.elementType)
+    return True
+
+
 def doctor(spark: SparkSession, path: str | list[str], decode: bool = False) -> DataFrame:
     """Issues of the Parquet files below ``path`` that form one table.
 
     Footers are read once into a checkpoint and serve six checks. Files that
-    cannot be read are errors; the data checks run on the others.
+    cannot be read, or not whole, are errors; the data checks run on the rest.
     """
     scanned = checkpointed(footers(spark, path, decode))
     per_column = F.concat_ws(": ", "file", "column")
@@ -419,6 +456,7 @@ def doctor(spark: SparkSession, path: str | list[str], decode: bool = False) ->
         reader = spark.read.options(ignoreCorruptFiles=True, recursiveFileLookup=True, mergeSchema=True)
         table = reader.option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(*paths)
         checks |= _quality_issues(table)
+        checks["rows_read"] = _as_issues(rows_read(table, scanned), "error", "rows_read", F.col("path"))
     except PySparkException:  # no file can be read, or their columns contradict each other
         unread = spark.createDataFrame([(["not_scanned"],)], "issues array<string>")
         checks["data_quality"] = _as_issues(unread, "warning", "data_quality", F.lit("table"))

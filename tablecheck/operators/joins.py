@@ -12,10 +12,9 @@ from ..functions import types as ty
 from ..plans.joining import outer_join
 from ..plans.small import small_frame
 
-# Join kinds and limits of the preview.
+# Join kinds and the usual size of the preview.
 JOIN_KINDS = ("inner", "left", "right", "full")
 USUAL_PREVIEW = 100
-LONGEST_PREVIEW = 1000
 
 
 def _checked(base: DataFrame, other: DataFrame, base_column: str, join_column: str, how: str) -> str:
@@ -43,26 +42,16 @@ def join_tables(base: DataFrame, other: DataFrame, base_column: str, join_column
 def join_count(base: DataFrame, other: DataFrame, base_column: str, join_column: str, how: str = "inner") -> DataFrame:
     """One row ``total_rows``: size of the join, without producing its pairs.
 
-    Both sides are first counted by key; a key with m and n rows adds m * n.
+    Both sides are first counted by key; keys then meet by the comparison
+    that the join itself makes, so a text key may meet several numbers' rows.
+    A pair of keys with m and n rows adds m * n.
     """
     kind = _checked(base, other, base_column, join_column, how)
-    key_type = "string" if ty.is_text(base.schema[base_column].dataType) else None
-
-    def side(df: DataFrame, column: str, mark: str) -> DataFrame:
-        key = names.col(column)
-        return df.select((key.cast(key_type) if key_type else key).alias("k"), F.lit(mark).alias("side"))
-
-    both = side(base, base_column, "base").union(side(other, join_column, "join"))
-    counts = both.groupBy("k").agg(
-        F.count_if(F.col("side") == "base").alias("b"), F.count_if(F.col("side") == "join").alias("j")
-    )
-    b, j, known = F.col("b"), F.col("j"), F.col("k").isNotNull()
-    pairs = F.when(known, b * j).otherwise(0)
-    if kind in ("left", "full"):
-        pairs = pairs + F.when(~known | (j == 0), b).otherwise(0)
-    if kind in ("right", "full"):
-        pairs = pairs + F.when(~known | (b == 0), j).otherwise(0)
-    return counts.agg(F.coalesce(F.sum(pairs), F.lit(0)).cast("long").alias("total_rows"))
+    left = base.groupBy(names.col(base_column).alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    right = other.groupBy(names.col(join_column).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    met = left.join(right, F.col("b") == F.col("j"), kind)
+    pairs = F.coalesce("m", F.lit(1)) * F.coalesce("n", F.lit(1))
+    return met.agg(F.coalesce(F.sum(pairs), F.lit(0)).cast("long").alias("total_rows"))
 
 
 @dataclass(frozen=True)
@@ -78,8 +67,9 @@ def join_preview(
     base: DataFrame, other: DataFrame, base_column: str, join_column: str, how: str = "inner", limit: int = USUAL_PREVIEW
 ) -> JoinPreview:
     """First rows of the join beside its full size."""
-    shown = max(1, min(limit, LONGEST_PREVIEW))
-    rows = join_tables(base, other, base_column, join_column, how).limit(shown)
+    if limit < 1:
+        raise ValueError("A preview has one row at least.")
+    rows = join_tables(base, other, base_column, join_column, how).limit(limit)
     return JoinPreview(rows, join_count(base, other, base_column, join_column, how))
 
 

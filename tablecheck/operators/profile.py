@@ -18,8 +18,6 @@ FEWEST_CATEGORIES = 20
 CATEGORY_SHARE = 0.2
 HIGH_MISSING = 0.2
 IDENTIFIER_SHARE = 0.95
-NAMED_COLUMNS = 3
-NAMED_CONSTANTS = 5
 
 _COUNTS = {
     "row_count": "bigint",
@@ -269,7 +267,7 @@ def suggestions(df: DataFrame, approx: bool = False) -> DataFrame:
 
     ``compare_by_category`` (first categorical or boolean column, with a
     numeric one present), ``plot_over_time`` (numeric, date),
-    ``review_missing`` and ``identifier_like`` (first three columns),
+    ``review_missing`` and ``identifier_like`` (all such columns),
     ``check_duplicates``; ``start_with_charts`` when there is none. Works on
     one row per column.
     """
@@ -303,9 +301,9 @@ def suggestions(df: DataFrame, approx: bool = False) -> DataFrame:
     rows = F.array(
         advice(1, "compare_by_category", first("category"), some("numeric") & some("category")),
         advice(2, "plot_over_time", F.concat(first("numeric"), first("date")), some("numeric") & some("date")),
-        advice(3, "review_missing", F.slice("missing", 1, NAMED_COLUMNS), some("missing")),
+        advice(3, "review_missing", F.col("missing"), some("missing")),
         advice(4, "check_duplicates", nothing, F.col("copies") > 0),
-        advice(5, "identifier_like", F.slice("unique", 1, NAMED_COLUMNS), some("unique")),
+        advice(5, "identifier_like", F.col("unique"), some("unique")),
     )
     on = F.filter(rows, lambda x: x["on"])
     usual = F.array(advice(6, "start_with_charts", nothing, F.lit(True)))

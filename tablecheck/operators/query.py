@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,12 @@ from ..plans.small import small_frame
 
 # Names under which the open table can be queried.
 TABLE_ALIASES = ("file_data", "parquet_data")
-# Page sizes offered, limits of quick aggregates.
+# Page sizes offered, usual number of groups.
 PAGE_SIZES = (100, 500, 1000, 5000)
-MOST_GROUPS = 1000
 USUAL_GROUPS = 100
 AGGREGATES = ("count", "sum", "avg", "min", "max")
+# One query is planned at a time, as names and dialect belong to the session.
+_PLANNING = threading.RLock()
 
 
 def run_sql(spark: SparkSession, tables: DataFrame | dict[str, DataFrame], sql: str | None = None) -> DataFrame:
@@ -29,18 +31,31 @@ def run_sql(spark: SparkSession, tables: DataFrame | dict[str, DataFrame], sql:
     so statements other than queries do not parse.
     """
     frames = tables if isinstance(tables, dict) else dict.fromkeys(TABLE_ALIASES, tables)
-    for name, frame in frames.items():
-        frame.createOrReplaceTempView(name)
-    text = (sql or "").strip().rstrip("; \t\r\n") or f"SELECT * FROM {TABLE_ALIASES[0]}"
+    if not frames:
+        raise ValueError("There is no table to query.")
+    text = (sql or "").strip().rstrip("; \t\r\n") or f'SELECT * FROM "{next(iter(frames))}"'
     if text.split(None, 1)[0].lower().split("(")[0] not in ("select", "with"):
         raise ValueError("Only queries that begin with SELECT or WITH can be run.")
+    # The names are views for the moment of planning only; views of the user that have these names come back.
     setting = "spark.sql.ansi.doubleQuotedIdentifiers"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
-    try:
-        return spark.sql(f"SELECT * FROM (\n{text}\n) AS query_result")
-    finally:
-        spark.conf.set(setting, before)
+    with _PLANNING:
+        before = spark.conf.get(setting)
+        hidden = {name: spark.table(f"`{name}`") for name in frames if _is_view(spark, name)}
+        for name, frame in frames.items():
+            frame.createOrReplaceTempView(name)
+        spark.conf.set(setting, "true")
+        try:
+            return spark.sql(f"SELECT * FROM (\n{text}\n) AS query_result")
+        finally:
+            spark.conf.set(setting, before)
+            for name in frames:
+                spark.catalog.dropTempView(name)
+            for name, frame in hidden.items():
+                frame.createOrReplaceTempView(name)
+
+
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables())
 
 
 @dataclass(frozen=True)
@@ -98,12 +113,13 @@ def quick_aggregate(
         raise ValueError("This aggregate needs a metric column.")
     if not group:
         return df.agg(aggregate.alias(alias))
-    top = max(1, min(limit, MOST_GROUPS))
+    if limit < 1:
+        raise ValueError("At least one group must be asked for.")
     return (
         df.groupBy(names.col(group))
         .agg(aggregate.alias(alias))
         .orderBy(names.col(alias).desc_nulls_last(), names.col(group).asc_nulls_last())
-        .limit(top)
+        .limit(limit)
     )
 
 

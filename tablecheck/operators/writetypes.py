@@ -21,7 +21,6 @@ WRITE_TYPES = {
     "DATE": "date",
     "TIMESTAMP": "timestamp_ntz",
 }
-SAMPLE_WIDTH = 48
 
 
 def write_type(text: str | None) -> str:
@@ -60,7 +59,7 @@ def _known_tests(value: Column, dtype: T.DataType) -> dict[str, Column]:
         tests["any_clock"] = F.lit(not isinstance(dtype, T.DateType))
     sample = F.min(value) if ty.can_be_grouped(dtype) else F.min(values.as_text(value, dtype))
     shown = values.as_text(sample, dtype) if ty.can_be_grouped(dtype) else sample
-    return tests | {"present": F.count(value), "missing_count": F.count_if(value.isNull()), "sample_value": label(shown, SAMPLE_WIDTH)}
+    return tests | {"present": F.count(value), "missing_count": F.count_if(value.isNull()), "sample_value": shown}
 
 
 def infer_write_types(df: DataFrame) -> DataFrame:
@@ -92,7 +91,7 @@ def infer_write_types(df: DataFrame) -> DataFrame:
             "all_number": F.every(F.when(here, found.isNotNull())),
             "all_date": F.every(f"date{i}"),
             "any_clock": F.bool_or(f"clock{i}"),
-            "sample_value": label(F.min(shown), SAMPLE_WIDTH),
+            "sample_value": F.min(shown),
         }
     tested = column_metrics(spread(df).select(*[names.col(c) for c in df.columns], *below), lambda name, _: tests[name], _TESTS, df.columns)
     kind = (

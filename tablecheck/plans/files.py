@@ -157,20 +157,23 @@ def footer_rows(path: str, size: int, decode: bool) -> list[tuple]:
         return [(path, size, starts, ends, None, f"{type(problem).__name__}: {problem}", None, None, None, None)]
 
 
-def _repetitions(schema) -> list[str]:
-    """Repetition word of each leaf, in order, from the schema's own text form."""
-    lines = [line.strip() for line in str(schema).splitlines()]
-    return [line.split()[0] for line in lines if line.endswith(";")]
+def _leaves(schema) -> list[tuple[str, int]]:
+    """Repetition word and depth of each leaf, in order, from the nesting of the schema's own text form."""
+    leaves, depth = [], 0
+    for line in (line.strip() for line in str(schema).splitlines()):
+        if line.endswith(";"):
+            leaves.append((line.split()[0], depth))
+        depth += line.endswith("{") - (line == "}")
+    return leaves
 
 
 def _columns(schema) -> list[dict]:
     result = []
-    for i, repetition in enumerate(_repetitions(schema)):
+    for i, (repetition, depth) in enumerate(_leaves(schema)):
         leaf = schema.column(i)
         logical = json.loads(leaf.logical_type.to_json())
         kind = logical.get("Type")
         kind = None if kind in (None, "None", "Unknown", "Undefined") else kind.upper()
-        parts = leaf.path.split(".")
         decimal = kind == "DECIMAL"
         stamped = kind in ("TIMESTAMP", "TIME")
         converted = None if leaf.converted_type == "NONE" else leaf.converted_type
@@ -178,8 +181,9 @@ def _columns(schema) -> list[dict]:
             {
                 "path": leaf.path,
                 "name": leaf.name,
-                "parent_path": ".".join(parts[:-1]) or None,
-                "depth": len(parts),
+                # A name may hold dots, so the path is not split at them.
+                "parent_path": leaf.path.removesuffix(leaf.name).removesuffix(".") or None,
+                "depth": depth,
                 "physical_type": leaf.physical_type,
                 "logical_type": kind,
                 "converted_type": converted,

@@ -25,25 +25,20 @@ def fits_broadcast(df: DataFrame) -> bool:
     return 0 <= estimated_bytes(df) <= bound
 
 
-# A side below this size is joined as it is, even if all its rows share one key.
-SMALL_SIDE = 256 * 1024 * 1024
-# No key with fewer rows counts as hot.
-FEWEST_HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 1_000
+# Counters of the frequency sketch: as many as it takes for each shuffle partition, up to what the function allows.
+COUNTERS_PER_PARTITION, MOST_COUNTERS = 20, 1_000_000
 
 
 def hot_keys(df: DataFrame, key: Column) -> set[str | None]:
     """Keys (as text) with more rows than an average shuffle partition holds.
 
     One pass over the key column with a mergeable frequency sketch, which
-    keeps every key of that share; at most ``MOST_HOT_KEYS`` come back.
+    keeps every key of that share. There are fewer such keys than partitions.
     """
-    if estimated_bytes(df) <= SMALL_SIDE:
-        return set()
-    most = min(MOST_HOT_KEYS, shuffle_partitions(df.sparkSession))
-    sketch = F.expr(f"approx_top_k(k, {most}, {10 * MOST_HOT_KEYS})")
+    most = shuffle_partitions(df.sparkSession)
+    sketch = F.expr(f"approx_top_k(k, {most}, {min(MOST_COUNTERS, max(1_000, COUNTERS_PER_PARTITION * most))})")
     found = df.select(key.alias("k")).agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).first()
-    return {t["item"] for t in found["top"] or [] if t["count"] > max(FEWEST_HOT_ROWS, found["n"] // most)}
+    return {t["item"] for t in found["top"] or [] if t["count"] * most > found["n"]}
 
 
 def _comparable_texts(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> tuple[Column, Column] | None:
@@ -74,7 +69,7 @@ def outer_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: C
     columns only). Without any, the join is the plain one. Else the rows of
     hot keys are joined apart, as an inner join plus the rows whose key the
     other side does not have; that is decided against the other side's
-    distinct hot keys, of which there are at most ``2 * MOST_HOT_KEYS``.
+    distinct hot keys, of which there are at most two for each partition.
     """
     match = left_key.eqNullSafe(right_key) if null_safe else left_key == right_key
     small = {"left": right, "right": left}.get(how)

@@ -22,9 +22,8 @@ from ..sources import arrowfile
 from ..sources.catalog import open_relation
 from ..sources.options import DELIMITERS, format_of
 
-# Codecs, row group limits, export formats.
+# Codecs, export formats.
 CODECS = ("uncompressed", "snappy", "gzip", "brotli", "zstd")
-MOST_GROUP_ROWS = 10_000_000
 # Moments as text, with all their digits.
 MOMENTS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"}
 EXPORT_FORMATS = ("csv", "tsv", "psv", "json", "jsonl", "ndjson", "parquet", "avro", "orc", "arrow", "feather", "ipc")
@@ -112,7 +111,9 @@ def create_parquet(
     counted = _Counted(typed_columns(df, columns))
     writer = counted.rows.write.mode(mode).option("compression", codec)
     if row_group_size is not None:
-        writer = writer.option("parquet.block.row.count.limit", max(1, min(int(row_group_size), MOST_GROUP_ROWS)))
+        if int(row_group_size) < 1:
+            raise ValueError("A row group has one row at least.")
+        writer = writer.option("parquet.block.row.count.limit", int(row_group_size))
     writer.parquet(path)
     return counted.finish(path, "parquet")
 

@@ -18,8 +18,6 @@ EXTENSIONS = (".arrow", ".ipc", ".feather")
 SHORT_NAME = "arrowfile"
 # Batches read by one task; a file with more is split.
 BATCHES_PER_TASK = 16
-# With more files than this there are tasks enough, and no file is opened to plan them.
-MANY_FILES = 2_000
 
 
 @dataclass
@@ -111,8 +109,6 @@ class ArrowFileReader(DataSourceReader):
 
     def partitions(self) -> list[BatchRange]:
         paths = _paths(self.path)
-        if len(paths) > MANY_FILES:
-            return [BatchRange(p, 0, -1) for p in paths]
         with ThreadPoolExecutor(32) as pool:
             parts = [part for found in pool.map(_split, paths) for part in found]
         return parts or [BatchRange("", 0, 0)]

@@ -96,14 +96,7 @@ def test_nan_and_null(spark):
     assert smartdiff.smart_diff_summary(a, b, key=("id", "id")).first().changed_rows == 2
 
 
-@pytest.fixture
-def hot_joins(monkeypatch):
-    """Keys count as hot from a few rows on, in tables of any size."""
-    monkeypatch.setattr(joining, "SMALL_SIDE", 0)
-    monkeypatch.setattr(joining, "FEWEST_HOT_ROWS", 2)
-
-
-def test_hot_key_diff_is_whole(spark, hot_joins):
+def test_hot_key_diff_is_whole(spark):
     """A third of the rows share one key on one side."""
     a = spark.range(900).select(F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("id"), F.col("id").alias("v"))
     b = spark.createDataFrame([(-1, 5), (400, 400), (5000, 1)], "id long, v long")
@@ -135,7 +128,7 @@ def test_positional(spark):
     assert hidden.count() == 3 and "base.o" not in hidden.columns
 
 
-def test_hot_keys_are_found(spark, hot_joins):
+def test_hot_keys_are_found(spark):
     df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     assert joining.hot_keys(df, F.col("k")) == {None, "hot"}
     assert joining.hot_keys(spark.range(9000).select(F.col("id").cast("string").alias("k")), F.col("k")) == set()
@@ -143,7 +136,7 @@ def test_hot_keys_are_found(spark, hot_joins):
 
 @pytest.mark.parametrize("how", joins.JOIN_KINDS)
 @pytest.mark.parametrize("null_safe", [False, True])
-def test_hot_joins_against_spark(spark, hot_joins, how, null_safe):
+def test_hot_joins_against_spark(spark, how, null_safe):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         third = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7.0).otherwise(F.col("id").cast("double"))
@@ -172,7 +165,7 @@ def test_joins_against_spark(spark, how):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_hot_keys_of_unequal_types_meet(spark, hot_joins):
+def test_hot_keys_of_unequal_types_meet(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         a = spark.range(30).select(F.when(F.col("id") < 20, 7).otherwise(F.col("id")).alias("k"))
@@ -254,3 +247,32 @@ def test_json_shapes(spark):
     ]
     status = dict(rows(jsonshape.json_validate(df, "doc", "id").select("id", "status")))
     assert [k for k, v in status.items() if v == "invalid"] == [4]
+
+
+def test_hot_is_what_fills_a_partition(spark):
+    """A key just above the rows of an average partition is found, one just below is not, at any size."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, share = 1000 * partitions, 1000
+    keys = F.when(F.col("id") < share + 10, "over").when(F.col("id") < 2 * share, "under").otherwise(F.col("id").cast("string"))
+    assert joining.hot_keys(spark.range(n).select(keys.alias("k")), F.col("k")) == {"over"}
+
+
+@pytest.mark.parametrize("how", joins.JOIN_KINDS)
+def test_join_count_compares_like_the_join(spark, how):
+    texts = spark.createDataFrame([("01",), ("2",), ("2",), ("7",), (None,)], "k string")
+    numbers = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "n int")
+    for left, right, a, b in ((texts, numbers, "k", "n"), (numbers, texts, "n", "k")):
+        assert joins.join_count(left, right, a, b, how).first().total_rows == joins.join_tables(left, right, a, b, how).count()
+
+
+def test_diff_and_summary_agree_on_nested_zeros(spark):
+    kinds = {
+        "array(0.0D)": "array(-0.0D)",
+        "named_struct('x', 0.0D, 'y', 1)": "named_struct('x', -0.0D, 'y', 1)",
+        "array(named_struct('x', array(0.0F)))": "array(named_struct('x', array(float(-0.0D))))",
+        "map('a', 0.0D)": "map('a', -0.0D)",
+    }
+    for plus, minus in kinds.items():
+        base, other = (spark.sql(f"SELECT 1 AS id, {x} AS v UNION ALL SELECT 2, NULL") for x in (plus, minus))
+        assert smartdiff.smart_diff(base, other).filter("status <> 'unchanged'").isEmpty(), plus
+        assert smartdiff.smart_diff_summary(base, other).first().changed_rows == 0, plus

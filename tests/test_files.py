@@ -271,3 +271,41 @@ def test_compaction(spark, tmp_path):
     assert spark.read.parquet(out).agg(F.sum("id")).first()[0] == sum(range(1000))
     assert spark.read.parquet(out).filter("late = 'x'").count() == 3
     assert spark.conf.get(setting) == before
+
+
+def test_doctor_reports_files_that_are_read_short(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "id % 7 AS x").coalesce(1).write.parquet(str(tmp_path / "t" / "a b"))
+    import pathlib
+    import shutil
+
+    source = next(pathlib.Path(tmp_path / "t" / "a b").glob("*.parquet"))
+    ruined = tmp_path / "t" / "ruined.parquet"
+    shutil.copy(source, ruined)
+    data = bytearray(ruined.read_bytes())
+    data[2000:200_000] = b"\x00" * 198_000
+    ruined.write_bytes(data)
+    found = doctor.doctor(spark, str(tmp_path / "t"))
+    errors = found.filter("level = 'error'").collect()
+    assert [(r.category, r.message, r.subject.endswith("ruined.parquet")) for r in errors] == [("rows_read", "short_read", True)]
+    assert doctor.health(found).first().health_score < 100
+    whole = doctor.doctor(spark, str(tmp_path / "t" / "a b"))
+    assert whole.filter("level = 'error'").isEmpty() and doctor.health(whole).first().health_score == 100
+
+
+def test_one_bad_file_is_not_hidden_by_another(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"x": list(range(500))})
+    (tmp_path / "d").mkdir()
+    pq.write_table(table, tmp_path / "d" / "a.parquet", compression="snappy")
+    pq.write_table(table, tmp_path / "d" / "b.parquet", compression="none", write_statistics=False)
+    stats = doctor.column_statistics(spark, str(tmp_path / "d")).first()
+    assert "no_statistics" in stats.issues and not stats.has_min_max
+    assert "uncompressed" in doctor.compression_encoding(spark, str(tmp_path / "d")).first().issues
+
+
+def test_names_with_dots(spark, tmp_path):
+    spark.sql("SELECT 1 AS `a.b`, named_struct('c.d', 2, 'e', named_struct('f', 3)) AS g").write.parquet(str(tmp_path / "n.parquet"))
+    found = {r.path: (r.name, r.parent_path, r.depth) for r in schema.parquet_schema(spark, str(tmp_path / "n.parquet")).collect()}
+    assert found == {"a.b": ("a.b", None, 1), "g.c.d": ("c.d", "g", 2), "g.e.f": ("f", "g.e", 3)}

@@ -112,7 +112,7 @@ def test_charts(spark):
     assert [tuple(r) for r in charts.bar_data(df, "x").collect()] == [("-", 2.0), ("a", 2.0), ("b", 1.0)]
     line = spark.createDataFrame([("10",), ("9",), ("z",), ("2024-01-01",)], "x string")
     assert [r.label for r in charts.line_data(line, "x").collect()] == ["9", "10", "2024-01-01", "z"]
-    assert charts.bar_data(spark.range(300), "id", limit=1000).count() == 100
+    assert charts.bar_data(spark.range(300), "id", limit=1000).count() == 300 and charts.bar_data(spark.range(300), "id").count() == 25
     assert charts.scatter_data(df.withColumnRenamed("y", "z"), "z", "z").count() == 4
     with pytest.raises(ValueError):
         charts.bar_data(df, "x", None, "sum")
@@ -122,8 +122,10 @@ def test_histogram(spark, tables):
     bins = charts.histogram(tables["lineitem"], "l_extendedprice", 12).orderBy("bin").collect()
     assert len(bins) == 12 and sum(b["count"] for b in bins) == tables["lineitem"].count()
     flat = charts.histogram(spark.range(4).select(F.lit(5).alias("x")), "x", 1).orderBy("bin").collect()
-    assert [b["count"] for b in flat] == [4, 0, 0, 0, 0] and (flat[0].bin_start, flat[0].bin_end) == (5.0, 6.0)
-    assert len(charts.histogram(spark.range(4), "id", 99).collect()) == 30
+    assert [b["count"] for b in flat] == [4] and (flat[0].bin_start, flat[0].bin_end) == (5.0, 6.0)
+    assert len(charts.histogram(spark.range(4), "id", 99).collect()) == 99
+    with pytest.raises(ValueError):
+        charts.histogram(spark.range(4), "id", -1)
 
 
 def test_sql_is_read_only(spark, tables):
@@ -139,6 +141,16 @@ def test_sql_is_read_only(spark, tables):
     assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers") == "false"
 
 
+def test_sql_leaves_views_alone(spark, tables):
+    spark.range(3).createOrReplaceTempView("nation_view")
+    found = query.run_sql(spark, {"nation_view": tables["nation"], "other": tables["region"]})
+    assert found.count() == 25 and spark.table("nation_view").count() == 3
+    assert not spark.catalog.tableExists("other") and not spark.catalog.tableExists("file_data")
+    spark.catalog.dropTempView("nation_view")
+    with pytest.raises(ValueError):
+        query.run_sql(spark, {})
+
+
 def test_pages(spark):
     df = spark.range(25).select((F.col("id") % 5).alias("k"), "id")
     pages = [query.page(df, ["k"], o, 10) for o in (0, 10, 20)]

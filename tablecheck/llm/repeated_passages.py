@@ -39,8 +39,8 @@ from tablecheck.llm.common import checkpointed, map_slices, shuffle_partitions
 from tablecheck.plans.storage import scratch_folder
 
 GRAM = 16
-#: Bytes of text in a block, and in a piece that is hashed at once (places in a piece take 20 bits).
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block, which bounds what a task has in hand, and in a piece that is hashed at once (places in a piece take 20 bits).
+BLOCK_BYTES = 4 << 20
 PIECE = 1 << 20
 
 MESSAGE = "to long, sender long, kind int, a binary, b binary, c binary, d binary"
@@ -135,9 +135,8 @@ def _opened(rows: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    texts = [unpack(p) for p in rows["packed"]]
-    order = sorted(range(len(texts)), key=lambda k: (rows["order_id"].iloc[k], texts[k]))
-    return rows["order_id"].to_numpy(dtype=np.int64)[order], [texts[k] for k in order]
+    opened = sorted(zip(rows["order_id"].tolist(), map(unpack, rows["packed"]), strict=True))
+    return np.array([k for k, _ in opened], dtype=np.int64), [text for _, text in opened]
 
 
 def _message(to: int, sender: int, kind: int, *arrays: np.ndarray | bytes) -> tuple:
@@ -361,7 +360,7 @@ def _spans(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def _packed(docs: DataFrame, blocks: int) -> DataFrame:
+def _packed(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
     """(block, order_id, packed): compressed texts, stored by block in the shared folder.
 
     The files are those of a bucketed table, so that every pass reads a block in place and only what is sent to it moves. The table's
@@ -384,7 +383,7 @@ def _packed(docs: DataFrame, blocks: int) -> DataFrame:
     packed = map_slices(rows, start, StructType().add("block", "long").add("order_id", "long").add("packed", BinaryType()))
     spark, folder = docs.sparkSession, scratch_folder(docs.sparkSession)
     name = "llm_blocks_" + folder.rsplit("/", 1)[-1]
-    packed.repartition(blocks, "block").write.bucketBy(blocks, "block").option("path", folder).option("compression", "none").saveAsTable(name)
+    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", folder).option("compression", "none").saveAsTable(name)
     stored = spark.table(name)
     stored.schema  # noqa: B018 - resolves the files before the name goes
     spark.sql(f"DROP TABLE {name}")
@@ -396,8 +395,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
     if length < 2 * GRAM:
         raise ValueError(f"Windows have {2 * GRAM} bytes at least.")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = ranges = max(shuffle_partitions(docs.sparkSession), -(-total // BLOCK_BYTES))
-    packed = _packed(docs, blocks)
+    partitions = shuffle_partitions(docs.sparkSession)
+    blocks = max(partitions, -(-total // BLOCK_BYTES))
+    # Several blocks to a task and several ranges, so that tasks are even although both are dealt by a hash.
+    ranges = max(partitions, -(-blocks // 2))
+    packed = _packed(docs, blocks, max(partitions, -(-blocks // 4)))
 
     def grams_out(key, rows: pd.DataFrame) -> pd.DataFrame:
         return _frame(_send_grams(int(key[0]), *_opened(rows), length, ranges))

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows, same_rows
 from pyspark.sql import functions as F
 
-from tablecheck.sources import arrowfile, catalog, folder, jsonrecords, options, tables, workbooks
+from tablecheck.sources import catalog, folder, jsonrecords, options, tables, workbooks
 
 
 def write(path, text, encoding="utf-8"):

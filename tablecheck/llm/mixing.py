@@ -8,8 +8,8 @@ that people write down has few; more than ``MAX_PATTERNS`` raise an error.
 
 Within a pattern every document is taken as often as the flow fills the pattern whole; the rest comes from documents in the order
 of a seeded hash. The hash is cut into equal ranges of about ``RANGE_ROWS`` rows, sums of the ranges find the one range in which the rest ends,
-and only that range is sorted. Documents are taken whole: the last one is the document of that range that comes closest to what is
-still missing. No text is shuffled and no window spans a source.
+and only that range is sorted. Documents are taken whole: those of that range one after the other where they still fit, at last the
+smallest of the others if that comes closer. No text is shuffled and no window spans a source.
 
 Targets: sources by code point, null last, share all words by their weights; no source gets more than ``copies`` times its words, and what that
 leaves is shared again by weight until none is above.
@@ -26,7 +26,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import WORD, seeded_hash
+from tablecheck.llm.common import WORD, bind, seeded_hash
 
 MAX_PATTERNS = 100_000
 RANGE_ROWS = 2_000
@@ -157,23 +157,32 @@ def mix(rows: DataFrame, members: Column, weights: Callable[[Sequence], Mapping]
     outside = placed.filter(~inside).withColumn("more", F.coalesce(F.col("mix_range") < F.col("last"), F.lit(False)))
 
     order = Window.partitionBy("mix_pattern").orderBy("mix_drawn", "doc_id", "size")
-    group = Window.partitionBy("mix_pattern")
-    # Those that fit in order; then the one whose size is nearest to what is missing, if it helps.
-    edge = (
-        placed.filter(inside)
-        .withColumn("line", F.row_number().over(order))
-        .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("fits", F.col("upto") <= F.col("missing"))
-        .withColumn("gap", F.col("missing") - F.max(F.when(F.col("fits"), F.col("upto")).otherwise(0)).over(group))
-        .withColumn("nearest", F.min(F.when(~F.col("fits"), F.struct(F.abs(F.col("gap") - F.col("size")).alias("by"), "line"))).over(group))
-        .withColumn("more", F.col("fits") | ((F.col("nearest.line") == F.col("line")) & (F.col("nearest.by") < F.col("gap"))))
-        .withColumn("more", F.coalesce(F.col("more"), F.lit(False)))
-        .drop("line", "upto", "fits", "gap", "nearest")
-    )
+    lined = placed.filter(inside).withColumn("line", F.row_number().over(order))
+    # One list for each pattern, of the lines and sizes of one range: about RANGE_ROWS entries.
+    lists = lined.groupBy(F.col("mix_pattern").alias("pattern"), F.col("missing").alias("open")).agg(F.sort_array(F.collect_list(F.struct("line", "size"))).alias("rows"))
+    chosen = lists.select("pattern", _fill(F.col("rows"), F.col("open")).alias("lines"))
+    edge = lined.join(chosen, F.col("mix_pattern") == F.col("pattern")).withColumn("more", F.array_contains("lines", F.col("line"))).drop("line", "lines", "pattern")
     both = outside.unionByName(edge).withColumn("mix_copies", F.col("whole") + F.col("more").cast("int"))
     return both.drop("mix_drawn", "whole", "rest", "ranges", "mix_range", "last", "missing", "more")
 
 
+def _fill(rows: Column, room: Column) -> Column:
+    """Lines of the rows that are taken, in order, wherever one still fits; at last the smallest of the others, if that comes closer."""
+    nothing = F.struct(room.alias("room"), F.array().cast("array<int>").alias("lines"))
+
+    def take(state: Column, row: Column) -> Column:
+        taken = F.struct((state["room"] - row["size"]).alias("room"), F.concat(state["lines"], F.array(row["line"])).alias("lines"))
+        return F.when(row["size"] <= state["room"], taken).otherwise(state)
+
+    def close(state: Column) -> Column:
+        others = F.filter(rows, lambda row: ~F.array_contains(state["lines"], row["line"]))
+        least = F.array_min(F.transform(others, lambda row: F.struct(row["size"].alias("size"), row["line"].alias("line"))))
+        closer = F.coalesce(least["size"] - state["room"] < state["room"], F.lit(False))
+        return F.when(closer, F.concat(state["lines"], F.array(least["line"]))).otherwise(state["lines"])
+
+    return bind(F.aggregate(rows, nothing, take), close)
+
+
 def mix_documents(docs: DataFrame, copies: int = 3) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of documents that belong to one source each."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))

@@ -76,6 +76,30 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates.near_duplicates(empty_documents(spark), 2, 80).isEmpty() and near_duplicates.keep_first(empty_documents(spark)).isEmpty()
 
 
+def copies_without_ids():
+    """Copies and near copies of which some or all have no id, or an id that another text has as well."""
+    words = {t: [f"{t}{k}" for k in range(300)] for t in "abcde"}
+    text = {t: " ".join(w) for t, w in words.items()}
+    near = {t: " ".join([*w[:-3], "x", "y", "z"]) for t, w in words.items()}
+    rows = [(None, text["a"]), (7, text["a"]), (None, near["a"]), (9, near["a"])]  # component 7
+    rows += [(None, text["b"]), (None, text["b"].upper()), (None, near["b"])]  # no id at all
+    rows += [(None, text["c"]), (20, near["c"])]  # component 20
+    rows += [(30, text["d"]), (30, text["e"]), (31, near["d"]), (32, near["e"])]  # two components of one name
+    rows += [(None, None), (None, " "), (40, "")]
+    return [(d, t, "en", "s", 0) for d, t in rows]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_near_duplicates_without_ids(spark, few, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", few)
+    found = near_duplicates.near_duplicates(spark.createDataFrame(copies_without_ids(), DOCS), 5, 80).collect()
+    pairs = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in found if r["n_shingles"])
+    named = [("20", "20", True), ("30", "30", True), ("30", "30", True), ("31", "30", False), ("32", "30", False), ("7", "7", True), ("9", "7", False)]
+    assert pairs == sorted([*named, *[("None", "7", False)] * 2, ("None", "20", False), ("None", "None", True), *[("None", "None", False)] * 2])
+    blank = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in found if not r["n_shingles"])
+    assert blank == [("40", "40", True), ("None", "None", True), ("None", "None", True)]
+
+
 def test_components_of_a_long_path(spark):
     path = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500)]
     found = near_duplicates.components(spark.createDataFrame(path, "a long, b long")).collect()

@@ -100,6 +100,20 @@ def test_near_duplicates_without_ids(spark, few, monkeypatch):
     assert blank == [("40", "40", True), ("None", "None", True), ("None", "None", True)]
 
 
+def test_repeated_ids_go_only_with_equal_or_linked_texts(spark):
+    rows = copies_without_ids()
+    more = [(7, rows[0][1]), (50, "one text"), (50, "another text"), (50, "One  text"), (40, " "), (None, "third text"), (None, "fourth text")]
+    rows += [(d, t, "en", "s", 0) for d, t in more]
+    kept = near_duplicates.keep_first(clashing(spark.createDataFrame(rows, DOCS)), 5, 80).select("doc_id", "text").collect()
+    a, b, c, d, e = rows[0][1], rows[5][1], rows[8][1], rows[9][1], rows[10][1]
+    expected = [(7, a), (20, c), (30, d), (30, e), (None, None), (None, " "), (40, ""), (50, "One  text"), (50, "another text"), (None, "third text"), (None, "fourth text")]
+    found = [tuple(r) for r in kept]
+    own = [r for r in found if r[0] is None and r[1] in (b, rows[4][1], rows[6][1])]  # no id at all
+    assert len(own) == 1 and sorted(map(str, found)) == sorted(map(str, [*expected, *own]))
+    if own[0][1] != rows[6][1]:
+        assert own == [(None, b)]  # the first text of the class
+
+
 def test_components_of_a_long_path(spark):
     path = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500)]
     found = near_duplicates.components(spark.createDataFrame(path, "a long, b long")).collect()

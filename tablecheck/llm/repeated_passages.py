@@ -12,11 +12,13 @@ Three passes refine the groups, each on what the pass before left unsettled.
    its windows are equal and the smallest doc_id is known.
 3. Windows. Where stretches of a gram differ, the windows of one document for each distinct stretch, that with the smallest doc_id, are
    ordered by eight bytes a pass, within the equal groups of the passes before, until groups are single or the threshold is reached.
-   This pass compares the bytes themselves.
+   This pass compares the bytes themselves. The grams at the edges of a common passage have another stretch in every document. Windows of grams
+   with more than ``CROWDED`` stretches are therefore dealt by their own hash: a block sends the hash of each distinct one, and its
+   bytes only where another block has that hash, too.
 
 Work is dealt by blocks of documents and by ranges of the gram hash (the leading digit). A block sends each range its distinct grams or
 stretches once, with its smallest doc_id, so a passage that a third of all documents hold is one entry for each block and never one for each
-copy. Texts are shuffled once, compressed, and stored by block; all later passes read them in place.
+copy; of the stretches at its edges no range gets more than ``CROWDED``. Texts are shuffled once, compressed, and stored by block; all later passes read them in place.
 
 Grams are told apart by 32 bits and their range, stretches by 64 bits more; a chance meeting of grams costs work and no correctness.
 Results: null texts are empty; texts under ``LENGTH`` bytes lose nothing; rows with equal doc_id do not remove from each other; a null doc_id
@@ -42,6 +44,8 @@ GRAM = 16
 #: Bytes of text in a block, which bounds what a task has in hand, and in a piece that is hashed at once (places in a piece take 20 bits).
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 20
+#: Distinct stretches of a gram that one range compares.
+CROWDED = 4096
 
 MESSAGE = "to long, sender long, kind int, a binary, b binary, c binary, d binary"
 _U = np.uint64
@@ -226,8 +230,8 @@ def _send_stretches(block: int, found: Stretches) -> list[tuple]:
     return [_message(r, block, 3, found.grams[s].astype("<u4"), found.stretch[s], found.least[s]) for r, s in _by_range(found.grams)]
 
 
-def _least_documents(key, messages: pd.DataFrame) -> pd.DataFrame:
-    """To each block, by stretch in the order sent: the smallest document, and whether the gram has other stretches."""
+def _least_documents(key, messages: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """To each block, by stretch in the order sent: the smallest document, whether the gram has other stretches, and whether more than the limit."""
     parts = [np.frombuffer(a, "<u4") for a in messages["a"]]
     grams, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     stretch = np.concatenate([np.frombuffer(b, _U) for b in messages["b"]])
@@ -237,26 +241,29 @@ def _least_documents(key, messages: pd.DataFrame) -> pd.DataFrame:
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(docs[order], one), np.diff(np.append(one, len(order))))
     kinds = np.searchsorted(one, np.append(two[1:], len(order))) - np.searchsorted(one, two)
-    is_open = np.empty(len(order), bool)
+    is_open, crowded = np.empty(len(order), bool), np.empty(len(order), bool)
     is_open[order] = np.repeat(kinds > 1, np.diff(np.append(two, len(order))))
+    crowded[order] = np.repeat(kinds > limit, np.diff(np.append(two, len(order))))
     ends = np.cumsum([len(p) for p in parts])
     out = []
     for k, end in enumerate(ends):
         s = slice(end - len(parts[k]), end)
         # Where another block has a smaller document: it; else the largest number.
-        out.append(_message(int(messages["sender"].iloc[k]), int(key[0]), 4, np.where(least[s] < docs[s], least[s], np.iinfo(np.int64).max), np.packbits(is_open[s])))
+        out.append(_message(int(messages["sender"].iloc[k]), int(key[0]), 4, np.where(least[s] < docs[s], least[s], np.iinfo(np.int64).max), np.packbits(is_open[s]), np.packbits(crowded[s]) if crowded[s].any() else b""))
     return _frame(out)
 
 
-def _settle(found: Stretches, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct stretch: the smallest document, and whether its windows must be compared by this block."""
-    least, is_open = found.least.copy(), np.zeros(len(found.least), dtype=bool)
-    answers = {int(r): (a, b) for r, a, b in zip(replies["sender"], replies["a"], replies["b"], strict=True)}
+def _settle(found: Stretches, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct stretch: the smallest document, and whether its windows must be compared by this block, dealt by gram or by window."""
+    least, is_open, crowded = found.least.copy(), np.zeros(len(found.least), dtype=bool), np.zeros(len(found.least), dtype=bool)
+    answers = {int(r): told for r, *told in zip(replies["sender"], replies["a"], replies["b"], replies["c"], strict=True)}
     for r, s in _by_range(found.grams):
         told = np.frombuffer(answers[r][0], np.int64)
         is_open[s] = np.unpackbits(np.frombuffer(answers[r][1], np.uint8), count=len(told)).astype(bool) & (told >= least[s])
+        if answers[r][2]:
+            crowded[s] = np.unpackbits(np.frombuffer(answers[r][2], np.uint8), count=len(told)).astype(bool)
         least[s] = np.minimum(least[s], told)
-    return least, is_open
+    return least, is_open & ~crowded, is_open & crowded
 
 
 # ---- pass 3: windows -------------------------------------------------------------------------------------------------------------
@@ -294,8 +301,74 @@ def equal_groups(rows: np.ndarray) -> np.ndarray:
     return group
 
 
+class Windows:
+    """The distinct windows of a block's stretches whose grams are crowded, sorted by range and hash."""
+
+    def __init__(self, found: Stretches, crowded: np.ndarray, length: int, ranges: int):
+        self.chosen = np.flatnonzero(crowded)
+        texts = [found.block.stretch(k) for k in found.first[self.chosen]]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.counts = sizes - length + 1
+        starts = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(self.counts) + self.counts, self.counts) + np.arange(self.counts.sum())
+        rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts), np.uint8), length)[starts]
+        group = equal_groups(rows)
+        alone = group < 0
+        group[alone] = group.max(initial=-1) + 1 + np.arange(int(alone.sum()))
+        _, first, place = np.unique(group, return_index=True, return_inverse=True)
+        words = np.zeros((len(first), -(-length // 8) * 8), np.uint8)
+        words[:, :length] = rows[first]
+        mixed = np.zeros(len(first), dtype=_U)
+        for word in words.view("<u8").T:
+            mixed = (mixed ^ word) * _U(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> _U(29)
+        mixed *= _U(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> _U(32)
+        order = np.argsort(mixed, kind="stable")
+        self.hash, self.bytes = mixed[order], words[order, :length]
+        self.to = ((self.hash >> _U(32)) * _U(ranges)) & ~_U(0xFFFFFFFF)  # as _by_range reads it
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.place = rank[place]  # of each window of the stretches
+        self.docs = np.repeat(found.least[self.chosen], self.counts)
+        self.least = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.place, self.docs)
+
+    def met(self, replies: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """By range: the windows whose hash another block has as well."""
+        answers = dict(zip(map(int, replies["sender"]), replies["a"], strict=True))
+        for r, s in _by_range(self.to):
+            bits = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=s.stop - s.start)
+            if bits.any():
+                yield r, np.flatnonzero(bits) + s.start
+
+    def gone(self, replies: pd.DataFrame) -> dict[int, np.ndarray]:
+        """By distinct stretch: which of its windows start in a smaller document."""
+        elsewhere = np.zeros(len(self.hash), dtype=bool)
+        answers = dict(zip(*(replies[replies["kind"] == 10][c] for c in ("sender", "a")), strict=True))
+        for r, places in self.met(replies[replies["kind"] == 8]):
+            elsewhere[places] = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=len(places)).astype(bool)
+        gone = elsewhere[self.place] | (self.least[self.place] < self.docs)
+        return dict(zip(self.chosen.tolist(), np.split(gone, np.cumsum(self.counts)[:-1]), strict=True))
+
+
+def _send_hashes(block: int, windows: Windows) -> list[tuple]:
+    return [_message(r, block, 7, windows.hash[s]) for r, s in _by_range(windows.to)]
+
+
+def _met_hashes(key, messages: pd.DataFrame) -> pd.DataFrame:
+    """To each block, by hash in the order sent: whether it was sent more than once."""
+    parts = [np.frombuffer(a, _U) for a in messages["a"]]
+    _, place, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    met = np.split(counts[place] > 1, np.cumsum([len(p) for p in parts])[:-1])
+    return _frame([_message(int(sender), int(key[0]), 8, np.packbits(bits)) for sender, bits in zip(messages["sender"], met, strict=True)])
+
+
+def _send_met(block: int, windows: Windows, replies: pd.DataFrame, length: int) -> list[tuple]:
+    return [_message(r, block, 9, windows.bytes[places], np.full(len(places), length, "<i4"), windows.least[places]) for r, places in windows.met(replies)]
+
+
 def _equal_windows(key, messages: pd.DataFrame, length: int) -> pd.DataFrame:
-    """To each block: which windows of the stretches it sent start in a smaller document, as bits."""
+    """To each block: which windows of the stretches (kind 5) or single windows (kind 9) it sent start in a smaller document, as bits."""
     sizes = np.concatenate([np.frombuffer(b, "<i4") for b in messages["b"]]).astype(np.int64)
     docs = np.concatenate([np.frombuffer(c, np.int64) for c in messages["c"]])
     data = np.frombuffer(b"".join(messages["a"]), dtype=np.uint8)
@@ -313,9 +386,9 @@ def _equal_windows(key, messages: pd.DataFrame, length: int) -> pd.DataFrame:
         least = np.repeat(np.minimum.reduceat(owner[order], at), np.diff(np.append(at, len(order))))
         gone[order] = least < owner[order]
     out, done = [], 0
-    for sender, b in zip(messages["sender"], messages["b"], strict=True):
+    for sender, kind, b in zip(messages["sender"], messages["kind"], messages["b"], strict=True):
         n = int((np.frombuffer(b, "<i4").astype(np.int64) - length + 1).sum())
-        out.append(_message(int(sender), int(key[0]), 6, np.packbits(gone[done : done + n])))
+        out.append(_message(int(sender), int(key[0]), int(kind) + 1, np.packbits(gone[done : done + n])))
         done += n
     return _frame(out)
 
@@ -323,10 +396,13 @@ def _equal_windows(key, messages: pd.DataFrame, length: int) -> pd.DataFrame:
 # ---- the whole -------------------------------------------------------------------------------------------------------------------
 
 
-def _finish(ids: np.ndarray, texts: list[bytes], found: Stretches, least: np.ndarray, is_open: np.ndarray, replies: pd.DataFrame, length: int) -> pd.DataFrame:
+def _finish(ids: np.ndarray, texts: list[bytes], found: Stretches, replies: pd.DataFrame, length: int, ranges: int) -> pd.DataFrame:
     """Per document: its bytes without those that repeated windows cover."""
-    answers = dict(zip(map(int, replies["sender"]), replies["a"], strict=True))
-    bits: dict[int, np.ndarray] = {}  # windows gone, by distinct stretch
+    least, is_open, crowded = _settle(found, replies[replies["kind"] == 4])
+    answers = dict(zip(*(replies[replies["kind"] == 6][c] for c in ("sender", "a")), strict=True))
+    # Windows gone, by distinct stretch.
+    bits: dict[int, np.ndarray] = Windows(found, crowded, length, ranges).gone(replies) if crowded.any() else {}
+    compared = is_open | crowded
     for r, s in _by_range(found.grams):
         chosen = np.flatnonzero(is_open[s]) + s.start
         if len(chosen):
@@ -340,7 +416,7 @@ def _finish(ids: np.ndarray, texts: list[bytes], found: Stretches, least: np.nda
         edge = edges[block.doc[k]]
         edge[block.first[k]] += 1
         edge[block.last[k] + length] -= 1
-    for k in np.flatnonzero(~whole & is_open[found.group]):
+    for k in np.flatnonzero(~whole & compared[found.group]):
         starts = block.first[k] + np.flatnonzero(bits[int(found.group[k])])
         edge = edges[block.doc[k]]
         np.add.at(edge, starts, 1)
@@ -409,19 +485,29 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
             return _frame([])
         return _frame(_send_stretches(int(key[0]), Stretches(*_opened(rows), length, ranges, replies)))
 
+    def hashes_out(key, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not replies["c"].str.len().any():
+            return _frame([])
+        found = Stretches(*_opened(rows), length, ranges, replies[replies["kind"] == 2])
+        crowded = _settle(found, replies[replies["kind"] == 4])[2]
+        return _frame(_send_hashes(int(key[0]), Windows(found, crowded, length, ranges)) if crowded.any() else [])
+
     def windows_out(key, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(replies):
             return _frame([])
         found = Stretches(*_opened(rows), length, ranges, replies[replies["kind"] == 2])
-        return _frame(_send_windows(int(key[0]), found, _settle(found, replies[replies["kind"] == 4])[1]))
+        _, is_open, crowded = _settle(found, replies[replies["kind"] == 4])
+        sent = _send_windows(int(key[0]), found, is_open)
+        if crowded.any():
+            sent += _send_met(int(key[0]), Windows(found, crowded, length, ranges), replies[replies["kind"] == 8], length)
+        return _frame(sent)
 
     def results(key, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"order_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept" if texts_out else "kept_sha256": []})
         ids, texts = _opened(rows)
         found = Stretches(ids, texts, length, ranges, replies[replies["kind"] == 2])
-        least, is_open = _settle(found, replies[replies["kind"] == 4])
-        made = _finish(ids, texts, found, least, is_open, replies[replies["kind"] == 6], length)
+        made = _finish(ids, texts, found, replies, length, ranges)
         return made if texts_out else _spans(made)
 
     def by_block(told: DataFrame, use, schema: str) -> DataFrame:
@@ -431,8 +517,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
         return checkpointed(sent.groupBy("to").applyInPandas(use, MESSAGE))
 
     repeated = by_range(packed.groupBy("block").applyInPandas(grams_out, MESSAGE), _repeated_grams)
-    settled = by_range(by_block(repeated, stretches_out, MESSAGE), _least_documents)
+    limit = CROWDED
+    settled = by_range(by_block(repeated, stretches_out, MESSAGE), lambda key, rows: _least_documents(key, rows, limit))
     told = repeated.union(settled)
+    if not settled.filter("length(c) > 0").isEmpty():
+        told = told.union(by_range(by_block(told, hashes_out, MESSAGE), _met_hashes))
     compared = by_range(by_block(told, windows_out, MESSAGE), lambda key, rows: _equal_windows(key, rows, length))
     last = "kept binary" if texts_out else "kept_sha256 string"
     done = by_block(told.union(compared), results, f"order_id long, n_bytes long, n_removed long, n_spans long, {last}")

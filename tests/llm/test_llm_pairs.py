@@ -172,6 +172,41 @@ def test_repeats(spark, monkeypatch, piece):
         assert tuple(r)[1:] == expected[r["doc_id"]], r["doc_id"]
 
 
+@pytest.mark.parametrize("limit", [1, 3])
+def test_repeats_dealt_by_window(spark, monkeypatch, limit):
+    rows = [*passage_rows(), *[(1000 + r[0], *r[1:]) for r in odd_rows()]]
+    monkeypatch.setattr(repeated_passages, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(repeated_passages, "CROWDED", limit)
+    found = repeated_passages.remove_repeats(spark.createDataFrame(rows, DOCS), 50).collect()
+    expected = brute_repeats(rows, 50)
+    assert len(found) == len(rows)
+    for r in found:
+        assert tuple(r)[1:] == expected[r["doc_id"]], r["doc_id"]
+
+
+def test_edges_of_a_common_passage_do_not_meet_in_one_range(spark, monkeypatch):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    passage = words(30)
+    rows = [(k, f"{words(20)} {passage} {words(20)}", "en", "s", 0) for k in range(2000)]
+    monkeypatch.setattr(repeated_passages, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(repeated_passages, "CROWDED", 100)
+    sent = []
+    checkpoint = repeated_passages.checkpointed
+
+    def watched(df):
+        kept = checkpoint(df)
+        sent.append(kept.groupBy("sender", "kind").agg(F.sum(F.length("a")).alias("bits")).filter("kind in (6, 10)").collect())
+        return kept
+
+    monkeypatch.setattr(repeated_passages, "checkpointed", watched)
+    found = repeated_passages.remove_repeats(spark.createDataFrame(rows, DOCS), 50).collect()
+    expected = brute_repeats(rows, 50)
+    assert all(tuple(r)[1:] == expected[r["doc_id"]] for r in found) and len(found) == len(rows)
+    # Replies are bits of windows; before, each edge gram had those of 2000 stretches in its one range.
+    assert sum(r["bits"] for r in sent[-1]) < 2000
+
+
 def test_repeats_of_empty_tables(spark):
     assert repeated_passages.remove_repeats(empty_documents(spark)).isEmpty()
 

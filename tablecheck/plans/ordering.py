@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, values
 from ..functions import types as ty
-from .storage import checkpointed, shuffle_partitions
+from .small import small_frame
+from .storage import shuffle_partitions, stored
 
-# Copies of one row are numbered in runs of this length, spread over tasks.
-RUN_LENGTH = 100_000
+# ``monotonically_increasing_id`` has the partition above this bit, the place in it below.
+_PLACE_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -30,53 +31,36 @@ class Key:
 
 
 def with_row_index(df: DataFrame, keys: list[Key], index: str = "row_index") -> DataFrame:
-    """Add ``index`` = 0..n-1 in the order of ``keys``, ties by all columns.
+    """Add ``index`` = 0..n-1 in the order of ``keys``, ties by all columns. One range shuffle.
 
-    1. Equal rows are counted first, with map-side combining, so a row copied
-       over a third of the table is one row from here on.
-    2. The distinct rows are range-partitioned on the whole sort key: a heavy
-       leading value is split along the tie-break columns.
-    3. The partition number is kept through a checkpoint, since a second run
-       of the range partitioner may choose other bounds.
-    4. Running sums inside a partition plus the offset of the partition (a
-       table with one row per partition) give each row its first number.
-    5. Copies are numbered from there; long runs are cut and spread.
+    1. Rows are range-partitioned on the whole sort key and, last, on their
+       place in the input, so neither a heavy value nor a row copied over a
+       third of the table lands in one task.
+    2. They are sorted there and stored with their place in the partition,
+       since a second run of the range partitioner may choose other bounds.
+    3. The index is that place plus the sizes of the partitions before (a
+       table with one row per partition, which is broadcast).
     """
-    parts = shuffle_partitions(df.sparkSession)
     fields = df.schema.fields
     opaque = {f.name: f"__text{i}" for i, f in enumerate(fields) if not ty.can_be_grouped(f.dataType)}
-    grouping = [
-        values.as_text(names.col(f.name), f.dataType).alias(opaque[f.name]) if f.name in opaque else names.col(f.name)
-        for f in fields
-    ]
-    counted = df.groupBy(*grouping).agg(
-        F.count(F.lit(1)).alias("__copies"), *[F.first(names.col(c)).alias(c) for c in opaque]
+    columns = [names.col(f.name) for f in fields]
+    keyed = df.select(
+        *columns,
+        *[k.value.alias(f"__key{i}") for i, k in enumerate(keys)],
+        *[values.as_text(names.col(f.name), f.dataType).alias(opaque[f.name]) for f in fields if f.name in opaque],
+        F.monotonically_increasing_id().alias("__copy"),
     )
-    order = [k.order(k.value) for k in keys]
+    order = [k.order(F.col(f"__key{i}")) for i, k in enumerate(keys)]
     order += [names.col(opaque.get(f.name, f.name)).asc_nulls_last() for f in fields]
-    placed = checkpointed(counted.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
-
-    copies, first = F.col("__copies"), F.col("__first")
-    sizes = placed.groupBy("__part").agg(F.sum(copies).alias("size"))
-    running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("size").over(running), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(copies).over(within), F.lit(0))
-    # One row per range partition: bounded by spark.sql.shuffle.partitions.
-    numbered = (
-        placed.withColumn("__before", before)
-        .join(F.broadcast(offsets), "__part")
-        .withColumn("__first", F.col("__offset") + F.col("__before"))
-    )
+    order.append(F.col("__copy"))
+    ranged = keyed.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    placed = stored(ranged.select(*columns, F.monotonically_increasing_id().alias("__place")))
 
-    last = first + copies - 1
-    columns = [names.col(f.name) for f in fields]
-    short = numbered.filter(copies <= RUN_LENGTH).select(F.explode(F.sequence(first, last)).alias(index), *columns)
-    long = (
-        numbered.filter(copies > RUN_LENGTH)
-        .withColumn("__run", F.explode(F.sequence(first, last, F.lit(RUN_LENGTH).cast("long"))))
-        .repartition(parts, "__run")
-        .withColumn("__run_end", F.least(F.col("__run") + RUN_LENGTH - 1, last))
-        .select(F.explode(F.sequence(F.col("__run"), F.col("__run_end"))).alias(index), *columns)
-    )
-    return short.unionByName(long)
+    part, place = F.shiftrightunsigned("__place", _PLACE_BITS), F.col("__place").bitwiseAND((1 << _PLACE_BITS) - 1)
+    sizes = dict(placed.groupBy(part).count().collect())  # a row per range partition
+    offsets, total = [], 0
+    for number in sorted(sizes):
+        offsets.append((number, total))
+        total += sizes[number]
+    before = F.broadcast(small_frame(df.sparkSession, offsets, "__part bigint, __before bigint"))
+    return placed.join(before, part == F.col("__part")).select((F.col("__before") + place).alias(index), *columns)

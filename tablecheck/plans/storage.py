@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def use_checkpoint_folder(spark: SparkSession) -> None:
@@ -35,3 +36,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: lineage and plan end here, and later plans know the true size.
+
+    Columns are kept by position, so any names may be stored. Types that files cannot hold are checkpointed instead.
+    """
+    if _unstorable(df.schema):
+        return checkpointed(df)
+    folder = scratch_folder(df.sparkSession)
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    df.toDF(*plain).write.parquet(folder)
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, df.schema.fields)])
+    return df.sparkSession.read.schema(schema).parquet(folder).toDF(*df.columns)
+
+
+def _unstorable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return not kind.fields or any(_unstorable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _unstorable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _unstorable(kind.keyType) or _unstorable(kind.valueType)
+    return isinstance(kind, (T.NullType, T.CalendarIntervalType))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import bpe, mixing, near_duplicates, nearest, pii, quality_model, quality_rules, repeated_passages, sharding, toxicity
-from tablecheck.llm.common import load
+from tablecheck.llm import bpe, merkle, mixing, near_duplicates, nearest, periodic_runs, pii, quality_model, quality_rules, repeated_passages, sharding, toxicity, tree_bpe
+from tablecheck.llm.common import bind, load, words_of
 
 
 def rank_file() -> tuple[str, str]:
@@ -59,13 +59,75 @@ def op10_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(load(spark, sf_dir, "documents")))
 
 
+def op11_slot_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows is checked with a tampered text; rows without a doc_id are checked as they are."""
+    docs = load(spark, sf_dir, "documents")
+    folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf(*[folded if c == "text" else F.col(c) for c in merkle.FIELDS]))
+    found = merkle.manifest(docs.withColumn("tampered", tampered), carried=("tampered",))
+    back = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")
+    rows = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), back)
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tree_bpe.digests(tree_bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def planted_period(text: Column, doc_id: Column) -> Column:
+    """The text, which for one document in ten goes on from some word with a period; texts without words and rows without a doc_id stay."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / F.lit(10))
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+
+        def from_place(a: Column) -> Column:
+            def with_period(p: Column) -> Column:
+                return F.concat_ws(" ", F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))))
+
+            return bind(F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)), with_period)
+
+        return F.when(n > 0, bind(g % F.greatest(n, F.lit(1)), from_place)).otherwise(text)
+
+    return F.when(h % 10 == 0, bind(words_of(text), repeated)).otherwise(text)
+
+
+def op13_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", planted_period(F.col("text"), F.col("doc_id")).alias("text"))
+    return run_digests(periodic_runs.find_runs(docs))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """The number of runs, the one with the greatest exponent (ties: smallest start, then period), and digests of all runs and of the text left."""
+
+    def better(best: Column, run: Column) -> Column:
+        # Runs come by start, then period; a later one must be greater. Lengths and periods are below 2^31, so the products are exact.
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    kind = found.schema["runs"].dataType.elementType
+    best = found.withColumn("best", F.aggregate("runs", F.lit(None).cast(kind), better))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # imports this module
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {q.__name__: q for q in (pipeline, op1_byte_bpe, op2_radix_repeats, op3_recurrent_toxicity, op4_stratified_shards, op5_cross_polytope, op6_histogram_rules, op7_bottom_k_near_duplicates, op8_site_quality, op9_flow_mix, op10_disguised_pii)}
+QUERIES = {q.__name__: q for q in (pipeline, op1_byte_bpe, op2_radix_repeats, op3_recurrent_toxicity, op4_stratified_shards, op5_cross_polytope, op6_histogram_rules, op7_bottom_k_near_duplicates, op8_site_quality, op9_flow_mix, op10_disguised_pii, op11_slot_merkle, op12_tree_bpe, op13_diagonal_runs)}
 
 # Checksums come from a table of 256 entries, made by the polynomial's rule; the hash is that of common.seeded_hash.
 _OP4 = """
@@ -93,6 +155,62 @@ FROM placed, crc_table
 """
 
 
+# Levels by recursion; siblings left and right of each row on each level, first within the tree of its language and then above.
+_OP11 = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM range(256) t(i)
+), marked AS (
+  SELECT doc_id, lang, text,
+         {field_doc_id} || {field_source} || {field_lang} || {field_n_chars} AS head,
+         xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                         lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS crc
+  FROM documents, crc_table
+), hashed AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256(head || {field_text}) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed, head
+  FROM marked
+), trees AS (
+  SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, n FROM (SELECT lang, count(*) AS n FROM hashed GROUP BY lang)
+), placed AS (
+  SELECT r, doc_id, leaf, sha256(head || {field_changed}) AS tampered, tree, n,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM hashed h JOIN trees t ON h.lang IS NOT DISTINCT FROM t.lang
+), nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 8, n
+), subroots AS (
+  SELECT tree, digest AS subroot FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, tree AS pos, count(*) OVER () AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 8, n
+), siblings AS (
+  SELECT p.r, x.level, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < p.pos // power), '') AS l,
+         coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > p.pos // power), '') AS g
+  FROM placed p JOIN (SELECT *, CAST(8 ** level AS BIGINT) AS power FROM nodes WHERE n > 1) x ON x.tree = p.tree AND x.pos // 8 = p.pos // power // 8
+  GROUP BY p.r, x.level
+  UNION ALL
+  SELECT p.r, 1000 + x.level, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < p.tree // power), ''),
+         coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > p.tree // power), '')
+  FROM placed p JOIN (SELECT *, CAST(8 ** level AS BIGINT) AS power FROM upper WHERE n > 1) x ON x.pos // 8 = p.tree // power // 8
+  GROUP BY p.r, x.level
+), steps AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY level) AS step, l, g FROM siblings
+), folded AS (
+  SELECT r, 0 AS step, tampered AS digest FROM placed
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(s.l || f.digest || s.g) FROM folded f JOIN steps s ON s.r = f.r AND s.step = f.step + 1
+), ended AS (
+  SELECT r, arg_max(digest, step) AS folded_root FROM folded GROUP BY r
+), proofs AS (
+  SELECT r, string_agg(l || g, '' ORDER BY step) AS path FROM steps GROUP BY r
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(path, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN ended USING (r) LEFT JOIN proofs USING (r), (SELECT digest AS root FROM upper WHERE n = 1)
+""".format(**{f"field_{c}": f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", "text", "changed")})
+
 
 def _histogram_rules_sql() -> str:
     """The rules with windows as text instead of hashes, and one row for each component of a histogram."""
@@ -152,4 +270,4 @@ def _all_but(characters: str) -> str:
     return (f"[{inner}]" if characters[1] == "^" else f"[^{inner}]").replace("'", "''")
 
 
-ORACLES = {"op4_stratified_shards": _OP4, "op6_histogram_rules": _histogram_rules_sql()}
+ORACLES = {"op4_stratified_shards": _OP4, "op6_histogram_rules": _histogram_rules_sql(), "op11_slot_merkle": _OP11}

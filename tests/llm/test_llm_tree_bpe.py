@@ -23,10 +23,11 @@ def own(spec):
 
 
 def joined(own, text):
-    ids = []
-    for section in own.parts(text):
-        ids += section if isinstance(section[0], int) else own.joined([own.encode_part(p) for p in section]).tolist()
-    return ids
+    return np.frombuffer(own.encode([text])[0], "<u4").tolist()
+
+
+def plain(own, text):
+    return own.whole.encode(text, add_special_tokens=False).ids
 
 
 UNITS = ["a", "b", "the ", " ", "\n", "'s", "'", "ll", "'LL", "é", "e", "́", "中", "1", "!", "\t", "\x85", "\x1c", "😀", "<|endoftext|>", "<|", "STARTOFTEXT|>", "<|STARTOFTEXT|>", "ing"]
@@ -41,7 +42,7 @@ def test_joins_change_no_ids(own, part, monkeypatch):
         text = "".join(rng.choice(few) for _ in range(rng.randint(0, 60 * (1 + n % 7))))
         monkeypatch.setattr(tree_bpe, "PART", part)
         monkeypatch.setattr(tree_bpe, "SHORT_WORD", rng.choice([0, 8, 64]))
-        assert joined(own, text) == own.encode([text])[0], repr(text)
+        assert joined(own, text) == plain(own, text), repr(text)
 
 
 def test_long_words_are_joined_from_their_sides(own, monkeypatch):
@@ -51,28 +52,45 @@ def test_long_words_are_joined_from_their_sides(own, monkeypatch):
         inner = own._joined_word
         with monkeypatch.context() as patch:
             patch.setattr(own, "_joined_word", lambda mapped, one, two, use=inner: sizes.append(len(mapped)) or use(mapped, one, two))
-            assert joined(own, text) == own.encode([text])[0]
+            assert joined(own, text) == plain(own, text)
         assert (len(sizes) == 7) == (" " not in text)  # eight parts
 
 
 def expected(own, rows):
     for doc_id, text, *_ in rows:
-        ids = own.encode([text or ""])[0]
+        ids = plain(own, text or "")
         yield doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
 
 
 @pytest.mark.parametrize("change", [lambda d: d, clashing])
-@pytest.mark.parametrize("part", [10, 16_384])
-def test_round_trip(spark, own, part, change, monkeypatch):
+@pytest.mark.parametrize("spread", [10, 1 << 20])
+def test_round_trip(spark, own, spread, change, monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(tree_bpe, "PART", part)
+    monkeypatch.setattr(tree_bpe, "SPREAD", spread)
     rows = [*odd_rows(), (None, "a " * 20_000 + "<|endoftext|>", "en", "s", 1), (None, "a " * 20_000 + "<|endoftext|>", "en", "s", 1), (3, "b" * 40_000, None, None, None)]
     docs = change(spark.createDataFrame(rows, odd_documents(spark).schema))
     found = collected(tree_bpe.digests(tree_bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))))
     assert found == sorted(expected(own, rows), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+def test_plain_characters_are_normalised_as_by_the_library(own):
+    assert own.knows_normal
+    rng = random.Random(7)
+    units = [chr(c) for c in range(0x300)] + ["  ", "\r\n", "Straße", "\u2026", "€"]
+    for _ in range(300):
+        text = "".join(rng.choice(units) for _ in range(80))
+        assert tree_bpe._normal(text) == own.whole.normalizer.normalize_str(text)
+
+
+def test_kept_stretches_are_given_up(own, monkeypatch):
+    monkeypatch.setattr(tree_bpe, "KEPT", 5)
+    for k in range(20):
+        texts = [f"w{k} w{k + 1} {'long' * 40} x", f"w{k}"]
+        assert [joined(own, t) for t in texts] == [plain(own, t) for t in texts]
+    assert len(own.kept) < 20
+
+
 def test_empty_table(spark):
     import public_tokenizers
 

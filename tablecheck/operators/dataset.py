@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..plans.files import footer_rows, file_system, list_files
+from ..plans.files import access_settings, any_case, files_to_open, footer_rows, load_paths, open_file, opens_directly, path_of_uri, qualified, relative_path
 from ..plans.shipping import ship_package
-from ..plans.storage import checkpointed
-from ..sources.options import DELIMITERS, FORMATS, normalize_options
+from ..plans.storage import checkpointed, stored
+from ..sources.options import DELIMITERS, family_of, normalize_options
 from ..sources.workbooks import workbook_rows
 
 # Thresholds of the folder rules.
@@ -55,29 +55,33 @@ def partition_values(relative_dir: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"]))
 
 
-def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _inspected(files: DataFrame) -> DataFrame:
     """Row count and columns of files that carry both in their metadata; header names of delimited files."""
-    for batch in batches:
-        for path, size, family in zip(batch["path"], batch["file_size"], batch["family"]):
-            try:
-                found = _metadata(path, int(size), family)
-            except Exception as problem:  # listed as unreadable
-                found = (path, None, None, f"{type(problem).__name__}: {problem}")
-            yield pd.DataFrame([found], columns=["path", "row_count", "columns", "error"])
+    settings = access_settings(files.sparkSession)
 
+    def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, size, family, content in zip(batch["path"], batch["file_size"], batch["family"], batch["content"]):
+                try:
+                    found = _metadata(path, int(size), family, settings, content)
+                except Exception as problem:  # listed as unreadable
+                    found = (path, None, None, f"{type(problem).__name__}: {problem}")
+                yield pd.DataFrame([found], columns=["path", "row_count", "columns", "error"])
 
-def _metadata(path: str, size: int, family: str) -> tuple:
+    return files.select("path", "file_size", "family", "content").mapInPandas(inspect, _FOUND)
+
+
+def _metadata(path: str, size: int, family: str, settings: dict[str, str], content: bytes | None) -> tuple:
     if family == "parquet":
-        head = footer_rows(path, size, False)[0]
+        head = footer_rows(path, size, False, settings, content)[0]
         columns = [{k: c[k] for k in ("name", "path", "type_signature")} for c in head[6] or []]
         return path, head[8], columns if head[5] is None else None, head[5]
-    system, inner, _ = file_system(path)
     if family in DELIMITERS:
-        with system.open_input_stream(inner) as source:
+        with open_file(path, settings, content) as source:
             first = io.TextIOWrapper(source, "utf-8", errors="replace").readline()
         header = next(csv.reader([first], delimiter=DELIMITERS[family]), [])
         return path, None, [{"name": n, "path": n, "type_signature": None} for n in header], None
-    with system.open_input_file(inner) as source:
+    with open_file(path, settings, content) as source:
         schema, rows = _orc(source) if family == "orc" else _arrow(source)
     return path, rows, [{"name": f.name, "path": f.name, "type_signature": _arrow_signature(f.type)} for f in schema], None
 
@@ -90,12 +94,18 @@ def _orc(source):
 
 
 def _arrow(source):
-    from ..sources.arrowfile import _open
+    from ..sources.arrowfile import open_layout
 
-    reader, is_file = _open(source)
-    if is_file:
-        return reader.schema, sum(reader.get_batch(i).num_rows for i in range(reader.num_record_batches))
-    return reader.schema, sum(b.num_rows for b in reader)
+    reader, is_file = open_layout(source)
+    if not is_file:
+        return reader.schema, sum(b.num_rows for b in reader)
+    # Without columns a batch is its header: no values are read.
+    import pyarrow as pa
+
+    source.seek(0)
+    options = pa.ipc.IpcReadOptions(included_fields=[0] if len(reader.schema) else [])
+    headers = pa.ipc.open_file(source, options=options)
+    return reader.schema, sum(headers.get_batch(i).num_rows for i in range(headers.num_record_batches))
 
 
 def _arrow_signature(kind) -> str:
@@ -122,9 +132,9 @@ def _delimited(spark: SparkSession, root: str, family: str, headers: DataFrame)
     options = normalize_options(family)
     schema = ", ".join(f"c{i} string" for i in range(width))
     reader = spark.read.schema(schema).option("header", True).option("sep", options["delimiter"]).option("escape", '"')
-    reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case(family))
+    reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(family))
     stacked = ", ".join(f"{i}, c{i}" for i in range(width))
-    cells = reader.csv(root).selectExpr("_metadata.file_path AS uri", f"stack({width}, {stacked}) AS (pos, v)")
+    cells = load_paths(reader.format("csv"), [root]).selectExpr("_metadata.file_path AS uri", f"stack({width}, {stacked}) AS (pos, v)")
     here, number = values.present(F.col("v")), values.as_number(F.col("v"))
     tested = cells.groupBy("uri", "pos").agg(
         F.count(F.lit(1)).alias("n"),
@@ -134,7 +144,7 @@ def _delimited(spark: SparkSession, root: str, family: str, headers: DataFrame)
         F.every(F.when(here, number.isNull() & values.as_moment(F.col("v")).isNotNull())).alias("moment"),
     )
     kind = F.when(F.col("boolean"), "BOOLEAN").when(F.col("number"), "NUMERIC").when(F.col("moment"), "TEMPORAL").otherwise("TEXT")
-    by_file = tested.groupBy(_local(F.col("uri")).alias("path")).agg(
+    by_file = tested.groupBy(path_of_uri(F.col("uri")).alias("path")).agg(
         F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pos", kind))).alias("kinds")
     )
     typed = F.transform(
@@ -147,30 +157,19 @@ def _delimited(spark: SparkSession, root: str, family: str, headers: DataFrame)
     )
 
 
-def _any_case(*extensions: str) -> str:
-    """Glob of file names with one of the extensions, whatever the case."""
-    spelled = ["".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions]
-    return "*.{" + ",".join(spelled) + "}"
-
-
-def _local(uri: Column) -> Column:
-    """Spark's ``file:///a%20b`` form as the plain path the listing gives."""
-    return F.url_decode(F.replace(F.regexp_replace(uri, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-
-
 def _json(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """Records and shape of JSON files: lines are documents, ``.json`` files are one document each.
 
     A document that is too long for one Spark value counts as invalid; such
     data belongs in a file of lines.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case("jsonl", "ndjson")).text(root)
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case("json")).text(root, wholetext=True)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", any_case("jsonl", "ndjson")).text(root)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", any_case("json")).text(root, wholetext=True)
     uri = F.col("_metadata.file_path").alias("uri")
     documents = lines.select(uri, F.col("value")).unionByName(whole.select(uri, F.col("value"))).filter("trim(value) <> ''")
     parsed = documents.select("uri", F.try_parse_json("value").alias("doc"))
     items = F.col("doc").try_cast("array<variant>")
-    counted = parsed.groupBy(_local(F.col("uri")).alias("path")).agg(
+    counted = parsed.groupBy(path_of_uri(F.col("uri")).alias("path")).agg(
         F.sum(F.coalesce(F.size(items), F.lit(1))).alias("n"),
         F.count_if(F.col("doc").isNull()).alias("bad"),
         F.schema_of_variant_agg("doc").alias("shape"),
@@ -207,17 +206,11 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
     and JSON files are read by Spark, split as usual, and counted per file.
     The scan is stored, since every report on it would repeat it.
     """
-    family = reduce(
-        lambda rest, item: F.when(F.lower("path").endswith(item[0]), F.lit(item[1][0])).otherwise(rest),
-        FORMATS.items(),
-        F.lit(None).cast("string"),
-    )
-    _, inner, prefix = file_system(root)
-    base = prefix + inner.rstrip("/") + "/"
-    relative = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1))).otherwise(F.col("path"))
-    # Spark never reads names that start with . or _, except partition folders.
-    hidden = F.exists(F.split(relative, "/"), lambda p: p.startswith(".") | (p.startswith("_") & ~p.contains("=")))
-    files = list_files(spark, root).withColumn("family", family).filter("family IS NOT NULL").filter(~hidden)
+    root = qualified(spark, root)
+    relative = relative_path(root, F.col("path"))
+    files = files_to_open(spark, root).withColumn("family", family_of(F.col("path"))).filter("family IS NOT NULL")
+    if opens_directly(root, access_settings(spark)):
+        files = stored(files)  # one listing, whatever the kinds of files in it
     kinds = {r.family for r in files.select("family").distinct().collect()}
     if not kinds:
         raise ValueError(f"No data files below {root!r}.")
@@ -225,9 +218,9 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
     seen = []
     direct = [k for k in kinds if k in ("parquet", "orc", "arrow", "feather")]
     if direct:
-        seen.append(files.filter(F.col("family").isin(*direct)).mapInPandas(_inspect, _FOUND))
+        seen.append(_inspected(files.filter(F.col("family").isin(*direct))))
     for kind in sorted(kinds & set(DELIMITERS)):
-        headers = files.filter(F.col("family") == kind).mapInPandas(_inspect, _FOUND)
+        headers = _inspected(files.filter(F.col("family") == kind))
         seen.append(_delimited(spark, root, kind, headers))
     if "json" in kinds:
         seen.append(_json(spark, root, files.filter("family = 'json'")))
@@ -247,7 +240,7 @@ def scan_dataset(spark: SparkSession, root: str) -> DataFrame:
     folder = F.regexp_replace(F.col("relative_path"), "/?[^/]*$", "")
     signature = F.when(F.col("error").isNull(), F.sha2(F.to_json("columns"), 256))
     return checkpointed(
-        files.join(found, "path", "left")
+        files.select("path", "file_size").join(found, "path", "left")
         .withColumn("relative_path", relative)
         .withColumn("partition_dir", F.when(folder == "", ".").otherwise(folder))
         .withColumn("partition_values", partition_values(F.col("partition_dir")))

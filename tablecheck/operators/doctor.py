@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import names, values
 from ..functions import types as ty
 from ..plans.aggregate import column_metrics, distinct_rows
-from ..plans.files import footers
+from ..plans.files import footers, path_of_uri
 from ..plans.small import small_frame
 from ..plans.storage import checkpointed
 from .schema import parquet_schema
@@ -415,7 +415,7 @@ def rows_read(table: DataFrame, scanned: DataFrame) -> DataFrame:
     be answered from the footers.
     """
     decoded = [F.size(names.col(f.name)) if isinstance(f.dataType, T.MapType) else names.col(f.name) for f in table.schema.fields]
-    place = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    place = path_of_uri(F.col("_metadata.file_path"))
     read = table.select(place.alias("place"), F.xxhash64(*decoded).alias("digest") if _hashable(table.schema) else F.to_json(F.struct(*decoded)).alias("digest"))
     counted = read.groupBy("place").agg(F.count(F.lit(1)).alias("rows_read"), F.max("digest").alias("decoded"))
     promised = scanned.filter("row_group IS NULL AND error IS NULL").select("path", "row_count", F.regexp_replace("path", "^file:/+", "/").alias("place"))

@@ -7,7 +7,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship_package
@@ -17,6 +18,9 @@ from .small import small_frame
 PARQUET_MAGIC = b"PAR1"
 LEAST_PARQUET_SIZE = 8
 
+#: Bytes of a file that one value may hold.
+LONGEST_CONTENT = 1 << 30
+
 _UNITS = {"milliseconds": "MILLIS", "microseconds": "MICROS", "nanoseconds": "NANOS"}
 
 COLUMN_STRUCT = (
@@ -34,68 +38,151 @@ FOOTER_SCHEMA = (
 )
 
 
-def file_system(path: str):
-    """pyarrow file system of a path or URI, the path inside it, and the URI prefix."""
-    import pyarrow.fs as pafs
+def scheme_of(path: str) -> str:
+    """The scheme of a path or URI, or nothing."""
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", path)
+    return found.group(1).lower() if found else ""
 
-    uri = re.sub(r"^file:/+", "/", path)
-    system, inner = pafs.FileSystem.from_uri(uri)
-    prefix = "" if uri.startswith("/") else uri[: uri.rfind(inner)] if inner in uri else ""
-    return system, inner, prefix
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme as Spark takes it: in its own file system and working folder, which need not be those of Python."""
+    if scheme_of(path):
+        return path
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = plain.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(r"^file:/+", "/", system.makeQualified(plain).toString())
 
-def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """``path, file_size`` of every file below the given files or folders.
 
-    The driver opens folders level by level only until there is one for every
-    core; the rest of the tree is listed in tasks. The result is spread out,
-    ready for a task per file or few.
-    """
+def access_settings(spark: SparkSession) -> dict[str, str]:
+    """What tasks need to open objects of a store themselves: the session's own settings of it."""
+    given = dict(spark.sparkContext.getConf().getAll())
+    return {k.removeprefix("spark.hadoop."): v for k, v in given.items() if k.startswith("spark.hadoop.fs.s3a.")}
+
+
+def file_system(path: str, settings: dict[str, str] | None = None):
+    """pyarrow file system of a qualified path or URI, and the path inside it."""
     import pyarrow.fs as pafs
 
-    wanted = spark.sparkContext.defaultParallelism
-    tasks = 4 * wanted
-    folders: list[str] = []
-    files: list[tuple[str, bool, int]] = []
-    for one in [root] if isinstance(root, str) else root:
-        system, inner, prefix = file_system(one)
-        info = system.get_file_info(inner)
-        if info.type == pafs.FileType.NotFound:
-            raise FileNotFoundError(one)
-        if info.type == pafs.FileType.File:
-            files.append((prefix + info.path, False, info.size))
-        else:
-            folders.append(prefix + info.path)
-    for _ in range(4):
-        if not folders or len(folders) >= wanted:
-            break
-        below: list[str] = []
-        for folder in folders:
-            system, inner, prefix = file_system(folder)
-            for info in system.get_file_info(pafs.FileSelector(inner, recursive=False)):
-                if info.type == pafs.FileType.Directory:
-                    below.append(prefix + info.path)
-                else:
-                    files.append((prefix + info.path, False, info.size))
-        folders = below
-    seeds = small_frame(spark, files + [(f, True, 0) for f in folders], "path string, is_folder boolean, file_size bigint")
-    if not folders:
-        return seeds.select("path", "file_size").repartition(max(1, min(len(files), tasks)))
-    spread = seeds.filter("is_folder").repartition(min(len(folders), 10 * wanted))
-    ship_package(spark)
-    inside = spread.select("path").mapInPandas(_list_below, "path string, file_size bigint")
-    return seeds.filter("NOT is_folder").select("path", "file_size").unionByName(inside).repartition(tasks, "path")
-
-
-def _list_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = scheme_of(path)
+    if kind in ("", "file"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    if kind in ("s3", "s3a", "s3n"):
+        inner = path.split(":", 1)[1].lstrip("/")
+        return _object_store(inner.split("/", 1)[0], settings or {}), inner
+    return pafs.FileSystem.from_uri(path)
+
+
+def _object_store(bucket: str, settings: dict[str, str]):
     import pyarrow.fs as pafs
 
-    for batch in batches:
-        for folder in batch["path"]:
-            system, inner, prefix = file_system(folder)
-            found = system.get_file_info(pafs.FileSelector(inner, recursive=True))
-            kept = [(prefix + i.path, i.size) for i in found if i.type == pafs.FileType.File]
-            yield pd.DataFrame(kept, columns=["path", "file_size"])
+    def of(name: str) -> str | None:
+        return settings.get(f"fs.s3a.bucket.{bucket}.{name}") or settings.get(f"fs.s3a.{name}")
+
+    given = {
+        "access_key": of("access.key"),
+        "secret_key": of("secret.key"),
+        "session_token": of("session.token"),
+        "region": of("endpoint.region"),
+        "endpoint_override": of("endpoint"),
+        "scheme": "http" if of("connection.ssl.enabled") == "false" else None,
+        "anonymous": True if "Anonymous" in (of("aws.credentials.provider") or "") else None,
+    }
+    return pafs.S3FileSystem(**{k: v for k, v in given.items() if v})
+
+
+def opens_directly(root: str, settings: dict[str, str]) -> bool:
+    """Whether tasks can open files below ``root`` at any place; others come whole through Spark's reader."""
+    if scheme_of(root) in ("", "file", "s3", "s3a", "s3n"):
+        return True
+    try:
+        file_system(root, settings)
+    except Exception:  # no driver for this kind of store, or it cannot be loaded here
+        return False
+    return True
+
+
+def open_file(path: str, settings: dict[str, str], content: bytes | None = None):
+    """The file for reading at any place, from its bytes if they are at hand."""
+    import pyarrow as pa
+
+    if content is not None:
+        return pa.BufferReader(content)
+    system, inner = file_system(path, settings)
+    return system.open_input_file(inner)
+
+
+def plain_path(uri: Column) -> Column:
+    """Local files without their scheme."""
+    return F.regexp_replace(uri, "^file:/+", "/")
+
+
+def path_of_uri(uri: Column) -> Column:
+    """The ``_metadata.file_path`` of a row as the listing spells it: nothing escaped, local files without their scheme."""
+    return plain_path(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
+def load_paths(reader: DataFrameReader, roots: list[str]) -> DataFrame:
+    """``reader.load`` of files, folders and globs. A path that is none as a glob is taken by the letter."""
+    try:
+        return reader.load(roots)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    try:
+        return reader.load([re.sub(r"([\\\[\]{}*?])", r"\\\1", root) for root in roots])
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(", ".join(roots)) from None
+
+
+def list_files(spark: SparkSession, root: str | list[str], names: str | None = None, content: bool = False) -> DataFrame:
+    """``path, file_size`` (and ``content``) of every file below the given files, folders and globs.
+
+    Spark lists them with its own file systems and credentials, whatever the
+    scheme, in a job of its own where there are many folders; no list comes to
+    Python. ``names`` is a glob of file names. Hidden files are left out, as in
+    every read of Spark's. ``content`` is null where a file is too long for one
+    value.
+    """
+    roots = [root] if isinstance(root, str) else list(root)
+    if not roots:
+        return small_frame(spark, [], "path string, file_size bigint" + (", content binary" if content else ""))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = load_paths(reader.option("pathGlobFilter", names) if names else reader, roots)
+    columns = [plain_path(F.col("path")).alias("path"), F.col("length").alias("file_size")]
+    if not content:
+        return found.select(*columns)
+    # The filters reach the reader, which opens no file they leave out.
+    short = found.filter(F.col("length") <= LONGEST_CONTENT).select(*columns, "content")
+    return short.unionByName(found.filter(F.col("length") > LONGEST_CONTENT).select(*columns, F.lit(None).cast("binary").alias("content")))
+
+
+def files_to_open(spark: SparkSession, root: str | list[str], names: str | None = None) -> DataFrame:
+    """``path, file_size, content`` for ``open_file`` in tasks; the content is null where tasks open files themselves."""
+    settings = access_settings(spark)
+    roots = [qualified(spark, r) for r in ([root] if isinstance(root, str) else root)]
+    direct = [r for r in roots if opens_directly(r, settings)]
+    others = [r for r in roots if r not in direct]
+    nothing = F.lit(None).cast("binary").alias("content")
+    if not others:
+        return list_files(spark, direct, names).select("path", "file_size", nothing)
+    found = list_files(spark, others, names, content=True)
+    return found.unionByName(list_files(spark, direct, names).select("path", "file_size", nothing)) if direct else found
+
+
+def relative_path(root: str, path: Column) -> Column:
+    """The path below the qualified root, or below the last folder before the first wild card of it."""
+    parts = re.sub(r"^file:/+", "/", root).rstrip("/").split("/")
+    wild = next((i for i, part in enumerate(parts) if re.search(r"[*?{\[]", part)), len(parts))
+    base = "/".join(parts[:wild]) + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+
+
+def any_case(*extensions: str) -> str:
+    """Glob of file names with one of the extensions, whatever the case."""
+    spelled = ["".join(f"[{c.lower()}{c.upper()}]" for c in e.lstrip(".")) for e in extensions]
+    return "*.{" + ",".join(spelled) + "}"
 
 
 def read_footers(files: DataFrame, decode: bool = False) -> DataFrame:
@@ -103,16 +190,17 @@ def read_footers(files: DataFrame, decode: bool = False) -> DataFrame:
 
     Reads the first and last bytes and the footer only, unless ``decode`` asks
     for a full read as well. A file that cannot be read gives a row with
-    ``error``; nothing is raised.
+    ``error``; nothing is raised. ``files`` is what ``files_to_open`` gives.
     """
     ship_package(files.sparkSession)
+    settings = access_settings(files.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, size in zip(batch["path"], batch["file_size"]):
-                yield pd.DataFrame(footer_rows(path, int(size), decode), columns=_FOOTER_COLUMNS)
+            for path, size, content in zip(batch["path"], batch["file_size"], batch["content"]):
+                yield pd.DataFrame(footer_rows(path, int(size), decode, settings, content), columns=_FOOTER_COLUMNS)
 
-    return files.select("path", "file_size").mapInPandas(scan, FOOTER_SCHEMA)
+    return files.select("path", "file_size", "content").mapInPandas(scan, FOOTER_SCHEMA)
 
 
 _FOOTER_COLUMNS = [
@@ -129,15 +217,14 @@ _FOOTER_COLUMNS = [
 ]
 
 
-def footer_rows(path: str, size: int, decode: bool) -> list[tuple]:
+def footer_rows(path: str, size: int, decode: bool, settings: dict[str, str], content: bytes | None = None) -> list[tuple]:
     import pyarrow.parquet as pq
 
     starts = ends = False
     try:
         if size < LEAST_PARQUET_SIZE:
             raise ValueError(f"only {size} bytes long")
-        system, inner, _ = file_system(path)
-        with system.open_input_file(inner) as source:
+        with open_file(path, settings, content) as source:
             starts = source.read(4) == PARQUET_MAGIC
             source.seek(size - 4)
             ends = source.read(4) == PARQUET_MAGIC
@@ -230,5 +317,4 @@ def _chunk(column) -> dict:
 
 def footers(spark: SparkSession, path: str | list[str], decode: bool = False) -> DataFrame:
     """Footers of every ``.parquet`` file below ``path``."""
-    files = list_files(spark, path).filter(F.lower("path").endswith(".parquet"))
-    return read_footers(files, decode)
+    return read_footers(files_to_open(spark, path, any_case("parquet")), decode)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ from ..functions import types as ty
 from ..operators.joins import join_tables
 from ..operators.query import run_sql
 from ..operators.writetypes import as_write_type
-from ..plans.files import file_system
-from ..sources import arrowfile
+from ..plans.files import list_files
+from ..sources.arrowfile import write_arrow
 from ..sources.catalog import open_relation
 from ..sources.options import DELIMITERS, format_of
 
@@ -59,15 +59,7 @@ class _Counted:
         return self.df.observe(self.seen, F.count(F.lit(1)).alias("rows"))
 
     def finish(self, path: str, fmt: str) -> Exported:
-        return Exported(path, fmt, int(self.seen.get["rows"]), _count_files(path))
-
-
-def _count_files(path: str) -> int:
-    import pyarrow.fs as pafs
-
-    system, inner, _ = file_system(path)
-    found = system.get_file_info(pafs.FileSelector(inner, recursive=True))
-    return sum(i.type == pafs.FileType.File and not i.base_name.startswith(("_", ".")) for i in found)
+        return Exported(path, fmt, int(self.seen.get["rows"]), list_files(self.df.sparkSession, path).count())
 
 
 def typed_columns(df: DataFrame, columns: list[OutputColumn] | None = None) -> DataFrame:
@@ -121,22 +113,27 @@ def create_parquet(
 def json_array_lines(df: DataFrame) -> DataFrame:
     """Lines of a JSON array per partition: ``[``, the rows with commas between, ``]``.
 
-    Rows stream through; a partition's text is never held as a whole.
+    Rows stream through as Arrow text; a partition's text is never held as a whole.
     """
     objects = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", **MOMENTS}).alias("value"))
 
-    def bracket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": ["["]})
+    def bracket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        def lines(values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([values], names=["value"])
+
+        yield lines(pa.array(["["], pa.string()))
         first = True
         for batch in batches:
-            text = "," + batch["value"]
-            if first and len(text):
-                text.iloc[0] = batch["value"].iloc[0]
-                first = False
-            yield pd.DataFrame({"value": text})
-        yield pd.DataFrame({"value": ["]"]})
+            values = batch.column(0)
+            if first and len(values):
+                yield lines(values.slice(0, 1))
+                values, first = values.slice(1), False
+            yield lines(pc.binary_join_element_wise(pa.scalar("", values.type), values, pa.scalar(",", values.type)))
+        yield lines(pa.array(["]"], pa.string()))
 
-    return objects.mapInPandas(bracket, "value string")
+    return objects.mapInArrow(bracket, "value string")
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -176,21 +173,10 @@ def export_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "
         except AnalysisException as problem:
             raise RuntimeError("Avro needs the org.apache.spark:spark-avro package on the cluster.") from problem
     else:
-        _write_arrow(rows, path, fmt, mode)
+        write_arrow(rows, path, fmt, mode)
     return counted.finish(path, fmt)
 
 
-def _write_arrow(rows: DataFrame, path: str, fmt: str, mode: str) -> None:
-    import pyarrow.fs as pafs
-
-    arrowfile.register(rows.sparkSession)
-    system, inner, _ = file_system(path)
-    if mode == "errorifexists" and system.get_file_info(inner).type != pafs.FileType.NotFound:
-        raise FileExistsError(path)
-    writer = rows.write.format(arrowfile.SHORT_NAME).option("extension", fmt)
-    writer.mode("overwrite" if mode == "overwrite" else "append").save(path)
-
-
 def export_join(base: DataFrame, other: DataFrame, base_column: str, join_column: str, how: str, path: str) -> Exported:
     """The whole join (not a preview) as CSV."""
     return export_table(join_tables(base, other, base_column, join_column, how), path, "csv")

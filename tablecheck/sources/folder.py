@@ -5,10 +5,11 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import unique_view_names
-from ..plans.files import file_system
-from .options import FORMATS, format_of
+from ..plans.files import list_files, qualified, relative_path
+from .options import family_of
 from .tables import read_table
 
 # Folders that are never entered.
@@ -18,42 +19,28 @@ MOUNT_SCHEMA = "`view` string, path string, format string, error string"
 _log = logging.getLogger(__name__)
 
 
-def _is_table(name: str) -> bool:
-    return name.lower().endswith(tuple(FORMATS))
+def tables_below(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, format`` of every table: supported files, and folders of part files that have one format.
 
-
-def _tables_below(folder: str) -> list[str]:
-    """Supported files and folders of part files, relative to the folder, sorted."""
-    import pyarrow.fs as pafs
-
-    system, root, _ = file_system(folder)
-    found, open_folders = [], [root]
-    while open_folders:
-        here = open_folders.pop()
-        entries = system.get_file_info(pafs.FileSelector(here))
-        files = [e for e in entries if e.type == pafs.FileType.File and not e.base_name.startswith((".", "_"))]
-        parts = [e for e in files if e.base_name.startswith("part-") and _is_table(e.base_name)]
-        if here != root and parts and len({format_of(e.path) for e in parts}) == 1:
-            found.append(here)
-            continue
-        found += [e.path for e in files if _is_table(e.base_name)]
-        for e in entries:
-            if e.type == pafs.FileType.Directory and e.base_name not in SKIPPED_FOLDERS:
-                if _is_table(e.base_name):
-                    found.append(e.path)
-                else:
-                    open_folders.append(e.path)
-    return sorted(p[len(root) :].lstrip("/") for p in found)
-
-
-def _format_inside(path: str) -> str:
-    import pyarrow.fs as pafs
-
-    if _is_table(path):
-        return format_of(path)[0]
-    system, inner, _ = file_system(path)
-    entries = system.get_file_info(pafs.FileSelector(inner))
-    return next(format_of(e.path)[0] for e in entries if _is_table(e.base_name))
+    ``path`` is relative to the folder. Files are listed and put together by
+    Spark; a folder that is a table, by its name or by its parts, is not
+    entered, so the topmost one counts.
+    """
+    folder = qualified(spark, folder)
+    files = list_files(spark, folder).select(relative_path(folder, F.col("path")).alias("path"))
+    parts = F.split("path", "/")
+    skipped = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*SKIPPED_FOLDERS))
+    files = files.filter(~skipped).withColumn("format", family_of(F.col("path"))).withColumn("depth", F.size(parts) - 1)
+    # The folders above each file, the topmost first.
+    above = F.transform(F.sequence(F.lit(1), F.col("depth")), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    inside = files.filter("depth > 0").select("format", F.element_at(above, -1).alias("folder"), F.element_at(parts, -1).startswith("part-").alias("part"))
+    parted = inside.filter("part AND format IS NOT NULL").groupBy("folder").agg(F.min("format").alias("format"), F.max("format").alias("most")).filter("format = most")
+    placed = files.withColumn("folder", F.explode(F.when(F.col("depth") > 0, above).otherwise(F.array(F.lit(None).cast("string")))))
+    placed = placed.join(parted.select("folder", F.col("format").alias("parts_format")), "folder", "left")
+    table_format = F.coalesce(family_of(F.col("folder")), "parts_format")
+    top = F.min(F.when(table_format.isNotNull(), F.struct(F.length("folder").alias("n"), "folder", table_format.alias("format")))).alias("top")
+    found = placed.groupBy("path", "format").agg(top).select(F.coalesce("top.folder", "path").alias("path"), F.coalesce("top.format", "format").alias("format"))
+    return found.filter("format IS NOT NULL").distinct()
 
 
 def mount_folder(spark: SparkSession, folder: str, options: dict[str, dict] | None = None) -> DataFrame:
@@ -63,12 +50,11 @@ def mount_folder(spark: SparkSession, folder: str, options: dict[str, dict] | No
     read is logged and listed with its error.
     """
     base = folder.rstrip("/")
-    relative = _tables_below(folder)
+    found = sorted(map(tuple, tables_below(spark, folder).collect()))  # a view each
     rows = []
-    for name, path in zip(unique_view_names(relative), relative):
-        full, family = f"{base}/{path}", None
+    for name, (path, family) in zip(unique_view_names(path for path, _ in found), found):
+        full = f"{base}/{path}"
         try:
-            family = _format_inside(full)
             read_table(spark, full, {**(options or {}).get(path, {}), "format": family}).createOrReplaceTempView(name)
             rows.append((name, path, family, None))
         except Exception as problem:  # one bad file must not hide the others

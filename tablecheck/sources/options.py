@@ -6,6 +6,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Extension -> (family, exact source format).
 FORMATS = {
     ".parquet": ("parquet", "parquet"),
@@ -43,6 +46,14 @@ def format_of(path: str) -> tuple[str, str]:
     raise ValueError(f"{path!r} has none of the supported extensions: {', '.join(FORMATS)}.")
 
 
+def family_of(path: Column) -> Column:
+    """The family of each path by its extension, or null."""
+    found = F.lit(None).cast("string")
+    for extension, (family, _) in FORMATS.items():
+        found = F.when(F.lower(path).endswith(extension), F.lit(family)).otherwise(found)
+    return found
+
+
 @dataclass(frozen=True)
 class Option:
     """An option's usual value, and the function that turns a given value into a valid one or raises ``ValueError``."""

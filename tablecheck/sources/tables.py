@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import names
-from . import arrowfile
+from ..plans.files import load_paths
+from .arrowfile import read_arrow
 from .jsonrecords import flatten_json, require_records
 from .options import DELIMITERS, format_of, normalize_options
 from .workbooks import read_workbooks
@@ -28,16 +29,15 @@ def read_table(spark: SparkSession, path: str, options: dict | None = None) -> D
     family = given.pop("format", None) or format_of(path)[0]
     chosen = normalize_options(family, given)
     if family == "parquet":
-        return spark.read.option("mergeSchema", bool(given.get("merge_schema"))).parquet(path)
+        return load_paths(spark.read.format("parquet").option("mergeSchema", bool(given.get("merge_schema"))), [path])
     if family == "orc":
-        return spark.read.orc(path)
+        return load_paths(spark.read.format("orc"), [path])
     if family in DELIMITERS:
         return _read_delimited(spark, path, chosen, given)
     if family == "json":
         return _read_json(spark, path, chosen, given)
     if family in ("arrow", "feather"):
-        arrowfile.register(spark)
-        return spark.read.format(arrowfile.SHORT_NAME).load(path)
+        return read_arrow(spark, path)
     if family == "avro":
         return read_avro(spark, path)
     return read_workbooks(spark, path, chosen)
@@ -52,8 +52,8 @@ def _read_delimited(spark: SparkSession, path: str, chosen: dict, given: dict) -
     if given.get("multi_line") or chosen["encoding"] == "utf-16":
         reader = reader.option("multiLine", True)
     if given.get("schema"):
-        return reader.schema(given["schema"]).csv(path)
-    df = reader.option("inferSchema", True).csv(path)
+        return load_paths(reader.schema(given["schema"]).format("csv"), [path])
+    df = load_paths(reader.option("inferSchema", True).format("csv"), [path])
     return df if chosen["header"] else df.toDF(*[f"column{i}" for i in range(len(df.columns))])
 
 
@@ -62,7 +62,7 @@ def _read_json(spark: SparkSession, path: str, chosen: dict, given: dict) -> Dat
     reader = spark.read.option("multiLine", whole)
     if chosen["require_objects"]:
         reader = reader.option("mode", "FAILFAST")
-    df = (reader.schema(given["schema"]) if given.get("schema") else reader).json(path)
+    df = load_paths((reader.schema(given["schema"]) if given.get("schema") else reader).format("json"), [path])
     if chosen["record_path"]:
         df = require_records(df, chosen["record_path"])
     return flatten_json(df) if chosen["flatten"] else df

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators.writetypes import cast_columns, infer_write_types
-from ..plans.files import file_system, list_files
+from ..plans.files import access_settings, any_case, files_to_open, open_file
 from ..plans.shipping import ship_package
 from .options import normalize_options
 
@@ -154,17 +154,17 @@ def table_rows(content: io.BufferedIOBase, header_row: int, data_start_row: int)
 
 
 def workbook_rows(files: DataFrame, options: dict) -> DataFrame:
-    """Rows of every workbook of ``path, file_size``; a bad workbook gives one row with ``error``."""
+    """Rows of every workbook of ``files_to_open``; a bad workbook gives one row with ``error``."""
+    settings = access_settings(files.sparkSession)
     header_row, data_start_row = options["header_row"], options["data_start_row"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = ["path", "row_number", "is_header", "width", "cells", "error"]
         for batch in batches:
-            for path in batch["path"]:
+            for path, content in zip(batch["path"], batch["content"]):
                 rows = []
                 try:
-                    system, inner, _ = file_system(path)
-                    with system.open_input_file(inner) as source:
+                    with open_file(path, settings, content) as source:
                         for number, is_header, width, cells in table_rows(source, header_row, data_start_row):
                             rows.append((path, number, is_header, width, cells, None))
                             if len(rows) == _BATCH:
@@ -176,19 +176,18 @@ def workbook_rows(files: DataFrame, options: dict) -> DataFrame:
                     yield pd.DataFrame(rows, columns=fields)
 
     ship_package(files.sparkSession)
-    return files.select("path").mapInPandas(read, ROW_SCHEMA)
+    return files.select("path", "content").mapInPandas(read, ROW_SCHEMA)
 
 
 def read_workbooks(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:
-    """All workbooks below ``path`` as one table with a ``_path`` column.
+    """All workbooks below ``path`` (a file, folder or glob) as one table with a ``_path`` column.
 
     Columns are the header names in order of their first place (letters of the
     sheet when ``header_row`` is 0). The header names, at most a few thousand,
     come to the driver; the rows do not.
     """
     chosen = normalize_options("workbook", options)
-    files = list_files(spark, path).filter(F.lower("path").endswith(".xlsx"))
-    rows = workbook_rows(files, chosen)
+    rows = workbook_rows(files_to_open(spark, path, any_case("xlsx")), chosen)
     if chosen["header_row"]:
         headers = rows.filter("is_header").select("path", F.posexplode("cells").alias("pos", "name"))
         headers = headers.withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("column_"), F.col("pos") + 1)))

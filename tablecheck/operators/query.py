@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, values
 from ..functions import types as ty
 from ..plans.aggregate import column_metrics
-from ..plans.ordering import Key, with_row_index
+from ..plans.ordering import Key, RowOrder, row_order, with_row_index
 from ..plans.small import small_frame
 
 # Names under which the open table can be queried.
@@ -81,6 +81,35 @@ def page(df: DataFrame, order_by: list[Column | str] | None = None, offset: int
     return Page(ordered.offset(offset).limit(limit), ordered.offset(offset + limit).limit(1))
 
 
+@dataclass(frozen=True)
+class Pages:
+    """A table in a total order, stored once, with pages at any offset.
+
+    A page reads the files that hold its rows and no others, however deep it
+    lies: its place is known from the sizes of the sorted partitions.
+    """
+
+    order: RowOrder
+
+    @property
+    def total(self) -> int:
+        return self.order.total
+
+    def rows(self, offset: int, limit: int = 1000) -> DataFrame:
+        """Rows ``offset .. offset+limit`` in order."""
+        found = self.order.slice(offset, limit, "__index")
+        return found.orderBy("__index").drop("__index")
+
+    def page(self, offset: int, limit: int = 1000) -> Page:
+        return Page(self.rows(offset, limit), self.rows(offset + limit, 1))
+
+
+def open_pages(df: DataFrame, order_by: list[str] | None = None) -> Pages:
+    """Pages in the asked order, nulls last, made total by the remaining columns in turn."""
+    keys = [Key(values.sort_key(names.col(c), df.schema[c].dataType)) for c in order_by or []]
+    return Pages(row_order(df, keys))
+
+
 def page_after(df: DataFrame, order_by: list[str], last: dict[str, object] | None, limit: int = 1000) -> DataFrame:
     """Next page after the row with the order values ``last`` (deep pages stay cheap).
 

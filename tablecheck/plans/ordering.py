@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,16 +31,54 @@ class Key:
         return column.asc_nulls_first() if self.nulls_first else column.asc_nulls_last()
 
 
-def with_row_index(df: DataFrame, keys: list[Key], index: str = "row_index") -> DataFrame:
-    """Add ``index`` = 0..n-1 in the order of ``keys``, ties by all columns. One range shuffle.
+@dataclass(frozen=True)
+class RowOrder:
+    """A table stored in order, with what it takes to find any place in it.
+
+    ``placed`` has the rows with ``__place`` (partition and place in it), which
+    grows with the order and so bounds every file; ``before`` has, for each
+    partition, the number of rows before it. Both serve any number of reads.
+    """
+
+    placed: DataFrame
+    before: list[tuple[int, int]]
+    total: int
+
+    @property
+    def columns(self) -> list[str]:
+        return self.placed.columns[:-1]
+
+    def indexed(self, index: str = "row_index", rows: DataFrame | None = None) -> DataFrame:
+        """``index`` = 0..n-1 and all columns."""
+        placed = self.placed if rows is None else rows
+        part, place = F.shiftrightunsigned("__place", _PLACE_BITS), F.col("__place").bitwiseAND((1 << _PLACE_BITS) - 1)
+        # A row per range partition.
+        before = F.broadcast(small_frame(placed.sparkSession, self.before, "__part bigint, __before bigint"))
+        columns = [names.col(c) for c in self.columns]
+        return placed.join(before, part == F.col("__part")).select((F.col("__before") + place).alias(index), *columns)
+
+    def slice(self, first: int, count: int, index: str = "row_index") -> DataFrame:
+        """The rows ``first`` to ``first + count - 1``: one range of places, which reaches the scan."""
+        last = min(first + count, self.total) - 1
+        if first < 0 or last < first:
+            return self.indexed(index, self.placed.limit(0))
+        return self.indexed(index, self.placed.filter(F.col("__place").between(self._place(first), self._place(last))))
+
+    def _place(self, position: int) -> int:
+        k = bisect.bisect_right([n for _, n in self.before], position) - 1
+        part, before = self.before[k]
+        return (part << _PLACE_BITS) + position - before
+
+
+def row_order(df: DataFrame, keys: list[Key]) -> RowOrder:
+    """The table in the order of ``keys``, ties by all columns. One range shuffle.
 
     1. Rows are range-partitioned on the whole sort key and, last, on their
        place in the input, so neither a heavy value nor a row copied over a
        third of the table lands in one task.
     2. They are sorted there and stored with their place in the partition,
        since a second run of the range partitioner may choose other bounds.
-    3. The index is that place plus the sizes of the partitions before (a
-       table with one row per partition, which is broadcast).
+    3. The sizes of the partitions, a number each, tell the rest.
     """
     fields = df.schema.fields
     opaque = {f.name: f"__text{i}" for i, f in enumerate(fields) if not ty.can_be_grouped(f.dataType)}
@@ -55,12 +94,14 @@ def with_row_index(df: DataFrame, keys: list[Key], index: str = "row_index") ->
     order.append(F.col("__copy"))
     ranged = keyed.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
     placed = stored(ranged.select(*columns, F.monotonically_increasing_id().alias("__place")))
+    sizes = placed.groupBy(F.shiftrightunsigned("__place", _PLACE_BITS)).count().collect()
+    before, total = [], 0
+    for part, size in sorted(map(tuple, sizes)):
+        before.append((part, total))
+        total += size
+    return RowOrder(placed, before, total)
+
 
-    part, place = F.shiftrightunsigned("__place", _PLACE_BITS), F.col("__place").bitwiseAND((1 << _PLACE_BITS) - 1)
-    sizes = dict(placed.groupBy(part).count().collect())  # a row per range partition
-    offsets, total = [], 0
-    for number in sorted(sizes):
-        offsets.append((number, total))
-        total += sizes[number]
-    before = F.broadcast(small_frame(df.sparkSession, offsets, "__part bigint, __before bigint"))
-    return placed.join(before, part == F.col("__part")).select((F.col("__before") + place).alias(index), *columns)
+def with_row_index(df: DataFrame, keys: list[Key], index: str = "row_index") -> DataFrame:
+    """Add ``index`` = 0..n-1 in the order of ``keys``, ties by all columns."""
+    return row_order(df, keys).indexed(index)

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablecheck.functions import names
+from tablecheck.operators import query
 from tablecheck.plans import ordering, slicing
 
 
@@ -63,3 +64,23 @@ def test_slice_number(spark, cuts, points):
 def test_unique_names():
     assert names.unique_names(["x", "x", "x_2", "", " "]) == ["x", "x_3", "x_2", "column", "column_2"]
     assert names.unique_view_names(["a-b.csv", "A_b.json", "1.csv", "--.csv"]) == ["a_b", "A_b_2", "_1", "data"]
+
+
+def test_pages_at_any_offset(spark):
+    data = [(random.Random(i).choice([None, 1, 2, 2, 5]), f"t{i % 37}") for i in range(700)]
+    pages = query.open_pages(spark.createDataFrame(data, "k int, t string"), ["k"])
+    expected = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert pages.total == 700
+    for offset, limit in ((0, 10), (345, 100), (690, 50), (0, 700), (700, 5), (9999, 5)):
+        page = pages.page(offset, limit)
+        assert [tuple(r) for r in page.rows.collect()] == expected[offset : offset + limit]
+        assert page.has_more() == (offset + limit < 700)
+    assert pages.rows(5, 0).isEmpty() and pages.rows(-1, 3).isEmpty()
+    assert query.open_pages(spark.createDataFrame([], "k int"), ["k"]).rows(0).isEmpty()
+
+
+def test_a_page_is_a_range_that_reaches_the_scan(spark, tables):
+    pages = query.open_pages(tables["lineitem"], ["l_shipdate"])
+    text = pages.rows(4000, 100)._jdf.queryExecution().executedPlan().toString()
+    pushed = text.split("PushedFilters: [", 1)[1].split("]")[0]
+    assert "GreaterThanOrEqual" in pushed and "LessThanOrEqual" in pushed and "Offset" not in text and "CollectLimit" not in text

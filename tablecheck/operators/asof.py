@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
 from ..plans.slicing import cut_points, number_line, slice_number
-from ..plans.storage import shuffle_partitions
+from ..plans.storage import shuffle_partitions, stored
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_by: str, right_by: str, how: str = "inner") -> DataFrame:
@@ -16,53 +22,88 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, le
     Right columns must not share names with left ones. Of right rows with the
     same key and time the greatest row counts.
 
-    A key may hold a large part of all rows, and so may one time of a key.
-    Rows of equal key and time have the same match, so both sides are first
-    reduced to distinct (key, time), combined before the shuffle. The window
-    over these is per key and time slice (slices are quantiles over both
-    sides); the last right row of each earlier slice is carried into the next
-    ones as an extra row, at most one per key and slice. The matches are then
-    joined to the left rows, where AQE can split a hot key.
+    Both sides are ranged together by (key, time), in one shuffle, so a key or
+    a single time that holds a large part of all rows is cut like any other
+    stretch. Within a partition the last right row of the key goes down to the
+    left rows after it. What a partition ends with, one row, is handed to
+    those that begin with the same key: a table of a row per partition, which
+    is broadcast.
     """
     if how not in ("inner", "left"):
         raise ValueError("An as-of join is 'inner' or 'left'.")
-    left_time, right_time = number_line(left, left_on), number_line(right, right_on)
-    times = left.select(left_time.alias("t")).unionByName(right.select(right_time.alias("t")))
-    cuts = cut_points(times, F.col("t"), shuffle_partitions(left.sparkSession))
-
-    def keyed(df: DataFrame, by: str, on: str, time: Column) -> DataFrame:
-        here = names.col(by).isNotNull() & names.col(on).isNotNull()
-        columns = [names.col(by).alias("by"), slice_number(time, cuts).alias("slice"), names.col(on).alias("at")]
-        return df.filter(here).select(*columns, *([row.alias("r")] if df is right else []))
-
+    columns, spark = left.columns, left.sparkSession
     # The time leads, so the greatest of several rows is the latest one.
     row = F.struct(names.col(right_on), *[names.col(c) for c in right.columns if c != right_on])
-    known = keyed(right, right_by, right_on, right_time).groupBy("by", "slice", "at").agg(F.max("r").alias("r"))
-    asked = keyed(left, left_by, left_on, left_time).distinct()
-    nothing = F.lit(None).cast(known.schema["r"].dataType).alias("r")
-
-    earlier = Window.partitionBy("by").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    last_of_slice = known.select("by", "slice", "r").unionByName(asked.select("by", "slice", nothing))
-    carried = (
-        last_of_slice.groupBy("by", "slice")
-        .agg(F.max("r").alias("r"))
-        .withColumn("r", F.last("r", ignorenulls=True).over(earlier))
-        .filter("r IS NOT NULL")
-    )
-    # In a slice: the carried row, then right rows before left rows of the same time.
-    rows = asked.select("*", F.lit(2).alias("turn"), nothing).unionByName(known.withColumn("turn", F.lit(1)))
-    no_time = F.lit(None).cast(rows.schema["at"].dataType).alias("at")
-    rows = rows.unionByName(carried.select("by", "slice", no_time, F.lit(0).alias("turn"), "r"))
-    so_far = Window.partitionBy("by", "slice").orderBy(F.col("at").asc_nulls_first(), "turn")
-    found = F.last("r", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    matches = (
-        rows.select(F.col("by").alias("__by"), F.col("at").alias("__at"), "turn", found.alias("__found"))
-        .filter("turn = 2 AND __found IS NOT NULL")
-        .drop("turn")
-    )
-    joined = left.join(matches, (names.col(left_by) == F.col("__by")) & (names.col(left_on) == F.col("__at")), how)
-    columns = [F.col("__found").getField(c).alias(c) for c in right.columns]
-    return joined.select(*[names.col(c) for c in left.columns], *columns)
+    here = names.col(left_by).isNotNull() & names.col(left_on).isNotNull()
+    asked = left.filter(here).select(names.col(left_by).alias("by"), names.col(left_on).alias("at"), F.lit(2).alias("turn"), F.struct(*[names.col(c) for c in columns]).alias("l"))
+    known = right.filter(names.col(right_by).isNotNull() & names.col(right_on).isNotNull())
+    known = known.select(names.col(right_by).alias("by"), names.col(right_on).alias("at"), F.lit(1).alias("turn"), row.alias("r"))
+    # Copies are told apart by their place in the input, so that they can be cut.
+    tagged = asked.unionByName(known, allowMissingColumns=True).withColumn("copy", F.monotonically_increasing_id())
+    order = ["by", "at", "turn", "r", "copy"]
+    ranged = tagged.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = ranged.select(_comparable(ranged.schema["by"].dataType).alias("by"), "turn", "l", "r")
+    kinds = T.StructType([*ranged.schema.fields, T.StructField("part", T.IntegerType())])
+    filled = stored(ranged.mapInArrow(_fill_down, kinds))
+
+    ends = filled.filter("turn = 0").select("part", "by", "r")
+    earlier = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ended = ends.withColumn("c", F.last("r", ignorenulls=True).over(earlier)).select(F.col("by").alias("b"), "part", "c", F.col("r").alias("e"))
+    # A partition begins where the one before it ended: with its key and the last right row of it.
+    handed = ended.select(F.col("b"), F.lead("part").over(Window.orderBy("part")).alias("p"), F.coalesce("e", "c").alias("c")).filter("p IS NOT NULL AND c IS NOT NULL")
+    rows = filled.filter("turn = 2").join(F.broadcast(handed), (F.col("part") == F.col("p")) & (F.col("by") == F.col("b")) & F.col("r").isNull(), "left")
+    found = F.coalesce("r", "c")
+    chosen = [F.col("l").getField(c).alias(c) for c in columns]
+    matched = rows.filter(found.isNotNull()) if how == "inner" else rows
+    joined = matched.select(*chosen, *[found.getField(c).alias(c) for c in right.columns])
+    if how == "inner":
+        return joined
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns]
+    return joined.unionByName(left.filter(~here).select(*[names.col(c) for c in columns], *nothing))
+
+
+def _comparable(kind: T.DataType) -> Column:
+    """Keys as values that Arrow compares like Spark: fractions and nested ones as text, in which NaN equals itself and zero has no sign."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (F.col("by") + F.lit(0.0)).cast("string")
+    return F.to_json(F.struct("by")) if isinstance(kind, (T.StructType, T.ArrayType)) else F.col("by")
+
+
+def _fill_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Left rows (turn 2) with the last right row (turn 1) of their key in this partition; and one row (turn 0) of the key and right row at its end."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    last, target = None, None  # one row: key and right row; the schema of all that is given back
+    for batch in batches:
+        if target is None:
+            target = pa.schema([*[pa.field(f.name, f.type) for f in batch.schema], pa.field("part", pa.int32())])
+        if not batch.num_rows:
+            continue
+        rows = pa.table(batch) if last is None else pa.concat_tables([last, pa.table(batch)])
+        rows = rows.combine_chunks()
+        turn = rows["turn"].to_numpy()
+        n = len(turn)
+        by = rows["by"].combine_chunks()
+        starts = np.concatenate([[True], pc.not_equal(by.slice(1), by.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)])
+        key_start = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+        source = np.maximum.accumulate(np.where(turn == 1, np.arange(n), -1))
+        source = np.where(source >= key_start, source, -1)
+        asked = np.flatnonzero(turn == 2)
+        if len(asked):
+            taken = rows["r"].take(pa.array(source[asked], pa.int64(), mask=source[asked] < 0))
+            yield from _batches(rows.take(pa.array(asked)).set_column(3, "r", taken), part, target)
+        end = int(source[-1])
+        # The right row goes on as one that is known (turn 1); without one the key alone goes on.
+        last = rows.slice(n - 1, 1) if end < 0 else rows.slice(end, 1)
+        last = last.set_column(1, "turn", pa.array([1 if end >= 0 else 0], pa.int32()))
+    if last is not None:
+        yield from _batches(last.set_column(1, "turn", pa.array([0], pa.int32())).set_column(2, "l", pa.nulls(1, last["l"].type)), part, target)
+
+
+def _batches(rows: pa.Table, part: int, schema: pa.Schema) -> list[pa.RecordBatch]:
+    columns = [*rows.columns, pa.array(np.full(len(rows), part, np.int32))]
+    return pa.Table.from_arrays(columns, schema=schema).to_batches()
 
 
 def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str) -> DataFrame:

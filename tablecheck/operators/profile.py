@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names, values
 from ..functions import types as ty
-from ..plans.aggregate import column_metrics, column_names, distinct_rows, value_counts
+from ..plans.aggregate import COLUMNS_PER_PASS, column_metrics, column_names, distinct_rows, label, value_counts
 from ..plans.small import small_frame
 from ..plans.spreading import spread
+from ..plans.storage import stored
 
 # Thresholds of the profile rules.
 TYPE_SHARE = 0.8
@@ -64,18 +67,64 @@ def _text_tests(df: DataFrame) -> DataFrame:
     )
 
 
-def _exact_counts(df: DataFrame) -> DataFrame:
-    """Counts of every column from the (column, value) frequencies: one shuffle.
+def _bits(value: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """A number, Boolean, date or time as a whole number or else as a double; one of the two is null. Equal values alone have equal ones."""
+    none_long, none_double = F.lit(None).cast("long"), F.lit(None).cast("double")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return none_long, values.plain_zero(value, dtype).cast("double")
+    if isinstance(dtype, T.DecimalType):
+        return (value * F.lit(10**dtype.scale).cast(T.DecimalType(19, 0))).cast("long"), none_double
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(value).cast("long"), none_double
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value), none_double
+    if isinstance(dtype, T.TimestampNTZType):
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60
+        micros = (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("long")
+        return (F.unix_date(value.cast("date")).cast("long") * 86_400 + seconds) * 1_000_000 + micros, none_double
+    return value.cast("long"), none_double
+
+
+def _is_fixed(dtype: T.DataType) -> bool:
+    """Types whose values fit the pairs of ``_bits``."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.precision <= 18
+    return ty.is_numeric(dtype) or ty.is_temporal(dtype) or isinstance(dtype, T.BooleanType)
+
+
+def _fixed_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """The frequencies of numbers, Booleans, dates and times in the form ``_counted`` takes: pairs of fixed width, never text."""
+    bits = [c.alias(f"{which}{i}") for i, f in fields for which, c in zip("ld", _bits(names.col(f.name), f.dataType))]
+    stacked = ", ".join(f"{i}, l{i}, d{i}" for i, _ in fields)
+    long = spread(df.select(*[names.col(f.name) for _, f in fields])).select(*bits).selectExpr(f"stack({len(fields)}, {stacked}) AS (pos, l, d)")
+    counted = long.groupBy("pos", "l", "d").agg(F.count(F.lit(1)).alias("n"))
+    rows = [(i, f.name, ty.is_numeric(f.dataType), isinstance(f.dataType, T.BooleanType), float(10 ** getattr(f.dataType, "scale", 0))) for i, f in fields]
+    kinds = small_frame(df.sparkSession, rows, "pos int, `column` string, numeric boolean, is_boolean boolean, unit double")
+    # One row per column of the schema.
+    known = counted.join(F.broadcast(kinds), "pos")
+    raw = F.when(F.col("numeric"), F.coalesce("d", F.col("l") / F.col("unit")))
+    here = F.col("l").isNotNull() | F.col("d").isNotNull()
+    number = F.when(F.abs(raw) < float("inf"), raw)
+    return known.select("pos", "column", "n", here.alias("here"), number.alias("number"), F.col("is_boolean").alias("boolean"), (~F.col("numeric") & ~F.col("is_boolean")).alias("date"))
 
-    The value tests run once per distinct value.
-    """
+
+def _text_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """The same of all other columns. The tests of a value run once per distinct value."""
     # One row per column of the schema.
-    kinds = F.broadcast(_kinds(df))
-    counted = value_counts(df).join(kinds, "pos")
-    n = F.col("n")
+    counted = value_counts(df, fields=fields).join(F.broadcast(_kinds(df)), "pos")
     tested = _text_tests(counted.select("*", F.col("key").isNotNull().alias("here"), F.col("key").alias("text")))
-    number = F.col("number")
-    return tested.groupBy("pos", "column").agg(
+    return tested.select("pos", "column", "n", "here", "number", "boolean", "date")
+
+
+def _exact_counts(df: DataFrame) -> DataFrame:
+    """Counts of every column from the frequencies of its values: one shuffle of each kind of column."""
+    fields = list(enumerate(df.schema.fields))
+    fixed = [f for f in fields if _is_fixed(f[1].dataType)]
+    texts = [f for f in fields if not _is_fixed(f[1].dataType)]
+    parts = [_fixed_counts(df, fixed[i : i + COLUMNS_PER_PASS]) for i in range(0, len(fixed), COLUMNS_PER_PASS)]
+    parts += [_text_counts(df, texts)] if texts else []
+    n, number = F.col("n"), F.col("number")
+    return reduce(DataFrame.unionByName, parts).groupBy("pos", "column").agg(
         F.sum(n).alias("row_count"),
         F.sum(F.when(F.col("here"), n).otherwise(0)).alias("present_count"),
         F.count_if("here").alias("distinct_count"),
@@ -171,21 +220,34 @@ def profile_types(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def top_values(df: DataFrame, k: int = 3) -> DataFrame:
-    """Most frequent values of each column; ties by label, then by whole value.
+    """Most frequent values of each column, whole; ties by their first characters, then by whole value.
 
-    The rank window keeps k rows per column and task before it shuffles.
+    The rank window keeps k rows per column and task before it shuffles. Long
+    texts are counted by their digest; those of the k rows that are left are
+    picked up from the table by it.
     """
     best = Window.partitionBy("pos").orderBy(F.col("n").desc(), F.col("label"), F.col("key"))
     ranked = value_counts(df, labelled=True).filter("key IS NOT NULL").withColumn("rank", F.row_number().over(best))
     # One row per column of the schema.
-    return ranked.filter(F.col("rank") <= k).join(F.broadcast(column_names(df)), "pos").select(
-        "column", F.col("rank").cast("long").alias("rank"), F.col("label").alias("value"), F.col("n").alias("value_count")
-    )
+    top = ranked.filter(F.col("rank") <= k).join(F.broadcast(column_names(df)), "pos")
+    shown = ["column", F.col("rank").cast("long").alias("rank")]
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if not _is_fixed(f.dataType)]
+    if not fields:
+        return top.select(*shown, F.col("key").alias("value"), F.col("n").alias("value_count"))
+    top = stored(top)
+    texts = [values.as_text(names.col(f.name), f.dataType).alias(f"v{i}") for i, f in fields]
+    cells = df.select(*texts).selectExpr(f"stack({len(fields)}, {', '.join(f'{i}, v{i}' for i, _ in fields)}) AS (p, v)")
+    # k rows per column of the schema.
+    digests = top.filter(F.col("key").startswith(values.DIGEST_MARK)).select("pos", F.col("key").alias("digest"))
+    long = cells.filter(values.is_long(F.col("v"))).withColumn("d", values.compact(F.col("v")))
+    whole = long.join(F.broadcast(digests), (F.col("p") == F.col("pos")) & (F.col("d") == F.col("digest"))).groupBy("p", "d").agg(F.first("v").alias("v"))
+    joined = top.join(F.broadcast(whole), (F.col("pos") == F.col("p")) & (F.col("key") == F.col("d")), "left")
+    return joined.select(*shown, F.coalesce("v", "key").alias("value"), F.col("n").alias("value_count"))
 
 
 def top_values_text(df: DataFrame) -> DataFrame:
-    """``column, top_values``: the display form ``v (n), v (n), v (n)``."""
-    shown = F.struct("rank", F.concat("value", F.lit(" ("), F.col("value_count"), F.lit(")")).alias("t"))
+    """``column, top_values``: the display form ``v (n), v (n), v (n)``, values cut."""
+    shown = F.struct("rank", F.concat(label(F.col("value")), F.lit(" ("), F.col("value_count"), F.lit(")")).alias("t"))
     ranked = top_values(df).groupBy("column").agg(F.array_sort(F.collect_list(shown)).alias("tops"))
     return ranked.select("column", F.array_join("tops.t", ", ").alias("top_values"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import names, values
 from ..functions import types as ty
+from ..plans.aggregate import column_metrics
 from ..plans.joining import outer_join
 from ..plans.small import small_frame
 from .compare import UNCHANGED, Pair, check_mapping, compared_columns
@@ -23,6 +25,8 @@ KEY_HINTS = ("uuid", "guid", "code", "number", "no")
 KEY_NAME_SCORE, KEY_ENDING_SCORE, KEY_HINT_SCORE = 6, 4, 3
 SAME_NAME_BONUS = 1
 UNIQUE_WEIGHT = NULL_WEIGHT = 4
+# Standard deviation of a distinct count from a sketch, and how many of them the bounds are away.
+SKETCH_ERROR, SKETCH_WIDTH = 0.02, 8
 
 
 def _confidence(base: str, compare: str) -> tuple[float, str]:
@@ -101,18 +105,21 @@ def _candidate_counts(df: DataFrame, columns: list[str], side: str) -> DataFrame
     )
 
 
+def _usable(base: DataFrame, other: DataFrame, pairs: list[Pair]) -> list[Pair]:
+    """Pairs whose columns can be keys."""
+    return [p for p in pairs if ty.can_be_key(base.schema[p.base].dataType) and ty.can_be_key(other.schema[p.compare].dataType)]
+
+
+def _pair_score(pair: Pair) -> float:
+    """What the names alone give."""
+    return float(max(_name_score(pair.base), _name_score(pair.compare)) + SAME_NAME_BONUS * (pair.base == pair.compare))
+
+
 def key_stats(base: DataFrame, other: DataFrame, pairs: list[Pair] | None = None) -> DataFrame:
     """Counts and key score of each mapped pair that can be a key."""
-    pairs = pairs or infer_pairs(base, other)
-    usable = [
-        p for p in pairs if ty.can_be_key(base.schema[p.base].dataType) and ty.can_be_key(other.schema[p.compare].dataType)
-    ]
-    spark = base.sparkSession
-    rows = [
-        (i, p.base, p.compare, float(max(_name_score(p.base), _name_score(p.compare)) + SAME_NAME_BONUS * (p.base == p.compare)))
-        for i, p in enumerate(usable)
-    ]
-    known = small_frame(spark, rows, "pos int, base_column string, compare_column string, name_score double")
+    usable = _usable(base, other, pairs or infer_pairs(base, other))
+    rows = [(i, p.base, p.compare, _pair_score(p)) for i, p in enumerate(usable)]
+    known = small_frame(base.sparkSession, rows, "pos int, base_column string, compare_column string, name_score double")
     counts = ("base_total", "base_distinct", "base_nulls", "compare_total", "compare_distinct", "compare_nulls")
     if usable:
         known = known.join(_candidate_counts(base, [p.base for p in usable], "base"), "pos", "left")
@@ -130,17 +137,77 @@ def key_stats(base: DataFrame, other: DataFrame, pairs: list[Pair] | None = None
     return known.select("pos", "base_column", "compare_column", *counts, score.alias("score"))
 
 
+@dataclass(frozen=True)
+class ScoreBounds:
+    """A pair and the limits its exact key score lies between."""
+
+    pair: Pair
+    low: float
+    high: float
+
+
+def key_bounds(base: DataFrame, other: DataFrame, pairs: list[Pair]) -> list[ScoreBounds]:
+    """Limits of the key scores from one pass over each table, with a sketch of distinct values for each column.
+
+    Rows and nulls are exact. A sketch is off by ``SKETCH_ERROR`` in the
+    standard deviation; limits are ``SKETCH_WIDTH`` of these away, and a column
+    never has more distinct values than filled rows, nor none if it has one.
+    No value is shuffled. Brings a row per mapped column to the driver.
+    """
+    usable = _usable(base, other, pairs)
+
+    def measured(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+        schema = {"total": "bigint", "filled": "bigint", "distinct_count": "bigint"}
+
+        def metrics(name: str, dtype: T.DataType) -> dict[str, Column]:
+            value = values.plain_zero(names.col(name), dtype)
+            return {"total": F.count(F.lit(1)), "filled": F.count(value), "distinct_count": F.approx_count_distinct(value, SKETCH_ERROR)}
+
+        return {r["column"]: (r["total"], r["filled"], r["distinct_count"]) for r in column_metrics(df, metrics, schema, columns).collect()}
+
+    if not usable:
+        return []
+    one, two = measured(base, [p.base for p in usable]), measured(other, [p.compare for p in usable])
+    found = []
+    for pair in usable:
+        low = high = _pair_score(pair)
+        for total, filled, distinct in (one[pair.base], two[pair.compare]):
+            if not total:
+                continue
+            empty = (total - filled) / total * NULL_WEIGHT
+            least = max(min(1, filled), distinct * (1 - SKETCH_WIDTH * SKETCH_ERROR))
+            most = min(filled, distinct * (1 + SKETCH_WIDTH * SKETCH_ERROR) + 1)
+            low += min(least, filled) / total * UNIQUE_WEIGHT - empty
+            high += most / total * UNIQUE_WEIGHT - empty
+        found.append(ScoreBounds(pair, low, high))
+    return found
+
+
 def infer_key(base: DataFrame, other: DataFrame, pairs: list[Pair]) -> Pair:
     """The first pair with the best score; the first pair if none can be a key.
 
-    Brings one row per mapped column to the driver.
+    Bounds come first; values are counted exactly only for pairs whose upper
+    bound reaches the best lower one, and not at all if that is one pair.
     """
-    best = key_stats(base, other, pairs).orderBy(F.col("score").desc(), "pos").limit(1).collect()
-    if not best or best[0].score <= -1:
+    bounds = key_bounds(base, other, pairs)
+    best_low = max((b.low for b in bounds), default=0.0)
+    left = [b for b in bounds if b.high >= best_low]
+    if not left or max(b.high for b in left) <= -1:
+        return pairs[0]
+    if len(left) == 1 and left[0].low > -1:
+        return left[0].pair
+    best = key_stats(base, other, [b.pair for b in left]).orderBy(F.col("score").desc(), "pos").limit(1).collect()
+    if best[0].score <= -1:
         return pairs[0]
     return next(p for p in pairs if p.base == best[0].base_column)
 
 
+def infer_match(base: DataFrame, other: DataFrame, mapping: list | None = None) -> tuple[list[Pair], tuple[str, str]]:
+    """The mapping and the key of two tables, found once, for ``mapping`` and ``key`` of both ``smart_diff`` and ``smart_diff_summary``."""
+    pairs, by = _settled(base, other, mapping, None)
+    return pairs, (by.base, by.compare)
+
+
 def _settled(base: DataFrame, other: DataFrame, mapping, key) -> tuple[list[Pair], Pair]:
     pairs = infer_pairs(base, other) if mapping is None else check_mapping(base, other, mapping)
     return pairs, (Pair(*key) if key else infer_key(base, other, pairs))

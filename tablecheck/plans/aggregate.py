@@ -62,15 +62,15 @@ def _one_pass(df: DataFrame, wanted: list[tuple[int, str, Metrics]], schema: dic
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def value_counts(df: DataFrame, labelled: bool = False) -> DataFrame:
-    """``pos, key[, label], n`` for every distinct text value of every column.
+def value_counts(df: DataFrame, labelled: bool = False, fields: list[tuple[int, T.StructField]] | None = None) -> DataFrame:
+    """``pos, key[, label], n`` for every distinct text value of every column, or of the given ones.
 
     ``pos`` is the place of the column in the schema. Missing values (null or
     empty) have a null key. Map-side combining keeps a value that fills a
     third of the table to one row per task; long texts travel as their
     digest, if ``labelled`` with the value cut for display beside it.
     """
-    fields = list(enumerate(df.schema.fields))
+    fields = list(enumerate(df.schema.fields)) if fields is None else fields
     passes = [fields[i : i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
     return reduce(DataFrame.unionByName, [_value_counts(df, part, labelled) for part in passes])
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.operators import dataset, doctor
@@ -83,7 +84,10 @@ def delimited_scan(spark, sf_dir):
 
 
 def mounted_views(spark, sf_dir):
-    return mount_folder(spark, sf_dir).select("view", "format")
+    """A view per file of the folder, with the rows that it gives."""
+    mounted = mount_folder(spark, sf_dir)
+    counted = [spark.table(f"`{r.view}`").agg(F.lit(r.view).alias("v"), F.count("*").alias("n_rows")) for r in mounted.filter("view IS NOT NULL").collect()]
+    return mounted.join(reduce(DataFrame.unionByName, counted), F.col("view") == F.col("v")).select("view", "path", "format", "error", "n_rows")
 
 
 def footer_rows(spark, sf_dir):
@@ -117,6 +121,6 @@ ORACLES = {f"round_trip_{fmt}": "SELECT * FROM events" for fmt in FORMATS} | {
     "compact_dataset": "SELECT 'o_orderstatus=' || o_orderstatus AS partition_dir, count(*) AS row_count FROM orders GROUP BY 1",
     "delimited_scan": """SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'TEXT' WHEN 'TIMESTAMP' THEN 'TEMPORAL' ELSE 'NUMERIC' END AS type_signature,
         (SELECT count(*) FROM orders) AS n_rows FROM (DESCRIBE SELECT * FROM orders)""",
-    "mounted_views": f"""SELECT regexp_extract(file, '([^/]+)\\.parquet$', 1) AS view, 'parquet' AS format FROM glob('{CHECK_DIR}/*.parquet')""",
+    "mounted_views": f"""SELECT name AS view, name || '.parquet' AS path, 'parquet' AS format, CAST(NULL AS VARCHAR) AS error, n_rows FROM ({_COUNTS.format(n="n_rows")})""",
     "footer_rows": _COUNTS.format(n="row_count"),
 }

@@ -6,7 +6,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from tablecheck.operators import charts, doctor, profile, writetypes
+from tablecheck.operators import charts, doctor, profile, sketches, writetypes
+from tablecheck.plans.storage import scratch_folder, stored
 from tablecheck.sinks import export
 
 from .common import (
@@ -42,8 +43,31 @@ def _duplicates(spark, sf_dir):
 
 
 def profile_approx(spark, sf_dir):
-    exact = ("column", "row_count", "present_count", "missing_count", "numeric_count", "numeric_min", "numeric_max")
-    return profile.profile_columns(load(spark, sf_dir, "lineitem"), approx=True).select(*exact)
+    """The approximate profile, with its distinct counts judged by the exact ones."""
+    df = load(spark, sf_dir, "lineitem")
+    exact = profile.profile_columns(df).select("column", F.col("distinct_count").alias("exact_count"), F.col("distinct_ratio").alias("exact_ratio"))
+    found = profile.profile_columns(df, approx=True).join(exact, "column")
+    close = F.abs(F.col("distinct_count") - F.col("exact_count")) <= 0.25 * F.col("exact_count")
+    ratio = F.abs(F.col("distinct_ratio") - F.col("exact_ratio")) <= 0.25 * F.col("exact_ratio")
+    rows = found.withColumns({"distinct_close": close, "ratio_close": ratio}).drop("distinct_count", "distinct_ratio", "exact_ratio")
+    return _rounded(rows)
+
+
+def file_sketches(spark, sf_dir):
+    """Orders as a folder of files: sketches per file, stored, merged over the files of each status, and judged by exact counts."""
+    folder = scratch_folder(spark)
+    load(spark, sf_dir, "orders").repartition(4).write.partitionBy("o_orderstatus").parquet(folder)
+    table = spark.read.parquet(folder)
+    columns = ["o_custkey", "o_totalprice", "o_orderpriority"]
+    kept = stored(sketches.sketch_files(table, columns)).withColumn("status", F.regexp_extract("file", "o_orderstatus=([^/]+)", 1))
+    merged = sketches.estimates(sketches.merge_sketches(kept, ["status"]), (0.5,))
+    cells = table.select(F.col("o_orderstatus").alias("status"), F.expr("stack(3, 'o_custkey', CAST(o_custkey AS STRING), 'o_totalprice', CAST(o_totalprice AS STRING), 'o_orderpriority', o_orderpriority) AS (column, v)"))
+    number = F.col("v").try_cast("double")
+    exact = cells.groupBy("status", "column").agg(F.count_distinct("v").alias("distinct_count"), F.percentile(number, F.array(F.lit(0.47), F.lit(0.53))).alias("around"))
+    both = merged.join(exact, ["status", "column"])
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.greatest(F.lit(1.0), 8 * sketches.DISTINCT_ERROR * F.col("distinct_count"))
+    middle = F.get("quantile_estimates", F.lit(0)).between(F.get("around", F.lit(0)), F.get("around", F.lit(1)))
+    return both.select("status", "column", "row_count", "filled_count", "distinct_count", close.alias("distinct_close"), middle.alias("median_close"))
 
 
 def infer_types(spark, sf_dir):
@@ -97,6 +121,7 @@ QUERIES = {
     "profile_documents": partial(_profile, profile.profile_columns, "documents"),
     "profile_mixed": partial(_profile, profile.profile_columns, "mixed"),
     "profile_approx": profile_approx,
+    "file_sketches": file_sketches,
     "profile_types": partial(_profile, profile.profile_types, "mixed"),
     "profile_types_orders": partial(_profile, profile.profile_types, "orders"),
     "top_values": partial(_profile, profile.top_values, "documents"),
@@ -165,12 +190,14 @@ def _types_twin(source: str, columns: list[str]) -> str:
     return f'SELECT "column", inferred_type FROM ({counts(source, columns)})'
 
 
+_CUT = "CASE WHEN length({0}) > 24 THEN substring({0}, 1, 23) || '...' ELSE {0} END"
+
+
 def _top_twin(source: str, columns: list[str]) -> str:
     return f"""
     SELECT "column", rank, value, value_count FROM (
-      SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value_count DESC, value, key) AS rank FROM (
-        SELECT "column", CASE WHEN length(v) > 24 THEN substring(v, 1, 23) || '...' ELSE v END AS value,
-               CASE WHEN length(v) > 64 THEN '#' || sha256(v) ELSE v END AS key, count(*) AS value_count
+      SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value_count DESC, {_CUT.format("value")}, key) AS rank FROM (
+        SELECT "column", v AS value, CASE WHEN length(v) > 64 THEN '#' || sha256(v) ELSE v END AS key, count(*) AS value_count
         FROM ({long_form(source, columns)}) WHERE v IS NOT NULL GROUP BY ALL))
     WHERE rank <= 3"""
 
@@ -264,13 +291,17 @@ ORACLES = {
     "profile_columns": _columns_twin("SELECT * FROM lineitem", COLUMNS["lineitem"]),
     "profile_documents": _columns_twin("SELECT * FROM documents", COLUMNS["documents"]),
     "profile_mixed": _columns_twin(MIXED_TWIN, MIXED_COLUMNS),
-    "profile_approx": "SELECT \"column\", row_count, present_count, missing_count, numeric_count, numeric_min, numeric_max FROM ("
-    + counts("SELECT * FROM lineitem", COLUMNS["lineitem"])
+    "profile_approx": "SELECT * EXCLUDE (distinct_count, distinct_ratio), distinct_count AS exact_count, true AS distinct_close, true AS ratio_close FROM ("
+    + _columns_twin("SELECT * FROM lineitem", COLUMNS["lineitem"])
     + ")",
+    "file_sketches": """SELECT o_orderstatus AS status, 'o_custkey' AS "column", count(*) AS row_count, count(o_custkey) AS filled_count, count(DISTINCT o_custkey) AS distinct_count,
+                               true AS distinct_close, true AS median_close FROM orders GROUP BY 1
+        UNION ALL SELECT o_orderstatus, 'o_totalprice', count(*), count(o_totalprice), count(DISTINCT o_totalprice), true, true FROM orders GROUP BY 1
+        UNION ALL SELECT o_orderstatus, 'o_orderpriority', count(*), count(nullif(o_orderpriority, '')), count(DISTINCT nullif(o_orderpriority, '')), true, NULL FROM orders GROUP BY 1""",
     "profile_types": _types_twin(MIXED_TWIN, MIXED_COLUMNS),
     "profile_types_orders": _types_twin("SELECT * FROM orders", COLUMNS["orders"]),
     "top_values": _top_twin("SELECT * FROM documents", COLUMNS["documents"]),
-    "top_values_text": f"""SELECT "column", string_agg(value || ' (' || value_count || ')', ', ' ORDER BY rank) AS top_values
+    "top_values_text": f"""SELECT "column", string_agg({_CUT.format("value")} || ' (' || value_count || ')', ', ' ORDER BY rank) AS top_values
                            FROM ({_top_twin("SELECT * FROM orders", COLUMNS["orders"])}) GROUP BY "column" """,
     "duplicate_rows": f"SELECT ({_duplicates_of('SELECT text, lang FROM documents', ['text', 'lang'])}) AS duplicate_rows",
     "profile_totals": f"""SELECT max(row_count) AS row_count, count(*) AS column_count,

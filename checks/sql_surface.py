@@ -178,6 +178,58 @@ SHARED = {
         """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS INT) * 2 AS doubled,
                   json_extract(props, '$.missing') IS NULL AS absent FROM events""",
     ),
+    "g_variant": (
+        "events",
+        """SELECT event_id, variant_get(doc, '$.k', 'INT') AS k, try_variant_get(doc, '$.missing', 'STRING') IS NULL AS absent,
+                  CAST(doc:k AS BIGINT) * 2 AS doubled, try_variant_get(doc, '$', 'INT') IS NULL AS no_number, is_variant_null(parse_json('null')) AS is_null,
+                  schema_of_variant(doc) AS shape, (SELECT schema_of_variant_agg(parse_json(props)) FROM events) AS common_shape
+           FROM (SELECT event_id, parse_json(props) AS doc FROM events)""",
+        """WITH d AS (SELECT event_id, CAST(props AS JSON) AS doc FROM events),
+                f AS (SELECT event_id, key || ': ' || CASE json_type(doc, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(doc, '$.' || key) END AS field
+                      FROM d, unnest(json_keys(doc)) u(key))
+           SELECT event_id, CAST(doc->'k' AS INT) AS k, (doc->'missing') IS NULL AS absent, CAST(doc->'k' AS BIGINT) * 2 AS doubled,
+                  try_cast(CAST(doc AS VARCHAR) AS INT) IS NULL AS no_number, json_type('null'::JSON) = 'NULL' AS is_null,
+                  'OBJECT<' || (SELECT string_agg(field, ', ' ORDER BY field) FROM f WHERE f.event_id = d.event_id) || '>' AS shape,
+                  'OBJECT<' || (SELECT string_agg(DISTINCT field, ', ' ORDER BY field) FROM f) || '>' AS common_shape
+           FROM d""",
+    ),
+    "g_map": (
+        "events",
+        """WITH per AS (SELECT user_id, event_type, count(*) AS n, CAST(round(sum(value) * 100) AS BIGINT) AS cents FROM events GROUP BY user_id, event_type),
+                maps AS (SELECT user_id, map_from_entries(collect_list(struct(event_type, n))) AS counts,
+                                map_from_entries(collect_list(struct(event_type, cents))) AS sums FROM per GROUP BY user_id),
+                worked AS (SELECT user_id, counts, map_zip_with(sums, counts, (k, s, n) -> s / n) AS means, transform_values(counts, (k, n) -> n * 2) AS doubled,
+                                  transform_keys(counts, (k, n) -> upper(k)) AS loud, map_filter(counts, (k, n) -> n > 1) AS several FROM maps)
+           SELECT user_id, event_type, mean, CAST(cardinality(counts) AS BIGINT) AS kinds, element_at(doubled, event_type) AS doubled, loud[upper(event_type)] AS n,
+                  map_contains_key(several, event_type) AS again, array_contains(map_keys(map_concat(counts, map('none', CAST(0 AS BIGINT)))), 'none') AS added
+           FROM worked LATERAL VIEW explode(means) m AS event_type, mean""",
+        """SELECT user_id, event_type, CAST(round(sum(value) * 100) AS BIGINT) / count(*) AS mean, count(*) OVER (PARTITION BY user_id) AS kinds, count(*) * 2 AS doubled,
+                  count(*) AS n, count(*) > 1 AS again, true AS added FROM events GROUP BY user_id, event_type""",
+    ),
+    "g_struct": (
+        "orders",
+        """WITH s AS (SELECT o_orderstatus, named_struct('price', o_totalprice, 'key', o_orderkey) AS top,
+                             named_struct('y', CAST(extract(year FROM o_orderdate) AS INT), 'q', CAST(quarter(o_orderdate) AS INT)) AS period FROM orders),
+                g AS (SELECT o_orderstatus, period, max(top) AS best, min(top) AS least, count(*) AS n FROM s GROUP BY o_orderstatus, period)
+           SELECT o_orderstatus, period.y AS y, period.q AS q, best.key AS best_key, least.price AS least_price, side, amount
+           FROM g LATERAL VIEW inline(array(struct('best' AS k, best.price AS v), struct('n' AS k, CAST(n AS DOUBLE) AS v))) i AS side, amount""",
+        """WITH g AS (SELECT o_orderstatus, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q,
+                             max({'price': o_totalprice, 'key': o_orderkey}) AS best, min(o_totalprice) AS least_price, count(*) AS n FROM orders GROUP BY ALL)
+           SELECT o_orderstatus, y, q, best.key AS best_key, least_price, 'best' AS side, best.price AS amount FROM g
+           UNION ALL SELECT o_orderstatus, y, q, best.key, least_price, 'n', CAST(n AS DOUBLE) FROM g""",
+    ),
+    "g_approx": (
+        "lineitem",
+        """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS counted,
+                  abs(hll_sketch_estimate(hll_sketch_agg(l_partkey, 12)) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS sketched,
+                  approx_percentile(l_extendedprice, 0.5, 1000) BETWEEN percentile(l_extendedprice, 0.48) AND percentile(l_extendedprice, 0.52) AS middle,
+                  kll_sketch_get_quantile_double(kll_sketch_agg_double(l_quantity), CAST(0.9 AS DOUBLE)) BETWEEN percentile(l_quantity, 0.86) AND percentile(l_quantity, 0.94) AS upper_end
+           FROM lineitem GROUP BY l_returnflag""",
+        """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS counted,
+                  true AS sketched, approx_quantile(l_extendedprice, 0.5) BETWEEN quantile_cont(l_extendedprice, 0.48) AND quantile_cont(l_extendedprice, 0.52) AS middle,
+                  approx_quantile(l_quantity, 0.9) BETWEEN quantile_cont(l_quantity, 0.86) AND quantile_cont(l_quantity, 0.94) AS upper_end
+           FROM lineitem GROUP BY l_returnflag""",
+    ),
     "g_cte": (
         "orders nation",
         """WITH RECURSIVE months AS (SELECT 1 AS m UNION ALL SELECT m + 1 FROM months WHERE m < 12),
@@ -250,6 +302,12 @@ def numeric_columns(spark, sf_dir):
     return query.numeric_columns(mixed_events(spark, sf_dir)).select("column")
 
 
+def page_deep(spark, sf_dir):
+    """A page that begins after three quarters of the table."""
+    pages = query.open_pages(load(spark, sf_dir, "lineitem"), ["l_shipdate"])
+    return pages.rows(pages.total * 3 // 4, 500)
+
+
 def asof_join(spark, sf_dir):
     views = load(spark, sf_dir, "events").filter("event_type = 'view'").selectExpr("user_id AS v_user", "ts AS v_ts", "event_id AS v_event")
     return asof.asof_join(load(spark, sf_dir, "events"), views, "ts", "v_ts", "user_id", "v_user", "left").select("event_id", "v_event", "v_ts")
@@ -273,6 +331,7 @@ QUERIES = {name: partial(_shared, name) for name in SHARED} | {
     "sql_readonly": sql_readonly,
     "page": page,
     "page_after": page_after,
+    "page_deep": page_deep,
     "quick_agg_count": partial(_quick, "l_partkey", "count", None),
     "quick_agg_sum": partial(_quick, "l_partkey", "sum", "l_quantity"),
     "quick_agg_avg": partial(_quick, "l_partkey", "avg", "l_quantity"),
@@ -334,6 +393,10 @@ ORACLES = {name: twin or text for name, (_, text, twin) in SHARED.items()} | {
         ]
     )
     + ") WHERE n > 0",
+    "page_deep": """SELECT * EXCLUDE (place) FROM (
+          SELECT *, row_number() OVER (ORDER BY l_shipdate NULLS LAST, l_orderkey NULLS LAST, l_partkey NULLS LAST, l_suppkey NULLS LAST, l_linenumber NULLS LAST,
+                 l_quantity NULLS LAST, l_extendedprice NULLS LAST, l_discount NULLS LAST, l_tax NULLS LAST, l_returnflag NULLS LAST, l_linestatus NULLS LAST) - 1 AS place,
+          FROM lineitem) WHERE place >= (SELECT count(*) * 3 // 4 FROM lineitem) AND place < (SELECT count(*) * 3 // 4 + 500 FROM lineitem)""",
     "asof_join": """SELECT e.event_id, v.v_event, v.v_ts FROM events e ASOF LEFT JOIN
                     (SELECT user_id AS v_user, ts AS v_ts, event_id AS v_event FROM events WHERE event_type = 'view') v
                     ON e.user_id = v.v_user AND e.ts >= v.v_ts""",

@@ -5,7 +5,7 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
-from checks import diffs, files, formats, profiles, run, sql_surface
+from checks import diffs, files, formats, profiles, relations, run, sql_surface
 from checks.common import CHECK_DIR, TABLES
 
 # Queries whose twin reads the files of the check folder by path.
@@ -21,7 +21,7 @@ def db():
 
 
 def test_every_query_of_the_reference_has_a_twin():
-    for part in (diffs, files, formats, profiles, sql_surface):
+    for part in (diffs, files, formats, profiles, relations, sql_surface):
         assert set(part.QUERIES) == set(part.ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -139,8 +139,8 @@ def _opened(rows: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    opened = sorted(zip(rows["order_id"].tolist(), map(unpack, rows["packed"]), strict=True))
-    return np.array([k for k, _ in opened], dtype=np.int64), [text for _, text in opened]
+    opened = sorted(zip(rows["order_id"].tolist(), rows["no_id"].tolist(), map(unpack, rows["packed"]), strict=True))
+    return np.array([k for k, _, _ in opened], dtype=np.int64), [text for _, _, text in opened]
 
 
 def _message(to: int, sender: int, kind: int, *arrays: np.ndarray | bytes) -> tuple:
@@ -409,25 +409,37 @@ def _finish(ids: np.ndarray, texts: list[bytes], found: Stretches, replies: pd.D
             counts = (found.block.last - found.block.first + 1)[found.first[chosen]]
             gone = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=int(counts.sum())).astype(bool)
             bits |= dict(zip(chosen.tolist(), np.split(gone, np.cumsum(counts)[:-1]), strict=True))
-    edges = [np.zeros(len(t) + 1, np.int32) for t in texts]
+    # All texts of the block in one array, each with a place behind its end.
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    base = np.cumsum(sizes + 1) - sizes - 1
+    total = int((sizes + 1).sum())
     block = found.block
     whole = least[found.group] < found.docs
-    for k in np.flatnonzero(whole):
-        edge = edges[block.doc[k]]
-        edge[block.first[k]] += 1
-        edge[block.last[k] + length] -= 1
-    for k in np.flatnonzero(~whole & compared[found.group]):
-        starts = block.first[k] + np.flatnonzero(bits[int(found.group[k])])
-        edge = edges[block.doc[k]]
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + length, -1)
+    k = np.flatnonzero(whole)
+    at = base[block.doc[k]]
+    edge = np.bincount(at + block.first[k], minlength=total) - np.bincount(at + block.last[k] + length, minlength=total)
+    k = np.flatnonzero(~whole & compared[found.group])
+    if len(k):
+        # Windows gone, stretch after stretch, and where those of each stretch begin.
+        places = [np.flatnonzero(bits[g]) if compared[g] else np.empty(0, np.int64) for g in range(len(compared))]
+        counts = np.array([len(x) for x in places], dtype=np.int64)
+        flat, begins = np.concatenate(places), np.cumsum(counts) - counts
+        group = found.group[k]
+        many = counts[group]
+        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.repeat(base[block.doc[k]] + block.first[k], many) + flat[np.repeat(begins[group], many) + within]
+        edge += np.bincount(starts, minlength=total) - np.bincount(starts + length, minlength=total)
+    covered = np.cumsum(edge) > 0
+    gone = np.concatenate([[0], np.cumsum(covered)])
     rows = []
-    for doc_id, text, edge in zip(ids.tolist(), texts, edges, strict=True):
-        covered = np.cumsum(edge[:-1]) > 0
-        removed = int(covered.sum())
-        kept = text if not removed else np.frombuffer(text, np.uint8)[~covered].tobytes()
-        spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum()) if removed else 0
-        rows.append((doc_id, len(text), removed, spans, kept))
+    for doc_id, text, first, size in zip(ids.tolist(), texts, base.tolist(), sizes.tolist(), strict=True):
+        removed = int(gone[first + size] - gone[first])
+        if not removed:
+            rows.append((doc_id, size, 0, 0, text))
+            continue
+        mine = covered[first : first + size]
+        spans = int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum())
+        rows.append((doc_id, size, removed, spans, np.frombuffer(text, np.uint8)[~mine].tobytes()))
     return pd.DataFrame(rows, columns=["order_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -450,13 +462,16 @@ def _packed(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [pack((t or "").encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("block"), batch.column("order_id"), pa.array(texts, pa.binary())], names=["block", "order_id", "packed"])
+            kept = ["block", "order_id", "no_id"]
+            return pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(texts, pa.binary())], names=[*kept, "packed"])
 
         return work
 
     order_id = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), order_id.alias("order_id"), "text")
-    packed = map_slices(rows, start, StructType().add("block", "long").add("order_id", "long").add("packed", BinaryType()))
+    # Dealt by id and text, as many rows may have no id or the same one.
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+    rows = docs.select(block.alias("block"), order_id.alias("order_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    packed = map_slices(rows, start, StructType().add("block", "long").add("order_id", "long").add("no_id", "boolean").add("packed", BinaryType()))
     spark, folder = docs.sparkSession, scratch_folder(docs.sparkSession)
     name = "llm_blocks_" + folder.rsplit("/", 1)[-1]
     packed.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", folder).option("compression", "none").saveAsTable(name)
@@ -504,10 +519,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
 
     def results(key, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"order_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept" if texts_out else "kept_sha256": []})
+            return pd.DataFrame({"order_id": [], "no_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept" if texts_out else "kept_sha256": []})
         ids, texts = _opened(rows)
         found = Stretches(ids, texts, length, ranges, replies[replies["kind"] == 2])
         made = _finish(ids, texts, found, replies, length, ranges)
+        made.insert(1, "no_id", [none for _, none in sorted(zip(rows["order_id"].tolist(), rows["no_id"].tolist(), strict=True))])
         return made if texts_out else _spans(made)
 
     def by_block(told: DataFrame, use, schema: str) -> DataFrame:
@@ -524,6 +540,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
         told = told.union(by_range(by_block(told, hashes_out, MESSAGE), _met_hashes))
     compared = by_range(by_block(told, windows_out, MESSAGE), lambda key, rows: _equal_windows(key, rows, length))
     last = "kept binary" if texts_out else "kept_sha256 string"
-    done = by_block(told.union(compared), results, f"order_id long, n_bytes long, n_removed long, n_spans long, {last}")
-    doc_id = F.when(F.col("order_id") < F.lit((1 << 63) - 1), F.col("order_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return done.select(doc_id, *done.columns[1:])
+    done = by_block(told.union(compared), results, f"order_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, {last}")
+    doc_id = F.when(~F.col("no_id"), F.col("order_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return done.select(doc_id, *done.columns[2:])

@@ -207,6 +207,19 @@ def test_edges_of_a_common_passage_do_not_meet_in_one_range(spark, monkeypatch):
     assert sum(r["bits"] for r in sent[-1]) < 2000
 
 
+def test_repeats_of_missing_repeated_and_largest_ids(spark, monkeypatch):
+    monkeypatch.setattr(repeated_passages, "BLOCK_BYTES", 2000)
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    one, two = words(20), words(20)
+    rows = [(5, f"{one} a"), (5, f"{one} b"), (2**63 - 2, f"x {two} y"), (2**63 - 1, f"q {two}"), (-7, words(9)), *[(None, f"{words(5)} {one} {k}") for k in range(60)], (None, two)]
+    found = repeated_passages.remove_repeats(spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS), 50).collect()
+    by_id = {k: sorted(r["n_removed"] for r in found if r["doc_id"] == k) for k in (5, 2**63 - 2, 2**63 - 1, -7)}
+    assert by_id == {5: [0, 0], 2**63 - 2: [0], 2**63 - 1: [len(two) + 1], -7: [0]}  # rows of an id do not take from each other
+    none = sorted(r["n_removed"] for r in found if r["doc_id"] is None)
+    assert len(found) == len(rows) and none == sorted([len(two), *[len(one) + 1] * 60])
+
+
 def test_repeats_of_empty_tables(spark):
     assert repeated_passages.remove_repeats(empty_documents(spark)).isEmpty()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -12,9 +14,10 @@ from pyspark.sql import types as T
 from ..functions import names, values
 from ..functions import types as ty
 from ..plans.aggregate import column_metrics, distinct_rows
-from ..plans.files import footers, path_of_uri
+from ..plans.files import any_case, footers, load_paths, path_of_uri, qualified
 from ..plans.small import small_frame
 from ..plans.storage import checkpointed
+from ..sources.folder import tables_below
 from .schema import parquet_schema
 
 # Thresholds and word lists of the checks.
@@ -29,6 +32,8 @@ WORTH_COMPRESSING = 1024 * 1024
 LOW_CARDINALITY, HIGH_CARDINALITY = 0.1, 0.8
 SAFE_PRECISION = 18
 PENALTY = 25
+# Tables of a folder that are judged side by side.
+TABLES_AT_ONCE = 8
 
 # What each finding means and what to do about it.
 ADVICE = {
@@ -438,7 +443,31 @@ def doctor(spark: SparkSession, path: str | list[str], decode: bool = False) ->
     Footers are read once into a checkpoint and serve six checks. Files that
     cannot be read, or not whole, are errors; the data checks run on the rest.
     """
-    scanned = checkpointed(footers(spark, path, decode))
+    return _doctor(spark, path, checkpointed(footers(spark, path, decode)))
+
+
+def doctor_folder(spark: SparkSession, root: str, decode: bool = False) -> DataFrame:
+    """Issues of every Parquet table below a folder, with the path of the ``table``.
+
+    A table is a file, or a folder of part files. The footers of all of them
+    are read in one scan; the data checks run table by table, a few at a time.
+    """
+    root = qualified(spark, root).rstrip("/")
+    scanned = checkpointed(footers(spark, root, decode))
+    tables = sorted(r.path for r in tables_below(spark, root).filter("format = 'parquet'").collect())  # a report each
+    if not tables:
+        raise ValueError(f"There is no Parquet table below {root!r}.")
+
+    def judged(table: str) -> DataFrame:
+        place = re.sub(r"^file:/+", "/", f"{root}/{table}")
+        own = scanned.filter((F.col("path") == place) | F.startswith("path", F.lit(place + "/")))
+        return _doctor(spark, f"{root}/{table}", own).select(F.lit(table).alias("table"), "*")
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(judged, tables))
+
+
+def _doctor(spark: SparkSession, path: str | list[str], scanned: DataFrame) -> DataFrame:
     per_column = F.concat_ws(": ", "file", "column")
     group = F.concat_ws("#", "path", F.col("row_group").cast("string"))
     column = F.col("column")
@@ -454,7 +483,7 @@ def doctor(spark: SparkSession, path: str | list[str], decode: bool = False) ->
     try:
         paths = [path] if isinstance(path, str) else path
         reader = spark.read.options(ignoreCorruptFiles=True, recursiveFileLookup=True, mergeSchema=True)
-        table = reader.option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(*paths)
+        table = load_paths(reader.format("parquet").option("pathGlobFilter", any_case("parquet")), paths)
         checks |= _quality_issues(table)
         checks["rows_read"] = _as_issues(rows_read(table, scanned), "error", "rows_read", F.col("path"))
     except PySparkException:  # no file can be read, or their columns contradict each other

@@ -33,13 +33,16 @@ def test_twin(spark, db, name):
 
 
 @pytest.mark.parametrize("name", sorted(BY_PATH))
-def test_file_queries_run(spark, name):
-    assert entry.queries()[name](spark, SF_DIR).count() >= 0
+def test_twin_of_file_queries(spark, db, name):
+    twin = entry.oracle_sql()[name].replace(CHECK_DIR, SF_DIR)
+    result = run.compare(spark, db, name, entry.queries()[name], twin, SF_DIR)
+    assert result.startswith("ok"), result
 
 
 def test_entry(spark):
     found = entry.entry(spark)
-    assert found.columns == ["level", "category", "subject", "message", "recommendation"] and found.count() > 0
+    assert found.columns == ["table", "level", "category", "subject", "message", "recommendation"]
+    assert {r.table for r in found.select("table").distinct().collect()} == {f"{t}.parquet" for t in TABLES}
 
 
 def plan(df):

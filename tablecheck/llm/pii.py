@@ -61,19 +61,24 @@ LOOKALIKES = dict(
 INVISIBLE = "­​‌‍⁠﻿"
 
 _word = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"\b(?:{_word})(?:[\s,.-]+(?:{_word}))+\b", re.I)
 _ODD = re.compile(rf"[{INVISIBLE}Ͱ-ӿԀ-ԯ٠-٩۰-۹०-९　！-～｡。]")
 _at, _dot, _plus, _articles = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(PLUS_WORDS), "|".join(ARTICLES)
 _STEP = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*(?:{_at}|@)\s*[\])}}>]\s*|(?<=\w)\s+(?:{_at})\s+(?!(?:{_articles})\b)(?=[\w-]+(?:\s*[\[({{<]\s*(?:{_dot}|\.)\s*[\])}}>]\s*|\s+(?:{_dot})\s+)\w))"
+    rf"(?P<at>(?<=\w)\s+＠\s+(?=\w)|\s*[\[({{<]\s*(?:{_at}|@)\s*[\])}}>]\s*|(?<=\w)\s+(?:{_at})\s+(?!(?:{_articles})\b)(?=[\w-]+(?:\s*[\[({{<]\s*(?:{_dot}|\.)\s*[\])}}>]\s*|\s+(?:{_dot})\s+)\w))"
     rf"|(?P<dot>\s*[\[({{<]\s*(?:{_dot}|\.)\s*[\])}}>]\s*|(?<=\w)\s+(?:{_dot})\s+(?=\w))"
     rf"|(?P<plus>\b(?:{_plus})\s+(?=(?:{_word}|[0-9])\b))"
     rf"|(?P<digit>\b(?:{_word})\b(?:[\s,-]+(?=(?:{_word})\b))?)"
     rf"|(?P<odd>{_ODD.pattern})",
     re.I,
 )
-_DOT_WORD = re.compile(rf"\b(?:{_dot})\b")
-_BRACKETED = ("[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "[@", "(@", "{@", "arroba")
+_digit_word = rf"\b(?:{_word})\b"
+# What a rewritten stretch needs beside it to become part of an identifier: brackets hold their sign, a "dot" stands alone, a spelled digit has
+# another digit next to it, spelled or not, and a "plus" stands before one.
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_at}|{_dot}|[@.])\s*[\])}}>]", re.I)
+_APART = re.compile(r"[^\w]+")
+_DOT_WORD = re.compile(rf"\b(?:{_dot})\b", re.I)
+_SPELLED = re.compile(rf"{_digit_word}[\s,.()+-]+(?:[0-9]|{_digit_word})|[0-9][\s,.()+-]+{_digit_word}", re.I)
+_PLUS_WORD = re.compile(rf"\b(?:{_plus})\s+(?:{_digit_word}|[0-9]\b)", re.I)
 
 
 def plain(text: str) -> list[tuple[str, int, int]]:
@@ -194,14 +199,16 @@ def _rewritten(match: re.Match) -> str:
 
 
 def is_suspect(text: str) -> bool:
-    """Whether a text holds anything that the transducer's identifiers need."""
+    """Whether the transducer may rewrite anything that an identifier could cover; texts without it need no copy.
+
+    It leaves out only what cannot matter: a spelled digit with no digit near it, as every identifier with digits has several.
+    """
     if not text.isascii() and _ODD.search(text):
         return True
-    low = text.lower()
-    if any(w in low for w in _BRACKETED) or any(w in low for w in DOT_WORDS) and _DOT_WORD.search(low):
+    if _BRACKETED.search(text) or _DOT_WORD.search(text) or _PLUS_WORD.search(text):
         return True
-    words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
-    return not DIGIT_WORDS.keys().isdisjoint(words) and _SPELLED.search(low) is not None
+    words = _APART.sub(" ", text.lower()).split()
+    return not DIGIT_WORDS.keys().isdisjoint(words) and _SPELLED.search(text) is not None
 
 
 def find(text: str | None) -> list[dict]:

@@ -86,3 +86,34 @@ def test_documents(spark):
     assert masked.columns == docs.columns and masked.filter("text LIKE '%@%'").isEmpty()
     assert masked.filter("text IS NULL").count() == 1
     assert pii.find_personal_data(empty_documents(spark)).isEmpty()
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("bob [  at  ] example.com", "email"),
+        ("bob (chez) example.com", "email"),
+        ("bob<@>example.com", "email"),
+        ("bob[ @ ]example.com", "email"),
+        ("bob ＠ example.com", "email"),
+        ("4111 1111 1111 111 one", "card"),
+        ("4111 1111 one 111 1111", "card"),
+        ("+1 five 5 5 five 1 2 3 4 5 6", "phone"),
+        ("plus 4 9 1 2 3 4 5 6 7 8", "phone"),
+        ("192.168.one.1", "ip"),
+    ],
+)
+def test_single_disguises_are_found(text, kind):
+    found = [(x["kind"], x["start"], x["end"]) for x in pii.find(f"see {text}, please")]
+    assert (kind, 4, 4 + len(text)) in found
+
+
+def test_the_filter_drops_no_spans(monkeypatch):
+    rng = random.Random(12)
+    units = ["one", "un", "5", "12", "4111 1111 1111 111", "1", "+", ".", ",", "-", "(", ")", "[", "]", "@", "at", "dot", "plus", "point", "bob", "example.com", "＠", "о", "​", "the", "<", ">"]
+    texts = ["".join(rng.choice(units) + rng.choice(["", " ", " ", "  ", "\n"]) for _ in range(rng.randint(3, 25))) for _ in range(4000)]
+    found = [pii.find(t) for t in texts]
+    assert 50 < sum(any(x["disguised"] for x in f) for f in found)
+    monkeypatch.setattr(pii, "is_suspect", lambda _: True)
+    for text, f in zip(texts, found, strict=True):
+        assert pii.find(text) == f, repr(text)

@@ -44,7 +44,7 @@ def op6_histogram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(load(spark, sf_dir, "documents"), shingle=2, percent=80)
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from fixtures import clashing, empty_documents, odd_documents, odd_rows
 from pyspark.sql import functions as F
 
-from tablecheck.llm import near_duplicates, nearest, repeated_passages
+from tablecheck.llm import near_duplicates, nearest, queries, repeated_passages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,6 +114,29 @@ def test_repeated_ids_go_only_with_equal_or_linked_texts(spark):
         assert own == [(None, b)]  # the first text of the class
 
 
+@pytest.mark.parametrize("percent, shared", [(55, 284), (95, 390)])
+def test_large_sets_at_other_thresholds(spark, percent, shared):
+    rows = []
+    for k in range(40):
+        words = [f"{k}w{i}" for i in range(shared)]
+        for side in "ab":
+            rows.append((len(rows), " ".join([*words, *[f"{k}{side}{i}" for i in range(400 - shared)]]), "en", "s", 0))
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, DOCS), 1, percent).collect()
+    assert 100 * shared >= percent * (800 - shared)
+    assert {r["doc_id"]: r["component_id"] for r in found} == {r[0]: r[0] // 2 * 2 for r in rows}
+
+
+def test_least_shared_values():
+    assert [near_duplicates.least_shared(p) for p in (51, 80, 99)] == [15, 36, 58]
+
+
+def test_kept_of_the_query_is_that_of_the_contract(spark, monkeypatch):
+    rows = [(1, "same text", "en", "s", 0), (1, "same text", "en", "s", 0), (2, " ", "en", "s", 0), (2, "", "en", "s", 0), (3, "Same Text", "en", "s", 0), (None, None, "en", "s", 0)]
+    monkeypatch.setattr(queries, "load", lambda *_: spark.createDataFrame(rows, DOCS))
+    found = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in queries.op7_bottom_k_near_duplicates(spark, "").collect())
+    assert found == sorted([("1", "1", True)] * 2 + [("2", "2", True)] * 2 + [("3", "1", False), ("None", "None", True)])
+
+
 def test_components_of_a_long_path(spark):
     path = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500)]
     found = near_duplicates.components(spark.createDataFrame(path, "a long, b long")).collect()

@@ -138,33 +138,38 @@ def _exact_counts(df: DataFrame) -> DataFrame:
 
 
 def _approximate_counts(df: DataFrame) -> DataFrame:
-    """The same counts in one pass without any shuffle of values; distinct counts are sketches.
+    """The same counts in one pass without any shuffle of values; distinct counts are sketches of native values.
 
-    Text is tested in a projection below the aggregate, once per cell; typed
-    columns need no test.
+    A column has the metrics of its type only. Text is tested in a projection
+    below the aggregate, once per cell; typed columns need no test.
     """
     tested: list[Column] = []
     found: dict[str, dict[str, Column]] = {}
     for i, f in enumerate(df.schema.fields):
-        value, dtype = names.col(f.name), f.dataType
-        v, number = F.col(f"v{i}"), F.col(f"number{i}")
-        tested.append((value if ty.can_be_grouped(dtype) else values.as_text(value, dtype)).alias(f"v{i}"))
-        tested.append(values.number_of(value, dtype).alias(f"number{i}"))
-        counts = {"row_count": F.count(F.lit(1)), "numeric_count": F.count(number)}
-        counts |= {"numeric_sum": F.sum(number), "numeric_min": F.min(number), "numeric_max": F.max(number)}
+        dtype, v = f.dataType, F.col(f"v{i}")
+        tested.append((names.col(f.name) if ty.can_be_grouped(dtype) else values.as_text(names.col(f.name), dtype)).alias(f"v{i}"))
+        number, counts = None, {}
         if ty.is_text(dtype):
-            tested.append(values.is_boolean_text(value).alias(f"boolean{i}"))
-            tested.append((values.as_moment(value).isNotNull() & values.as_number(value).isNull()).alias(f"date{i}"))
-            v = F.when(v != "", v)
+            text = names.col(f.name)
+            tested.append(values.as_number(text).alias(f"number{i}"))
+            tested.append(values.is_boolean_text(text).alias(f"boolean{i}"))
+            tested.append((values.as_moment(text).isNotNull() & values.as_number(text).isNull()).alias(f"date{i}"))
+            v, number = F.when(v != "", v), F.col(f"number{i}")
             counts |= {"boolean_count": F.count_if(f"boolean{i}"), "date_count": F.count_if(f"date{i}")}
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            number = values.number_of(v, dtype)
+        elif ty.is_numeric(dtype):
+            number = v.cast("double")
         elif isinstance(dtype, T.BooleanType):
             counts["boolean_count"] = F.count(v)
         elif ty.is_temporal(dtype):
             counts["date_count"] = F.count(v)
-        counts |= {"present_count": F.count(v), "distinct_count": F.approx_count_distinct(v)}
-        found[f.name] = counts
+        if number is not None:
+            counts |= {"numeric_count": F.count(number), "numeric_sum": F.sum(number), "numeric_min": F.min(number), "numeric_max": F.max(number)}
+        distinct = F.approx_count_distinct(values.plain_zero(v, dtype) if ty.can_be_grouped(dtype) else v)
+        found[f.name] = {"row_count": F.count(F.lit(1)), "present_count": F.count(v), "distinct_count": distinct, **counts}
     known = spread(df).select(*[names.col(f.name) for f in df.schema.fields], *tested)
-    return column_metrics(known, lambda name, _: found[name], _COUNTS, df.columns).fillna(0, ["boolean_count", "date_count"])
+    return column_metrics(known, lambda name, _: found[name], _COUNTS, df.columns).fillna(0, ["numeric_count", "boolean_count", "date_count"])
 
 
 def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:

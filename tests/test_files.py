@@ -50,6 +50,21 @@ def test_doctor_reports_broken_files_and_checks_the_rest(spark, broken):
     assert advice.count() == advice.distinct().count() > 2
 
 
+def test_doctor_of_a_folder_names_every_table(spark, broken, tmp_path):
+    spark.range(300).selectExpr("id", "CASE WHEN id > 200 THEN 'x' END AS t").repartition(2).write.parquet(str(tmp_path / "in" / "parts"))
+    spark.range(5).selectExpr("id AS other", "1 AS same").coalesce(1).write.parquet(str(tmp_path / "in" / "sub" / "more.parquet"))
+    (tmp_path / "in" / "notes.csv").write_text("a\n1\n")
+    (tmp_path / "in" / "bad.parquet").write_bytes(b"PAR1 nothing else")
+    found = doctor.doctor_folder(spark, str(tmp_path / "in")).cache()
+    assert {r.table for r in found.select("table").distinct().collect()} == {"parts", "sub/more.parquet", "bad.parquet"}
+    told = {(r.table, r.category, r.message) for r in found.filter("level <> 'pass'").collect()}
+    assert ("parts", "data_quality", "high_null_ratio") in told and ("sub/more.parquet", "statistics", "one_value") in told
+    assert ("bad.parquet", "integrity", "unreadable") in told and not any(t == "parts" and c == "integrity" for t, c, _ in told)
+    assert found.filter("level <> 'pass' AND recommendation IS NULL").isEmpty()
+    with pytest.raises(ValueError):
+        doctor.doctor_folder(spark, str(tmp_path / "in" / "notes.csv"))
+
+
 def test_doctor_of_files_that_differ(spark, folder):
     found = doctor.doctor(spark, folder)
     assert found.filter("category = 'data_quality' AND message = 'high_null_ratio' AND subject = 'w'").count() == 1

@@ -73,7 +73,8 @@ def test_long_values_are_told_apart_beyond_any_prefix(spark):
     assert profile.profile_columns(df).first().distinct_count == 2
     assert profile.duplicate_rows(df).first()[0] == 1
     top = profile.top_values(df).orderBy("rank").collect()
-    assert [(r.value, r.value_count) for r in top] == [("x" * 23 + "...", 2), ("x" * 23 + "...", 1)]
+    assert [(r.value, r.value_count) for r in top] == [("x" * 500 + "a", 2), ("x" * 500 + "b", 1)]
+    assert profile.top_values_text(df).first().top_values == "x" * 23 + "... (2), " + "x" * 23 + "... (1)"
 
 
 def test_long_numbers_are_numbers(spark):

@@ -151,11 +151,28 @@ def list_files(spark: SparkSession, root: str | list[str], names: str | None = N
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = load_paths(reader.option("pathGlobFilter", names) if names else reader, roots)
     columns = [plain_path(F.col("path")).alias("path"), F.col("length").alias("file_size")]
+    sized, empty = found.select(*columns), _empty_files(spark, found)
     if not content:
-        return found.select(*columns)
+        return sized.unionByName(empty)
     # The filters reach the reader, which opens no file they leave out.
     short = found.filter(F.col("length") <= LONGEST_CONTENT).select(*columns, "content")
-    return short.unionByName(found.filter(F.col("length") > LONGEST_CONTENT).select(*columns, F.lit(None).cast("binary").alias("content")))
+    long = found.filter(F.col("length") > LONGEST_CONTENT).select(*columns, F.lit(None).cast("binary").alias("content"))
+    return short.unionByName(long).unionByName(empty.withColumn("content", F.lit(b"")))
+
+
+def _empty_files(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """``path, file_size`` of files without a byte, which a scan leaves out: those of Spark's own list that it does not give.
+
+    The list stays in the JVM, where the scan holds it anyway.
+    """
+    jvm, named = spark._jvm, found._jdf.inputFiles()
+    objects = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, len(named))  # the type that asList takes
+    jvm.java.lang.System.arraycopy(named, 0, objects, 0, len(named))
+    listed = jvm.java.util.Arrays.asList(objects)
+    every = DataFrame(spark._jsparkSession.createDataset(listed, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    paths = every.select(path_of_uri(F.col("value")).alias("path")).distinct()
+    seen = found.select(plain_path(F.col("path")).alias("path"))
+    return paths.join(seen, "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("file_size"))
 
 
 def files_to_open(spark: SparkSession, root: str | list[str], names: str | None = None) -> DataFrame:

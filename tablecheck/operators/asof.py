@@ -80,8 +80,9 @@ def _fill_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             target = pa.schema([*[pa.field(f.name, f.type) for f in batch.schema], pa.field("part", pa.int32())])
         if not batch.num_rows:
             continue
-        rows = pa.table(batch) if last is None else pa.concat_tables([last, pa.table(batch)])
-        rows = rows.combine_chunks()
+        # Batches say of some columns that they are never null, the row that goes on does not: the types are the same.
+        rows = pa.Table.from_arrays(batch.columns, schema=pa.schema(list(target)[:-1]))
+        rows = pa.concat_tables([rows] if last is None else [last, rows]).combine_chunks()
         turn = rows["turn"].to_numpy()
         n = len(turn)
         by = rows["by"].combine_chunks()

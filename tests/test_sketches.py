@@ -125,6 +125,21 @@ def test_asof_keys_that_span_partitions(spark, parts):
     assert got == {i: expected(k, t) for i, k, t in left}
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_asof_over_many_batches_of_a_partition(spark, how):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        a = spark.sql("SELECT id, id % 3 AS k, id AS t FROM range(300)")
+        b = spark.sql("SELECT id * 40 AS rt, id % 3 AS rk, id AS v FROM range(7)")
+        got = {r.id: r.v for r in asof.asof_join(a, b, "t", "rt", "k", "rk", how).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    wanted = {i: max((v for v in range(7) if v % 3 == i % 3 and v * 40 <= i), default=None) for i in range(300)}
+    assert got == {i: v for i, v in wanted.items() if how == "left" or v is not None}
+
+
 def test_asof_with_nested_keys_and_rows(spark):
     a = spark.sql("SELECT struct('x', id % 2) AS k, CAST(id AS INT) AS t, map('a', id) AS m FROM range(20)")
     b = spark.sql("SELECT struct('x', id % 2) AS rk, CAST(id * 5 AS INT) AS rt, array(id) AS r FROM range(4)")

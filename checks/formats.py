@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.operators import dataset, doctor
-from tablecheck.plans.files import footers
+from tablecheck.plans.files import footers, qualified, relative_path
 from tablecheck.plans.small import small_frame
 from tablecheck.plans.storage import scratch_folder
 from tablecheck.sinks import export
@@ -93,7 +93,9 @@ def mounted_views(spark, sf_dir):
 def footer_rows(spark, sf_dir):
     """Rows per table as the footers of all files state them, beside a count of the data."""
     stated = footers(spark, sf_dir).filter("row_group IS NULL")
-    return stated.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "row_count")
+    # A table is a file, or a folder of part files.
+    table = F.regexp_extract(relative_path(qualified(spark, sf_dir), F.col("path")), r"^(.+?)\.parquet(/|$)", 1)
+    return stated.groupBy(table.alias("name")).agg(F.sum("row_count").alias("row_count"))
 
 
 QUERIES = {f"round_trip_{fmt}": partial(_round_trip, fmt) for fmt in FORMATS} | {

@@ -124,7 +124,8 @@ def _delimited(spark: SparkSession, root: str, family: str, headers: DataFrame)
     """Rows and column types of all delimited files of a kind, in one distributed read.
 
     Columns are read by position as text and tested per file and position;
-    the widest header bounds their number.
+    the widest header bounds their number. A column without a value in its
+    file is of the type it has in all other files of the folder, else text.
     """
     width = headers.agg(F.coalesce(F.max(F.size("columns")), F.lit(0)).alias("w")).first().w
     if not width:
@@ -143,18 +144,33 @@ def _delimited(spark: SparkSession, root: str, family: str, headers: DataFrame)
         F.every(F.when(here, values.is_boolean_text(F.col("v")))).alias("boolean"),
         F.every(F.when(here, number.isNull() & values.as_moment(F.col("v")).isNotNull())).alias("moment"),
     )
-    kind = F.when(F.col("boolean"), "BOOLEAN").when(F.col("number"), "NUMERIC").when(F.col("moment"), "TEMPORAL").otherwise("TEXT")
+    kind = F.when(F.col("boolean"), "BOOLEAN").when(F.col("number"), "NUMERIC").when(F.col("moment"), "TEMPORAL").when(F.col("present") > 0, "TEXT")
     by_file = tested.groupBy(path_of_uri(F.col("uri")).alias("path")).agg(
         F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pos", kind))).alias("kinds")
     )
     typed = F.transform(
         "columns",
-        lambda c, i: F.struct(c["name"], c["path"], F.coalesce(F.try_element_at("kinds", i), F.lit("TEXT")).alias("type_signature")),
+        lambda c, i: F.struct(c["name"], c["path"], F.try_element_at("kinds", i).alias("type_signature")),
     )
     joined = headers.drop("row_count").join(by_file, "path", "left")
-    return joined.select(
+    return _settled(stored(joined.select(
         "path", F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).alias("row_count"), typed.alias("columns"), "error"
+    )))
+
+
+def _settled(files: DataFrame) -> DataFrame:
+    """Columns without a type take the one that the other files of the folder agree on, else text: an empty part contradicts no other."""
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    cells = files.select("path", folder, F.posexplode("columns").alias("pos", "c")).select("path", "folder", "pos", "c.name", "c.type_signature")
+    kind = F.col("type_signature")
+    agreed = cells.filter(kind.isNotNull()).groupBy("folder", "name").agg(F.min(kind).alias("usual"), F.max(kind).alias("most")).filter("usual = most").drop("most")
+    untyped = cells.filter(kind.isNull()).join(agreed, ["folder", "name"], "left")
+    by_file = untyped.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("usual", F.lit("TEXT"))))).alias("usual"))
+    settled = F.transform(
+        "columns",
+        lambda c, i: F.struct(c["name"], c["path"], F.coalesce(c["type_signature"], F.try_element_at("usual", i)).alias("type_signature")),
     )
+    return files.join(by_file, "path", "left").select("path", "row_count", settled.alias("columns"), "error")
 
 
 def _json(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:

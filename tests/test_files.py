@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from checks import formats
 from tablecheck.operators import dataset, doctor, schema
 from tablecheck.plans.files import list_files
 
@@ -324,3 +325,25 @@ def test_names_with_dots(spark, tmp_path):
     spark.sql("SELECT 1 AS `a.b`, named_struct('c.d', 2, 'e', named_struct('f', 3)) AS g").write.parquet(str(tmp_path / "n.parquet"))
     found = {r.path: (r.name, r.parent_path, r.depth) for r in schema.parquet_schema(spark, str(tmp_path / "n.parquet")).collect()}
     assert found == {"a.b": ("a.b", None, 1), "g.c.d": ("c.d", "g", 2), "g.e.f": ("f", "g.e", 3)}
+
+
+def test_parts_without_values_take_the_types_of_the_others(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-0.csv").write_text("id,day,word,mixed\n")
+    (tmp_path / "t" / "part-1.csv").write_text("id,day,word,mixed\n1,2024-01-01,x,1\n")
+    (tmp_path / "t" / "part-2.csv").write_text("id,day,word,mixed\n2,,y,z\n")
+    (tmp_path / "alone.csv").write_text("id\n")
+    scan = dataset.scan_dataset(spark, str(tmp_path))
+    got = {r.relative_path: (r.row_count, [c.type_signature for c in r.columns]) for r in scan.collect()}
+    assert got == {
+        "t/part-0.csv": (0, ["NUMERIC", "TEMPORAL", "TEXT", "TEXT"]),
+        "t/part-1.csv": (1, ["NUMERIC", "TEMPORAL", "TEXT", "NUMERIC"]),
+        "t/part-2.csv": (1, ["NUMERIC", "TEMPORAL", "TEXT", "TEXT"]),
+        "alone.csv": (0, ["TEXT"]),
+    }
+
+
+def test_footer_rows_of_tables_in_several_files(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "a.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "b.parquet"))
+    assert rows(formats.footer_rows(spark, str(tmp_path))) == [("a", 10), ("b", 4)]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -310,3 +311,16 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(nearest.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(nearest.hadamard(nearest.hadamard(x)), x)
+
+
+def test_common_values_of_two_full_blocks_in_little_memory():
+    nd = near_duplicates
+    rng = np.random.default_rng(3)
+    few = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(50)]
+    assert nd._common(few).tolist() == [[len(np.intersect1d(a, b)) for b in few] for a in few]
+    half = [np.sort(rng.integers(-(2**62), 2**62, nd.WHOLE)) for _ in range(nd.BLOCK)]
+    tracemalloc.start()
+    met = nd._common([*half, *half])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (met[: nd.BLOCK, nd.BLOCK :].diagonal() == nd.WHOLE).all() and most < 40e6

@@ -28,6 +28,8 @@ CODECS = ("uncompressed", "snappy", "gzip", "brotli", "zstd")
 MOMENTS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"}
 EXPORT_FORMATS = ("csv", "tsv", "psv", "json", "jsonl", "ndjson", "parquet", "avro", "orc", "arrow", "feather", "ipc")
 JOBS_AT_ONCE = 4
+# Rows of a JSON array or delimited file: one task reads such a file whole where values have line breaks.
+ROWS_PER_FILE = 50_000
 
 
 @dataclass(frozen=True)
@@ -111,11 +113,12 @@ def create_parquet(
 
 
 def json_array_lines(df: DataFrame) -> DataFrame:
-    """Lines of a JSON array per partition: ``[``, the rows with commas between, ``]``.
+    """Lines of JSON arrays of ``ROWS_PER_FILE`` rows: ``[``, the rows with commas between, ``]``; the last array of a partition may be shorter.
 
     Rows stream through as Arrow text; a partition's text is never held as a whole.
     """
     objects = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", **MOMENTS}).alias("value"))
+    most = ROWS_PER_FILE
 
     def bracket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -124,13 +127,16 @@ def json_array_lines(df: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([values], names=["value"])
 
         yield lines(pa.array(["["], pa.string()))
-        first = True
+        held = 0
         for batch in batches:
             values = batch.column(0)
-            if first and len(values):
-                yield lines(values.slice(0, 1))
-                values, first = values.slice(1), False
-            yield lines(pc.binary_join_element_wise(pa.scalar("", values.type), values, pa.scalar(",", values.type)))
+            while len(values):
+                if held == most:
+                    yield lines(pa.array(["]", "["], pa.string()))
+                    held = 0
+                taken = values.slice(0, most - held if held else 1)
+                yield lines(pc.binary_join_element_wise(pa.scalar("", values.type), taken, pa.scalar(",", values.type)) if held else taken)
+                values, held = values.slice(len(taken)), held + len(taken)
         yield lines(pa.array(["]"], pa.string()))
 
     return objects.mapInArrow(bracket, "value string")
@@ -158,9 +164,10 @@ def export_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "
     rows = counted.rows
     if fmt in DELIMITERS:
         writer = rows.write.mode(mode).options(**MOMENTS).option("header", True).option("sep", DELIMITERS[fmt])
-        writer.option("escape", '"').csv(path)
+        writer.option("escape", '"').option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
     elif fmt == "json":
-        json_array_lines(rows).write.mode(mode).text(path)
+        # A file for each array: its rows and two brackets.
+        json_array_lines(rows).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE + 2).text(path)
     elif fmt in ("jsonl", "ndjson"):
         rows.write.mode(mode).options(**MOMENTS).option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":

@@ -1,3 +1,5 @@
+import json
+
 import pyarrow.parquet as pq
 import pytest
 from conftest import rows, same_rows
@@ -73,3 +75,16 @@ def test_saved_copy(spark, tmp_path):
     assert spark.read.parquet(out).dtypes == [("id", "string"), ("t", "string")]
     with pytest.raises(Exception):
         export.save_edited_copy(df, "src.parquet", out)
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_texts_with_line_breaks_are_written_in_files_of_bounded_length(spark, tmp_path, monkeypatch, fmt):
+    monkeypatch.setattr(export, "ROWS_PER_FILE", 7)
+    df = spark.range(50).selectExpr("id", "concat('a\n\"', id, ',]') AS t").coalesce(2)
+    path = tmp_path / f"t.{fmt}"
+    done = export.export_table(df, str(path), fmt)
+    parts = [f.read_text() for f in path.glob("part-*")]
+    assert done.rows == 50 and done.files == len(parts) == 8
+    if fmt == "json":
+        assert sorted(len(json.loads(p)) for p in parts) == [4, 4, 7, 7, 7, 7, 7, 7]
+    assert rows(src.read_table(spark, str(path), {"multi_line": True}).select(F.col("id").cast("long"), "t")) == rows(df)

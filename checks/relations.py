@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablecheck.operators import compare, dataset, doctor, edits, schema
 from tablecheck.plans.files import access_settings, file_system
 from tablecheck.plans.small import small_frame
-from tablecheck.plans.storage import scratch_folder, stored
+from tablecheck.plans.storage import scratch_folder, shuffle_partitions, stored
 from tablecheck.sinks import export
 from tablecheck.sources import catalog, options, tables
 
@@ -121,7 +121,7 @@ def workbooks_scan(spark, sf_dir):
                     sink.write(_sheet([columns, *cells]))
                 yield pd.DataFrame({"written": [len(rows)]})
 
-    spread = orders.repartition(4, "o_orderkey").select(*[F.col(c).cast("string").alias(c) for c in columns])
+    spread = orders.repartition(shuffle_partitions(spark), "o_orderkey").select(*[F.col(c).cast("string").alias(c) for c in columns])
     spread.mapInPandas(write, "written long").agg(F.sum("written")).first()
     found = tables.read_table(spark, folder, {"format": "workbook", "infer_types": True})
     return found.select(*[F.col(c).cast(t).alias(c) for c, t in orders.dtypes])

@@ -224,3 +224,10 @@ def test_unique_columns(spark):
     df = spark.sql("SELECT 1 AS x, 2 AS x, 3 AS ` `, 4 AS x_2")
     assert tables.unique_columns(df).columns == ["x", "x_3", "column", "x_2"]
     assert same_rows(df, df)
+
+
+def test_workbooks_are_parsed_once(spark, tmp_path):
+    sheet(tmp_path / "a.xlsx", {1: {"A": "id", "B": "day"}, 2: {"A": 1, "B": "2024-01-01"}, 3: {"A": 2}})
+    got = tables.read_table(spark, str(tmp_path), {"format": "workbook", "infer_types": True})
+    assert rows(got.select("id", F.col("day").cast("string"))) == [(1, "2024-01-01"), (2, None)]
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()

@@ -3,11 +3,13 @@
 import datetime
 import decimal
 import random
+import re
 
 import pytest
-from conftest import rows
+from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
+from checks import sql_surface
 from tablecheck.operators import asof, profile, sketches, smartdiff
 
 
@@ -153,3 +155,28 @@ def test_asof_shuffles_once(spark, tables):
     views = events.filter("event_type = 'view'").selectExpr("user_id AS u", "ts AS vt", "event_id AS v")
     text = asof.asof_join(events, views, "ts", "vt", "user_id", "u")._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") <= 1  # over a row for each partition
+
+
+def test_sketches_beside_an_exact_count_are_one_for_each_group(spark):
+    df = sql_surface.QUERIES["g_approx"](spark, SF_DIR)
+    assert all(all(r[1:]) for r in df.collect())
+    nodes = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ObjectHashAggregate(" in x]
+    assert nodes and not any("l_partkey" in x.split("functions=")[0] for x in nodes)
+    assert not any(re.search(r"(?<!approx_)percentile\(", x) for x in nodes)  # holds each value of a group
+
+
+def test_percentiles_by_rank_are_those_of_all_values(spark):
+    rng = random.Random(3)
+    data = [(g, v, m) for g in range(300) for m in [rng.choice([1.0, 2.0, rng.random() * 3])] for v in rng.choices([None, 0.0, 1.0, 2.0, 3.0, rng.random() * 3], k=rng.choice([1, 2, 3, 26, 51]))]
+    filled = {g for g, v, _ in data if v is not None}
+    df = spark.createDataFrame([(g, v, m if g in filled else None) for g, v, m in data], "g int, v double, m double")
+    for low, high in ((0.48, 0.52), (0.86, 0.94), (0.0, 1.0), (0.25, 0.5)):
+        both = df.groupBy("g", "m").agg(F.expr(sql_surface._between("v", "m", low, high)).alias("a"), F.expr(f"m BETWEEN percentile(v, {low}) AND percentile(v, {high})").alias("b"))
+        assert both.filter("NOT a <=> b").isEmpty() and both.filter("a").count() > 20
+
+
+def test_approximate_values_of_groups_without_values(spark, tmp_path):
+    row = "l_returnflag string, l_partkey long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame([(None, 1, None, None), ("A", None, 2.0, 3.0)], row).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(sql_surface.QUERIES["g_approx"](spark, str(tmp_path)))
+    assert got == [("A", 0, True, True, True, True), (None, 1, True, True, None, None)]

@@ -38,8 +38,9 @@ def _round_trip_text(fmt, spark, sf_dir):
 
 
 def export_counts(spark, sf_dir):
+    """All tables as packed JSON lines, and the rows written."""
     folder = scratch_folder(spark)
-    done = [(t, export.export_table(load(spark, sf_dir, t), f"{folder}/{t}.jsonl").rows) for t in TABLES]
+    done = [(t, export.export_table(load(spark, sf_dir, t), f"{folder}/{t}.jsonl", compression="gzip").rows) for t in TABLES]
     return small_frame(spark, done, "name string, n_rows bigint")
 
 

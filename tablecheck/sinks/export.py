@@ -26,7 +26,10 @@ from ..sources.options import DELIMITERS, format_of
 CODECS = ("uncompressed", "snappy", "gzip", "brotli", "zstd")
 # Moments as text, with all their digits.
 MOMENTS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"}
+TEXT_FORMATS = (*DELIMITERS, "json", "jsonl", "ndjson")
 EXPORT_FORMATS = ("csv", "tsv", "psv", "json", "jsonl", "ndjson", "parquet", "avro", "orc", "arrow", "feather", "ipc")
+# Codecs of text exports; readers tell them by the extension of the parts.
+TEXT_CODECS = ("gzip", "bzip2", "deflate", "lz4", "snappy")
 JOBS_AT_ONCE = 4
 # Rows of a JSON array or delimited file: one task reads such a file whole where values have line breaks.
 ROWS_PER_FILE = 50_000
@@ -154,22 +157,28 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
-def export_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> Exported:
-    """Write a table to a folder of part files in one of ``EXPORT_FORMATS``; counts rows on the way."""
+def export_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists", compression: str | None = None) -> Exported:
+    """Write a table to a folder of part files in one of ``EXPORT_FORMATS``; counts rows on the way.
+
+    Texts are written plain, or packed by one of ``TEXT_CODECS``: a table is many times as long in text as in Parquet.
+    """
     fmt = (fmt or format_of(path)[1]).lower()
     if fmt not in EXPORT_FORMATS:
         raise ValueError(f"Unknown export format {fmt!r}; use one of {', '.join(EXPORT_FORMATS)}.")
+    if compression is not None and (compression not in TEXT_CODECS or fmt not in TEXT_FORMATS):
+        raise ValueError(f"{fmt} cannot be packed by {compression!r}; {', '.join(TEXT_FORMATS)} can, by {', '.join(TEXT_CODECS)}.")
+    packed = {"compression": compression} if compression else {}
     named = df.toDF(*names.unique_names(df.columns))
     counted = _Counted(_plain(named) if fmt in DELIMITERS else named)
     rows = counted.rows
     if fmt in DELIMITERS:
-        writer = rows.write.mode(mode).options(**MOMENTS).option("header", True).option("sep", DELIMITERS[fmt])
+        writer = rows.write.mode(mode).options(**MOMENTS, **packed).option("header", True).option("sep", DELIMITERS[fmt])
         writer.option("escape", '"').option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
     elif fmt == "json":
         # A file for each array: its rows and two brackets.
-        json_array_lines(rows).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE + 2).text(path)
+        json_array_lines(rows).write.mode(mode).options(**packed).option("maxRecordsPerFile", ROWS_PER_FILE + 2).text(path)
     elif fmt in ("jsonl", "ndjson"):
-        rows.write.mode(mode).options(**MOMENTS).option("ignoreNullFields", False).json(path)
+        rows.write.mode(mode).options(**MOMENTS, **packed).option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
         rows.write.mode(mode).parquet(path)
     elif fmt == "orc":

@@ -1,10 +1,12 @@
+import gzip
 import json
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import rows, same_rows
+from conftest import SF_DIR, rows, same_rows
 from pyspark.sql import functions as F
 
+from checks import formats
 from tablecheck.operators import edits
 from tablecheck.sinks import export
 from tablecheck.sources import tables as src
@@ -88,3 +90,36 @@ def test_texts_with_line_breaks_are_written_in_files_of_bounded_length(spark, tm
     if fmt == "json":
         assert sorted(len(json.loads(p)) for p in parts) == [4, 4, 7, 7, 7, 7, 7, 7]
     assert rows(src.read_table(spark, str(path), {"multi_line": True}).select(F.col("id").cast("long"), "t")) == rows(df)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "tsv", "psv", "json", "jsonl", "ndjson"])
+def test_packed_texts_are_whole(spark, tables, tmp_path, fmt):
+    df = tables["customer"].withColumn("c_name", F.when(F.col("c_custkey") == 3, None).otherwise(F.concat("c_name", F.lit(' "q", x'))))
+    plain, packed = tmp_path / f"plain.{fmt}", tmp_path / f"packed.{fmt}"
+    export.export_table(df.repartition(3), str(plain))
+    done = export.export_table(df.repartition(3), str(packed), compression="gzip")
+    assert done.rows == df.count() and done.files == len(list(packed.glob("part-*.gz"))) == 3
+
+    def text(folder, of):
+        return sorted(line for p in folder.glob("part-*") for line in of(p.read_bytes()).splitlines())
+
+    assert text(packed, gzip.decompress) == text(plain, bytes)
+    assert sum(p.stat().st_size for p in packed.glob("part-*")) * 2 < sum(p.stat().st_size for p in plain.glob("part-*"))
+    back = src.read_table(spark, str(packed))
+    assert same_rows(df, back.select(*[F.col(c).cast(t).alias(c) for c, t in df.dtypes]))
+
+
+def test_codecs_that_do_not_fit_are_refused(spark, tmp_path):
+    for fmt, codec in (("parquet", "gzip"), ("arrow", "gzip"), ("csv", "rar")):
+        with pytest.raises(ValueError):
+            export.export_table(spark.range(3), f"{tmp_path}/x.{fmt}", compression=codec)
+    assert not list(tmp_path.iterdir())
+
+
+def test_export_counts_writes_every_row_packed(spark, tables, monkeypatch, tmp_path):
+    monkeypatch.setattr(formats, "scratch_folder", lambda _: str(tmp_path))
+    got = {r.name: r.n_rows for r in formats.export_counts(spark, SF_DIR).collect()}
+    assert got == {n: t.count() for n, t in tables.items()}
+    for name, count in got.items():
+        parts = list((tmp_path / f"{name}.jsonl").glob("part-*"))
+        assert all(p.name.endswith(".gz") for p in parts) and sum(gzip.decompress(p.read_bytes()).count(b"\n") for p in parts) == count

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions import names, values
 from ..functions import types as ty
-from ..plans.aggregate import COLUMNS_PER_PASS, column_metrics, column_names, distinct_rows, label, value_counts
+from ..plans.aggregate import column_metrics, column_names, distinct_rows, label, passes_over, value_counts
 from ..plans.small import small_frame
-from ..plans.spreading import spread
+from ..plans.spreading import is_small, spread
 from ..plans.storage import stored
 
 # Thresholds of the profile rules.
@@ -96,8 +96,18 @@ def _fixed_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> Dat
     """The frequencies of numbers, Booleans, dates and times in the form ``_counted`` takes: pairs of fixed width, never text."""
     bits = [c.alias(f"{which}{i}") for i, f in fields for which, c in zip("ld", _bits(names.col(f.name), f.dataType))]
     stacked = ", ".join(f"{i}, l{i}, d{i}" for i, _ in fields)
-    long = spread(df.select(*[names.col(f.name) for _, f in fields])).select(*bits).selectExpr(f"stack({len(fields)}, {stacked}) AS (pos, l, d)")
-    counted = long.groupBy("pos", "l", "d").agg(F.count(F.lit(1)).alias("n"))
+    chosen = df.select(*[names.col(f.name) for _, f in fields])
+    # The table decides: a large one is split by its scan, whatever a pass reads of it.
+    wide = (spread(chosen) if is_small(df) else chosen).select(*bits)
+    if len(fields) == 1:
+        # The shortest key: the value alone.
+        i, f = fields[0]
+        which, other = ("d", "l") if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else ("l", "d")
+        counts = wide.groupBy(f"{which}{i}").agg(F.count(F.lit(1)).alias("n"))
+        none = F.lit(None).cast("long" if other == "l" else "double").alias(other)
+        counted = counts.select(F.lit(i).alias("pos"), F.col(f"{which}{i}").alias(which), none, "n")
+    else:
+        counted = wide.selectExpr(f"stack({len(fields)}, {stacked}) AS (pos, l, d)").groupBy("pos", "l", "d").agg(F.count(F.lit(1)).alias("n"))
     rows = [(i, f.name, ty.is_numeric(f.dataType), isinstance(f.dataType, T.BooleanType), float(10 ** getattr(f.dataType, "scale", 0))) for i, f in fields]
     kinds = small_frame(df.sparkSession, rows, "pos int, `column` string, numeric boolean, is_boolean boolean, unit double")
     # One row per column of the schema.
@@ -121,7 +131,7 @@ def _exact_counts(df: DataFrame) -> DataFrame:
     fields = list(enumerate(df.schema.fields))
     fixed = [f for f in fields if _is_fixed(f[1].dataType)]
     texts = [f for f in fields if not _is_fixed(f[1].dataType)]
-    parts = [_fixed_counts(df, fixed[i : i + COLUMNS_PER_PASS]) for i in range(0, len(fixed), COLUMNS_PER_PASS)]
+    parts = [_fixed_counts(df, part) for part in passes_over(df, fixed)]
     parts += [_text_counts(df, texts)] if texts else []
     n, number = F.col("n"), F.col("number")
     return reduce(DataFrame.unionByName, parts).groupBy("pos", "column").agg(

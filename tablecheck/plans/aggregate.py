@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,12 +12,14 @@ from pyspark.sql import types as T
 
 from ..functions import names, values
 from .small import small_frame
-from .spreading import spread
+from .spreading import is_small, spread
 
 # Beyond this many aggregates in one plan node the generated code outgrows the JVM limits.
 AGGREGATES_PER_PASS = 400
 # Columns stacked into (column, value) pairs by one plan node; each pass reads its columns only.
 COLUMNS_PER_PASS = 200
+# Passes over a large table. A task holds the distinct values of the columns of its pass, which may be as many as its rows.
+PASSES = 16
 
 Metrics = dict[str, Column]
 
@@ -62,6 +65,12 @@ def _one_pass(df: DataFrame, wanted: list[tuple[int, str, Metrics]], schema: dic
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+def passes_over(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> list[list[tuple[int, T.StructField]]]:
+    """The columns whose values are counted together: many of a small table, one or a few of a large one, as each pass reads its columns only."""
+    most = COLUMNS_PER_PASS if is_small(df) else min(COLUMNS_PER_PASS, max(1, math.ceil(len(fields) / PASSES)))
+    return [fields[i : i + most] for i in range(0, len(fields), most)]
+
+
 def value_counts(df: DataFrame, labelled: bool = False, fields: list[tuple[int, T.StructField]] | None = None) -> DataFrame:
     """``pos, key[, label], n`` for every distinct text value of every column, or of the given ones.
 
@@ -71,8 +80,7 @@ def value_counts(df: DataFrame, labelled: bool = False, fields: list[tuple[int,
     digest, if ``labelled`` with the value cut for display beside it.
     """
     fields = list(enumerate(df.schema.fields)) if fields is None else fields
-    passes = [fields[i : i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
-    return reduce(DataFrame.unionByName, [_value_counts(df, part, labelled) for part in passes])
+    return reduce(DataFrame.unionByName, [_value_counts(df, part, labelled) for part in passes_over(df, fields)])
 
 
 def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]], labelled: bool) -> DataFrame:

@@ -17,4 +17,8 @@ def spread(df: DataFrame) -> DataFrame:
     shuffle this adds is bounded by ``SMALL_TABLE``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if cores > 1 and estimated_bytes(df) <= SMALL_TABLE else df
+    return df.repartition(cores) if cores > 1 and is_small(df) else df
+
+
+def is_small(df: DataFrame) -> bool:
+    return estimated_bytes(df) <= SMALL_TABLE

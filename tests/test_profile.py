@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tablecheck.operators import asof, charts, profile, query, writetypes
+from tablecheck.plans import aggregate, spreading
 
 
 @pytest.fixture(scope="module")
@@ -220,3 +223,22 @@ def test_range_join_against_brute_force(spark):
     got = rows(asof.range_join(a, "p", b, "lo", "hi").select("i", "j"))
     expected = [(i, j) for i, p in points for j, lo, hi in ranges if None not in (p, lo, hi) and lo <= p <= hi]
     assert got == sorted(expected, key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+@pytest.mark.parametrize("passes", [1, 2, 16])
+def test_large_tables_are_counted_a_few_columns_at_a_time(spark, tables, monkeypatch, passes):
+    df = tables["lineitem"].selectExpr("*", "nullif(l_tax, 0.0) AS hole", "CAST(l_quantity AS DECIMAL(9, 2)) AS exact", "l_tax > 0.04 AS flag", "array(l_linenumber) AS nested", "CAST('NaN' AS DOUBLE) AS nan")
+
+    def counts():
+        found = profile.column_counts(df)
+        return found.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in found.dtypes])
+
+    whole, tops = rows(counts()), rows(profile.top_values(df, 2))
+    monkeypatch.setattr(spreading, "SMALL_TABLE", 0)
+    monkeypatch.setattr(aggregate, "PASSES", passes)
+    large = counts()
+    assert rows(large) == whole and rows(profile.top_values(df, 2)) == tops
+    if passes == 16:
+        # Each pass groups by the values of one column.
+        text = large._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Relation .* parquet", text)) == len(df.columns) and not re.search(r"stack\(([2-9]|1\d)", text)

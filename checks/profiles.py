@@ -18,6 +18,7 @@ from .common import (
     NUMBER,
     PATCHY_COLUMNS,
     PATCHY_TWIN,
+    between_percentiles,
     joined_issues,
     load,
     mixed_events,
@@ -63,11 +64,14 @@ def file_sketches(spark, sf_dir):
     merged = sketches.estimates(sketches.merge_sketches(kept, ["status"]), (0.5,))
     cells = table.select(F.col("o_orderstatus").alias("status"), F.expr("stack(3, 'o_custkey', CAST(o_custkey AS STRING), 'o_totalprice', CAST(o_totalprice AS STRING), 'o_orderpriority', o_orderpriority) AS (column, v)"))
     number = F.col("v").try_cast("double")
-    exact = cells.groupBy("status", "column").agg(F.count_distinct("v").alias("distinct_count"), F.percentile(number, F.array(F.lit(0.47), F.lit(0.53))).alias("around"))
-    both = merged.join(exact, ["status", "column"])
+    exact = cells.groupBy("status", "column").agg(F.count_distinct("v").alias("distinct_count"))
+    # A row per status and column.
+    medians = F.broadcast(merged.select("status", "column", F.get("quantile_estimates", F.lit(0)).alias("median")))
+    middle = F.expr(between_percentiles("number", "median", 0.47, 0.53))
+    ranked = cells.withColumn("number", number).join(medians, ["status", "column"]).groupBy("status", "column", "median").agg(middle.alias("median_close")).drop("median")
+    both = merged.join(exact, ["status", "column"]).join(ranked, ["status", "column"])
     close = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.greatest(F.lit(1.0), 8 * sketches.DISTINCT_ERROR * F.col("distinct_count"))
-    middle = F.get("quantile_estimates", F.lit(0)).between(F.get("around", F.lit(0)), F.get("around", F.lit(1)))
-    return both.select("status", "column", "row_count", "filled_count", "distinct_count", close.alias("distinct_close"), middle.alias("median_close"))
+    return both.select("status", "column", "row_count", "filled_count", "distinct_count", close.alias("distinct_close"), "median_close")
 
 
 def infer_types(spark, sf_dir):

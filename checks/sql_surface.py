@@ -9,26 +9,7 @@ from pyspark.sql import functions as F
 from tablecheck.operators import asof, query, schema
 from tablecheck.sources.tables import read_table
 
-from .common import CHECK_DIR, DATE, MIXED_COLUMNS, MIXED_TWIN, NUMBER, file_name, load, mixed_events, sql, union_all
-
-
-def _between(value: str, estimate: str, low: float, high: float) -> str:
-    """Spark SQL: whether an estimate lies between two percentiles of its group, from the ranks of the estimate and its neighbours; no values are kept.
-
-    A percentile is the value at a rank, or between those at two ranks; it has to be worked out only where the estimate lies between these two.
-    """
-    last = f"(count({value}) - 1)"
-    at_most, less = f"count_if({value} <= {estimate})", f"count_if({value} < {estimate})"
-    least = f"max({value}) FILTER (WHERE {value} <= {estimate})", f"min({value}) FILTER (WHERE {value} > {estimate})"
-    most = f"max({value}) FILTER (WHERE {value} < {estimate})", f"min({value}) FILTER (WHERE {value} >= {estimate})"
-
-    def percentile(rank: str, pair: tuple[str, str]) -> str:
-        return f"(ceil({rank}) - {rank}) * {pair[0]} + ({rank} - floor({rank})) * {pair[1]}"
-
-    first, second = f"{low}D * {last}", f"{high}D * {last}"
-    return f"""CASE WHEN {estimate} IS NOT NULL THEN CASE WHEN ceil({first}) < {at_most} THEN true WHEN floor({first}) >= {at_most} THEN false ELSE {percentile(first, least)} <= {estimate} END
-                AND CASE WHEN floor({second}) >= {less} THEN true WHEN ceil({second}) < {less} THEN false ELSE {percentile(second, most)} >= {estimate} END END"""
-
+from .common import CHECK_DIR, DATE, MIXED_COLUMNS, MIXED_TWIN, NUMBER, between_percentiles, file_name, load, mixed_events, sql, union_all
 
 # name -> (tables, Spark SQL, DuckDB SQL or None when the text is the same)
 SHARED = {
@@ -245,7 +226,7 @@ SHARED = {
                     CASE WHEN count(l_quantity) > 0 THEN kll_sketch_get_quantile_double(kll_sketch_agg_double(l_quantity), CAST(0.9 AS DOUBLE)) END AS most
              FROM lineitem GROUP BY l_returnflag),
            ranked AS (
-             SELECT /*+ BROADCAST(sketches) */ flag, estimate, sketch, {_between("l_extendedprice", "median", 0.48, 0.52)} AS middle, {_between("l_quantity", "most", 0.86, 0.94)} AS upper_end
+             SELECT /*+ BROADCAST(sketches) */ flag, estimate, sketch, {between_percentiles("l_extendedprice", "median", 0.48, 0.52)} AS middle, {between_percentiles("l_quantity", "most", 0.86, 0.94)} AS upper_end
              FROM lineitem JOIN sketches ON l_returnflag <=> flag GROUP BY flag, estimate, sketch, median, most),
            exact AS (SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag)
            SELECT l_returnflag, parts, abs(estimate - parts) <= 0.15 * parts AS counted, abs(sketch - parts) <= 0.15 * parts AS sketched, middle, upper_end

@@ -9,7 +9,7 @@ import pytest
 from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
-from checks import sql_surface
+from checks import common, profiles, sql_surface
 from tablecheck.operators import asof, profile, sketches, smartdiff
 
 
@@ -157,11 +157,12 @@ def test_asof_shuffles_once(spark, tables):
     assert text.count("Exchange hashpartitioning") <= 1  # over a row for each partition
 
 
-def test_sketches_beside_an_exact_count_are_one_for_each_group(spark):
-    df = sql_surface.QUERIES["g_approx"](spark, SF_DIR)
-    assert all(all(r[1:]) for r in df.collect())
+@pytest.mark.parametrize("query", [sql_surface.QUERIES["g_approx"], profiles.file_sketches], ids=["g_approx", "file_sketches"])
+def test_sketches_beside_an_exact_count_are_one_for_each_group(spark, query):
+    df = query(spark, SF_DIR)
+    assert all(x is not False for r in df.collect() for x in r)
     nodes = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ObjectHashAggregate(" in x]
-    assert nodes and not any("l_partkey" in x.split("functions=")[0] for x in nodes)
+    assert nodes and not any(re.search(r"l_partkey|[\[ ]v#", x.split("functions=")[0]) for x in nodes)
     assert not any(re.search(r"(?<!approx_)percentile\(", x) for x in nodes)  # holds each value of a group
 
 
@@ -171,7 +172,7 @@ def test_percentiles_by_rank_are_those_of_all_values(spark):
     filled = {g for g, v, _ in data if v is not None}
     df = spark.createDataFrame([(g, v, m if g in filled else None) for g, v, m in data], "g int, v double, m double")
     for low, high in ((0.48, 0.52), (0.86, 0.94), (0.0, 1.0), (0.25, 0.5)):
-        both = df.groupBy("g", "m").agg(F.expr(sql_surface._between("v", "m", low, high)).alias("a"), F.expr(f"m BETWEEN percentile(v, {low}) AND percentile(v, {high})").alias("b"))
+        both = df.groupBy("g", "m").agg(F.expr(common.between_percentiles("v", "m", low, high)).alias("a"), F.expr(f"m BETWEEN percentile(v, {low}) AND percentile(v, {high})").alias("b"))
         assert both.filter("NOT a <=> b").isEmpty() and both.filter("a").count() > 20
 
 

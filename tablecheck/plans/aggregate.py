@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import names, values
 from .small import small_frame
-from .spreading import is_small, spread
+from .spreading import is_scan, is_small, spread
 
 # Beyond this many aggregates in one plan node the generated code outgrows the JVM limits.
 AGGREGATES_PER_PASS = 400
@@ -66,8 +66,11 @@ def _one_pass(df: DataFrame, wanted: list[tuple[int, str, Metrics]], schema: dic
 
 
 def passes_over(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> list[list[tuple[int, T.StructField]]]:
-    """The columns whose values are counted together: many of a small table, one or a few of a large one, as each pass reads its columns only."""
-    most = COLUMNS_PER_PASS if is_small(df) else min(COLUMNS_PER_PASS, max(1, math.ceil(len(fields) / PASSES)))
+    """The columns whose values are counted together: many of a small table, one or a few of a large one, as each pass reads its columns only.
+
+    What a join or another costly step gives is not worked out again for each pass; store it first if it is large.
+    """
+    most = COLUMNS_PER_PASS if is_small(df) or not is_scan(df) else min(COLUMNS_PER_PASS, max(1, math.ceil(len(fields) / PASSES)))
     return [fields[i : i + most] for i in range(0, len(fields), most)]
 
 

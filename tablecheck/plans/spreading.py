@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from .joining import estimated_bytes
@@ -22,3 +24,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def is_small(df: DataFrame) -> bool:
     return estimated_bytes(df) <= SMALL_TABLE
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether rows come from files without a shuffle or Python on the way, so that reading some columns once more costs little."""
+    return not re.search("Exchange|Python|InArrow|InPandas", df._jdf.queryExecution().executedPlan().toString())

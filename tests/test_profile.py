@@ -242,3 +242,12 @@ def test_large_tables_are_counted_a_few_columns_at_a_time(spark, tables, monkeyp
         # Each pass groups by the values of one column.
         text = large._jdf.queryExecution().optimizedPlan().toString()
         assert len(re.findall(r"Relation .* parquet", text)) == len(df.columns) and not re.search(r"stack\(([2-9]|1\d)", text)
+
+
+def test_columns_of_a_join_are_counted_together(spark, tables, monkeypatch):
+    monkeypatch.setattr(spreading, "SMALL_TABLE", 0)
+    joined = tables["orders"].join(tables["customer"].hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+    fields = list(enumerate(joined.schema.fields))
+    assert aggregate.passes_over(joined, fields) == [fields]
+    assert aggregate.passes_over(tables["orders"], fields[:3]) == [[f] for f in fields[:3]]
+    assert aggregate.passes_over(tables["orders"].filter("o_custkey > 5").withColumn("x", F.upper("o_orderstatus")), fields[:2]) == [[f] for f in fields[:2]]

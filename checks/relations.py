@@ -123,7 +123,7 @@ def workbooks_scan(spark, sf_dir):
 
     spread = orders.repartition(shuffle_partitions(spark), "o_orderkey").select(*[F.col(c).cast("string").alias(c) for c in columns])
     spread.mapInPandas(write, "written long").agg(F.sum("written")).first()
-    found = tables.read_table(spark, folder, {"format": "workbook", "infer_types": True})
+    found = tables.read_table(spark, folder, {"format": "workbook", "infer_types": True, "only_workbooks": True})
     return found.select(*[F.col(c).cast(t).alias(c) for c, t in orders.dtypes])
 
 

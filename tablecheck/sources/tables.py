@@ -23,7 +23,8 @@ def read_table(spark: SparkSession, path: str, options: dict | None = None) -> D
     plus, for any text format, ``schema`` to skip the pass that infers types
     and ``multi_line`` for line breaks inside values (such files are not split).
     ``format`` overrides the extension; ``merge_schema`` unites the columns of
-    Parquet files that differ.
+    Parquet files that differ; ``only_workbooks`` raises an error where a file
+    with the ending of a workbook is none.
     """
     given = dict(options or {})
     family = given.pop("format", None) or format_of(path)[0]
@@ -40,7 +41,7 @@ def read_table(spark: SparkSession, path: str, options: dict | None = None) -> D
         return read_arrow(spark, path)
     if family == "avro":
         return read_avro(spark, path)
-    return read_workbooks(spark, path, chosen)
+    return read_workbooks(spark, path, chosen, bool(given.get("only_workbooks")))
 
 
 def _read_delimited(spark: SparkSession, path: str, chosen: dict, given: dict) -> DataFrame:

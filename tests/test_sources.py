@@ -231,3 +231,29 @@ def test_workbooks_are_parsed_once(spark, tmp_path):
     got = tables.read_table(spark, str(tmp_path), {"format": "workbook", "infer_types": True})
     assert rows(got.select("id", F.col("day").cast("string"))) == [(1, "2024-01-01"), (2, None)]
     assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bad_workbook_is_no_result(spark, tmp_path):
+    body = {1: {"A": "id"}} | {k: {"A": k} for k in range(2, 2500)}
+    for name in ("whole", "cut", "torn", "other"):
+        (tmp_path / name).mkdir()
+        sheet(tmp_path / name / "a.xlsx", {1: {"A": "id"}, 2: {"A": 1}})
+    sheet(tmp_path / "whole" / "b.xlsx", body)
+    content = (tmp_path / "whole" / "b.xlsx").read_bytes()
+    (tmp_path / "cut" / "b.xlsx").write_bytes(content[: len(content) // 2])
+    with zipfile.ZipFile(tmp_path / "whole" / "b.xlsx") as whole, zipfile.ZipFile(tmp_path / "torn" / "b.xlsx", "w") as torn:
+        for part in whole.namelist():
+            text = whole.read(part)
+            torn.writestr(part, text if part != "xl/worksheets/sheet1.xml" else text[: text.index(b'<row r="2400"')])
+    (tmp_path / "other" / "b.xlsx").write_text("no zip")
+    read = lambda name, **more: tables.read_table(spark, str(tmp_path / name), {"format": "workbook", **more})
+    assert read("whole").count() == 2499
+    # The rows before the one that fails had come as a table before.
+    for name in ("cut", "torn"):
+        for header_row in (0, 1):
+            with pytest.raises(ValueError, match="b.xlsx"):
+                read(name, header_row=header_row)
+    with pytest.warns(UserWarning, match="b.xlsx: NotAWorkbook"):
+        assert read("other").count() == 1
+    with pytest.raises(ValueError, match="b.xlsx"):
+        read("other", only_workbooks=True)

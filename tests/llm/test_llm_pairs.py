@@ -324,3 +324,76 @@ def test_common_values_of_two_full_blocks_in_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (met[: nd.BLOCK, nd.BLOCK :].diagonal() == nd.WHOLE).all() and most < 40e6
+
+
+def family(rng, copies, least, most, size=400):
+    """Copies of one text with many edits, whose similarities lie around the threshold and below it."""
+    base = [f"b{k}" for k in range(size)]
+    texts = []
+    for _ in range(copies):
+        words = list(base)
+        for place in rng.sample(range(size), rng.randrange(least, most)):
+            words[place] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return [(k * 11 % copies, t, "en", "s", 0) for k, t in enumerate(texts)]
+
+
+def test_pairs_near_the_threshold_are_no_rows(spark, monkeypatch):
+    rows = family(random.Random(5), 300, 14, 34)  # similarities of two to each other: 0.5 to 0.8
+    made, store = [], near_duplicates.stored
+
+    def watched(df):
+        kept = store(df)
+        if kept.columns[:2] == ["a", "b"]:
+            made.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(near_duplicates, "stored", watched)
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, DOCS), 1, 80).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows, 1)
+    # Of 44,850 pairs more than half were likely by their sketches, and rows, before.
+    assert max(made) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("block, values", [(20, 1 << 19), (512, 8000)])
+def test_families_in_several_blocks(spark, monkeypatch, block, values):
+    rng = random.Random(7)
+    rows = family(rng, 160, 2, 30) + [(1000 + d, "other " + t.replace("b", "c"), *more) for d, t, *more in family(rng, 60, 10, 40)]
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "BLOCK_VALUES", values)
+    seen, place = [], near_duplicates._placed
+    monkeypatch.setattr(near_duplicates, "_placed", lambda members: seen.append(place(members)) or seen[-1])
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, DOCS), 2, 80).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows, 2)
+    placed = seen[0].toPandas()
+    assert placed["own"].max() > 2 and not placed.duplicated(["hub", "i", "j", "own", "node"]).any()
+    # Each pair of different components of a group meets once.
+    own = placed.drop_duplicates(["hub", "node"])
+    for hub, members in own.groupby("hub"):
+        met = placed[placed["hub"] == hub].merge(placed[placed["hub"] == hub], on=["i", "j"])
+        met = met[(met["node_x"] < met["node_y"]) & ((met["own_x"] != met["own_y"]) | (met["i"] == met["j"]))]
+        assert not met.duplicated(["node_x", "node_y"]).any()
+        pairs = members.merge(members, how="cross")
+        pairs = pairs[(pairs["node_x"] < pairs["node_y"]) & (pairs["part_x"] != pairs["part_y"])]
+        assert set(zip(pairs["node_x"], pairs["node_y"])) <= set(zip(met["node_x"], met["node_y"]))
+
+
+def test_common_values_of_two_lists(monkeypatch):
+    nd, rng = near_duplicates, np.random.default_rng(4)
+    some = lambda n, most: [np.unique(rng.integers(0, most, rng.integers(0, 40))) for _ in range(n)]
+    for rare, at_once in ((1, 10), (30, 7), (10**6, 2048)):
+        monkeypatch.setattr(nd, "RARE", rare)
+        monkeypatch.setattr(nd, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(nd, "VALUES_AT_ONCE", at_once)
+        one, two = some(23, 60), some(31, 90)
+        assert nd._common(one).tolist() == [[len(np.intersect1d(a, b)) for b in one] for a in one]
+        assert nd._common(one, two).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
+
+
+def test_spanning_edges():
+    near = np.zeros((7, 7), dtype=bool)
+    for a, b in ((0, 1), (1, 2), (0, 2), (4, 6), (5, 6), (4, 5)):
+        near[a, b] = near[b, a] = True
+    edges = near_duplicates.spanning_edges(near).tolist()
+    assert len(edges) == 4 and {frozenset(e) for e in edges} <= {frozenset(e) for e in np.argwhere(near).tolist()}
+    assert near_duplicates.spanning_edges(np.zeros((3, 3), dtype=bool)).shape == (0, 2)

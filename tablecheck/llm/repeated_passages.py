@@ -19,6 +19,7 @@ Three passes refine the groups, each on what the pass before left unsettled.
 Work is dealt by blocks of documents and by ranges of the gram hash (the leading digit). A block sends each range its distinct grams or
 stretches once, with its smallest doc_id, so a passage that a third of all documents hold is one entry for each block and never one for each
 copy; of the stretches at its edges no range gets more than ``CROWDED``. Texts are shuffled once, compressed, and stored by block; all later passes read them in place.
+Where repeated grams occur a block finds out once, in the second pass, and sends it on to itself for the later ones.
 
 Grams are told apart by 32 bits and their range, stretches by 64 bits more; a chance meeting of grams costs work and no correctness.
 Results: null texts are empty; texts under ``LENGTH`` bytes lose nothing; rows with equal doc_id do not remove from each other; a null doc_id
@@ -122,6 +123,13 @@ class Block:
         joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3 + [np.empty(0, _U)]
         self.doc, self.first, self.last, self.hash = joined
 
+    @classmethod
+    def known(cls, texts: list[bytes], length: int, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> Block:
+        """Occurrences that were found before; without their hashes."""
+        block = cls.__new__(cls)
+        block.texts, block.length, block.doc, block.first, block.last, block.hash = texts, length, doc, first, last, np.empty(0, _U)
+        return block
+
     def grams(self, ranges: int) -> np.ndarray:
         """A range and 32 bits, as one number. The hashes at hand are the least of their windows, so they are mixed once more."""
         mixed = self.hash * _U(0x9E3779B97F4A7C15)
@@ -152,6 +160,21 @@ def _frame(messages: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(messages, columns=["to", "sender", "kind", "a", "b", "c", "d"])
 
 
+def _thin(numbers: np.ndarray) -> bytes:
+    """Whole numbers, packed: the first bytes of all before the second ones."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(numbers.reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
+
+
+def _thick(packed: bytes, kind: str) -> np.ndarray:
+    """What ``_thin`` was given, as one row."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _by_range(grams: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The ranges that sorted gram numbers fall into."""
     ranges = (grams >> _U(32)).astype(np.int64)
@@ -187,14 +210,16 @@ def _repeated_grams(key, messages: pd.DataFrame) -> pd.DataFrame:
     """To each block: its grams that more than one document has."""
     parts = [np.frombuffer(a, "<u4") for a in messages["a"]]
     several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(p)) for p, b in zip(parts, messages["b"], strict=True)])
-    grams, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    grams = np.concatenate(parts)
     order = np.argsort(grams, kind="stable")
     at = _starts(grams[order])
     counts = np.diff(np.append(at, len(order)))
     repeated = np.empty(len(order), dtype=bool)
     repeated[order] = np.repeat((counts > 1) | (np.maximum.reduceat(several[order], at) > 0), counts)
-    out = [_message(int(messages["sender"].iloc[k]), int(key[0]), 2, grams[(owner == k) & repeated]) for k in np.unique(owner[repeated])]
-    return _frame(out)
+    # The grams of a sender lie together, so each is looked at once, however many senders there are.
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    held = [grams[end - len(p) : end][repeated[end - len(p) : end]] for p, end in zip(parts, ends, strict=True)]
+    return _frame([_message(int(sender), int(key[0]), 2, own) for sender, own in zip(messages["sender"].tolist(), held, strict=True) if len(own)])
 
 
 # ---- pass 2: stretches -----------------------------------------------------------------------------------------------------------
@@ -223,19 +248,53 @@ class Stretches:
         self.grams, self.stretch, self.least = grams[self.first], stretch[self.first], docs[self.first]
         self.group = np.empty(len(order), dtype=np.int64)  # of each occurrence
         self.group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
-        self.docs = docs
+        self.docs, self.ranges = docs, list(_by_range(self.grams))
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """What later passes cannot tell from the texts: the occurrences and their groups, and how many stretches each range has.
+
+        Places in a text are below 2^31.
+        """
+        block = self.block
+        numbers = np.stack([np.diff(block.doc, prepend=0), np.diff(block.first, prepend=0), block.last - block.first, self.group]).astype("<i4")
+        runs = np.array([(r, s.stop - s.start) for r, s in self.ranges], dtype="<i8")
+        return _thin(numbers), runs.tobytes()
+
+    @classmethod
+    def unpacked(cls, ids: np.ndarray, texts: list[bytes], length: int, replies: pd.DataFrame) -> Stretches:
+        """What ``packed`` gave, of the message that brings it; without one nothing is repeated."""
+        found, told = cls.__new__(cls), replies[replies["kind"] == 11]
+        numbers = (_thick(told["a"].iloc[0], "<i4") if len(told) else np.empty(0, "<i4")).reshape(4, -1).astype(np.int64)
+        doc, first = np.cumsum(numbers[:2], axis=1)
+        found.block, found.docs, found.group = Block.known(texts, length, doc, first, first + numbers[2]), ids[doc], numbers[3]
+        order = np.lexsort((found.docs, found.group))
+        found.first = order[_starts(found.group[order])]
+        found.least = found.docs[found.first]
+        runs = np.frombuffer(told["b"].iloc[0] if len(told) else b"", "<i8").reshape(-1, 2)
+        found.ranges = [(r, slice(end - n, end)) for (r, n), end in zip(runs.tolist(), np.cumsum(runs[:, 1]).tolist(), strict=True)]
+        return found
 
 
 def _send_stretches(block: int, found: Stretches) -> list[tuple]:
-    return [_message(r, block, 3, found.grams[s].astype("<u4"), found.stretch[s], found.least[s]) for r, s in _by_range(found.grams)]
+    return [_message(r, block, 3, found.grams[s].astype("<u4"), found.stretch[s], _thin(found.least[s])) for r, s in found.ranges]
+
+
+def _send_on(block: int, found: Stretches, ranges: int) -> list[tuple]:
+    """The stretches themselves, for the later passes: past all ranges, each block's on its own."""
+    return [_message(ranges + block, block, 11, *found.packed())]
 
 
 def _least_documents(key, messages: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """To each block, by stretch in the order sent: the smallest document, whether the gram has other stretches, and whether more than the limit."""
+    """To each block, by stretch in the order sent: the smallest document, whether the gram has other stretches, and whether more than the limit.
+
+    What a block sends on to itself (kind 11) goes back as it is.
+    """
+    if messages["kind"].iloc[0] == 11:
+        return messages.assign(to=messages["sender"])
     parts = [np.frombuffer(a, "<u4") for a in messages["a"]]
     grams, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     stretch = np.concatenate([np.frombuffer(b, _U) for b in messages["b"]])
-    docs = np.concatenate([np.frombuffer(c, np.int64) for c in messages["c"]])
+    docs = np.concatenate([_thick(c, "<i8") for c in messages["c"]])
     order = np.lexsort((stretch, grams))
     one, two = _starts(grams[order], stretch[order]), _starts(grams[order])
     least = np.empty(len(order), np.int64)
@@ -244,12 +303,12 @@ def _least_documents(key, messages: pd.DataFrame, limit: int) -> pd.DataFrame:
     is_open, crowded = np.empty(len(order), bool), np.empty(len(order), bool)
     is_open[order] = np.repeat(kinds > 1, np.diff(np.append(two, len(order))))
     crowded[order] = np.repeat(kinds > limit, np.diff(np.append(two, len(order))))
-    ends = np.cumsum([len(p) for p in parts])
+    ends = np.cumsum([len(p) for p in parts]).tolist()
     out = []
-    for k, end in enumerate(ends):
-        s = slice(end - len(parts[k]), end)
+    for sender, part, end in zip(messages["sender"].tolist(), parts, ends, strict=True):
+        s = slice(end - len(part), end)
         # Where another block has a smaller document: it; else the largest number.
-        out.append(_message(int(messages["sender"].iloc[k]), int(key[0]), 4, np.where(least[s] < docs[s], least[s], np.iinfo(np.int64).max), np.packbits(is_open[s]), np.packbits(crowded[s]) if crowded[s].any() else b""))
+        out.append(_message(int(sender), int(key[0]), 4, np.where(least[s] < docs[s], least[s], np.iinfo(np.int64).max), np.packbits(is_open[s]), np.packbits(crowded[s]) if crowded[s].any() else b""))
     return _frame(out)
 
 
@@ -257,7 +316,7 @@ def _settle(found: Stretches, replies: pd.DataFrame) -> tuple[np.ndarray, np.nda
     """For each distinct stretch: the smallest document, and whether its windows must be compared by this block, dealt by gram or by window."""
     least, is_open, crowded = found.least.copy(), np.zeros(len(found.least), dtype=bool), np.zeros(len(found.least), dtype=bool)
     answers = {int(r): told for r, *told in zip(replies["sender"], replies["a"], replies["b"], replies["c"], strict=True)}
-    for r, s in _by_range(found.grams):
+    for r, s in found.ranges:
         told = np.frombuffer(answers[r][0], np.int64)
         is_open[s] = np.unpackbits(np.frombuffer(answers[r][1], np.uint8), count=len(told)).astype(bool) & (told >= least[s])
         if answers[r][2]:
@@ -270,25 +329,35 @@ def _settle(found: Stretches, replies: pd.DataFrame) -> tuple[np.ndarray, np.nda
 
 
 def _send_windows(block: int, found: Stretches, is_open: np.ndarray) -> list[tuple]:
-    out = []
-    for r, s in _by_range(found.grams):
+    import zstandard
+
+    out, pack = [], zstandard.ZstdCompressor(level=1).compress
+    for r, s in found.ranges:
         chosen = np.flatnonzero(is_open[s]) + s.start
         if len(chosen):
             texts = [found.block.stretch(k) for k in found.first[chosen]]
-            out.append(_message(r, block, 5, b"".join(texts), np.array([len(t) for t in texts], "<i4"), found.least[chosen]))
+            out.append(_message(r, block, 5, pack(b"".join(texts)), np.array([len(t) for t in texts], "<i4"), found.least[chosen]))
     return out
 
 
 def equal_groups(rows: np.ndarray) -> np.ndarray:
-    """Numbers of groups of equal rows of bytes, by passes over eight bytes each, first bytes first; -1 for rows without an equal."""
+    """Numbers of groups of equal rows of bytes, by passes over eight bytes each, first bytes first; -1 for rows without an equal.
+
+    Members of a group lie together, so a pass orders only those groups anew whose eight bytes are not all equal.
+    """
     n, length = rows.shape
     group, alive = np.zeros(n, dtype=np.int64), np.arange(n)
-    for at in range(0, length, 8):
-        digit = np.zeros((len(alive), 8), np.uint8)
-        digit[:, : min(8, length - at)] = rows[alive, at : at + 8]
-        value = digit.view(">u8").ravel()
-        order = np.lexsort((value, group[alive]))
-        alive, value = alive[order], value[order]
+    digits = np.zeros((n, -(-length // 8) * 8), np.uint8)
+    digits[:, :length] = rows
+    del rows  # the caller's, if it keeps none
+    for at, digit in enumerate(digits.view(_U).T):
+        value = digit[alive]
+        starts = _starts(group[alive])
+        sizes = np.diff(np.append(starts, len(alive)))
+        unlike = value != np.repeat(value[starts], sizes)
+        mixed = np.flatnonzero(np.repeat(np.add.reduceat(unlike, starts, dtype=np.int64) > 0, sizes)) if len(alive) else alive
+        order = mixed[np.lexsort((value[mixed], group[alive[mixed]])) if at else np.argsort(value[mixed])]
+        alive[mixed], value[mixed] = alive[order], value[order]
         starts = _starts(group[alive], value)
         counts = np.diff(np.append(starts, len(alive)))
         numbers = np.repeat(np.arange(len(starts)), counts)
@@ -364,14 +433,20 @@ def _met_hashes(key, messages: pd.DataFrame) -> pd.DataFrame:
 
 
 def _send_met(block: int, windows: Windows, replies: pd.DataFrame, length: int) -> list[tuple]:
-    return [_message(r, block, 9, windows.bytes[places], np.full(len(places), length, "<i4"), windows.least[places]) for r, places in windows.met(replies)]
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [_message(r, block, 9, pack(windows.bytes[places].tobytes()), np.full(len(places), length, "<i4"), windows.least[places]) for r, places in windows.met(replies)]
 
 
 def _equal_windows(key, messages: pd.DataFrame, length: int) -> pd.DataFrame:
     """To each block: which windows of the stretches (kind 5) or single windows (kind 9) it sent start in a smaller document, as bits."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     sizes = np.concatenate([np.frombuffer(b, "<i4") for b in messages["b"]]).astype(np.int64)
     docs = np.concatenate([np.frombuffer(c, np.int64) for c in messages["c"]])
-    data = np.frombuffer(b"".join(messages["a"]), dtype=np.uint8)
+    data = np.frombuffer(b"".join(map(unpack, messages["a"])), dtype=np.uint8)
     counts = sizes - length + 1
     offsets = np.cumsum(sizes) - sizes
     bases = np.cumsum(counts) - counts
@@ -403,7 +478,7 @@ def _finish(ids: np.ndarray, texts: list[bytes], found: Stretches, replies: pd.D
     # Windows gone, by distinct stretch.
     bits: dict[int, np.ndarray] = Windows(found, crowded, length, ranges).gone(replies) if crowded.any() else {}
     compared = is_open | crowded
-    for r, s in _by_range(found.grams):
+    for r, s in found.ranges:
         chosen = np.flatnonzero(is_open[s]) + s.start
         if len(chosen):
             counts = (found.block.last - found.block.first + 1)[found.first[chosen]]
@@ -421,9 +496,13 @@ def _finish(ids: np.ndarray, texts: list[bytes], found: Stretches, replies: pd.D
     k = np.flatnonzero(~whole & compared[found.group])
     if len(k):
         # Windows gone, stretch after stretch, and where those of each stretch begin.
-        places = [np.flatnonzero(bits[g]) if compared[g] else np.empty(0, np.int64) for g in range(len(compared))]
-        counts = np.array([len(x) for x in places], dtype=np.int64)
-        flat, begins = np.concatenate(places), np.cumsum(counts) - counts
+        chosen = np.flatnonzero(compared)
+        ends = np.cumsum([len(bits[g]) for g in chosen.tolist()])
+        flat = np.flatnonzero(np.concatenate([bits[g] for g in chosen.tolist()]))
+        owner = np.searchsorted(ends, flat, side="right")
+        flat -= np.append(0, ends[:-1])[owner]
+        counts = np.bincount(chosen[owner], minlength=len(compared))
+        begins = np.cumsum(counts) - counts
         group = found.group[k]
         many = counts[group]
         within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
@@ -498,19 +577,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
     def stretches_out(key, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(replies):
             return _frame([])
-        return _frame(_send_stretches(int(key[0]), Stretches(*_opened(rows), length, ranges, replies)))
+        found = Stretches(*_opened(rows), length, ranges, replies)
+        return _frame(_send_stretches(int(key[0]), found) + _send_on(int(key[0]), found, ranges))
 
     def hashes_out(key, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not replies["c"].str.len().any():
             return _frame([])
-        found = Stretches(*_opened(rows), length, ranges, replies[replies["kind"] == 2])
+        found = Stretches.unpacked(*_opened(rows), length, replies)
         crowded = _settle(found, replies[replies["kind"] == 4])[2]
         return _frame(_send_hashes(int(key[0]), Windows(found, crowded, length, ranges)) if crowded.any() else [])
 
     def windows_out(key, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(replies):
             return _frame([])
-        found = Stretches(*_opened(rows), length, ranges, replies[replies["kind"] == 2])
+        found = Stretches.unpacked(*_opened(rows), length, replies)
         _, is_open, crowded = _settle(found, replies[replies["kind"] == 4])
         sent = _send_windows(int(key[0]), found, is_open)
         if crowded.any():
@@ -521,7 +601,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
         if not len(rows):
             return pd.DataFrame({"order_id": [], "no_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept" if texts_out else "kept_sha256": []})
         ids, texts = _opened(rows)
-        found = Stretches(ids, texts, length, ranges, replies[replies["kind"] == 2])
+        found = Stretches.unpacked(ids, texts, length, replies)
         made = _finish(ids, texts, found, replies, length, ranges)
         made.insert(1, "no_id", [none for _, none in sorted(zip(rows["order_id"].tolist(), rows["no_id"].tolist(), strict=True))])
         return made if texts_out else _spans(made)
@@ -535,7 +615,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts_out: bool = False) -
     repeated = by_range(packed.groupBy("block").applyInPandas(grams_out, MESSAGE), _repeated_grams)
     limit = CROWDED
     settled = by_range(by_block(repeated, stretches_out, MESSAGE), lambda key, rows: _least_documents(key, rows, limit))
-    told = repeated.union(settled)
+    told = settled
     if not settled.filter("length(c) > 0").isEmpty():
         told = told.union(by_range(by_block(told, hashes_out, MESSAGE), _met_hashes))
     compared = by_range(by_block(told, windows_out, MESSAGE), lambda key, rows: _equal_windows(key, rows, length))

@@ -397,3 +397,46 @@ def test_spanning_edges():
     edges = near_duplicates.spanning_edges(near).tolist()
     assert len(edges) == 4 and {frozenset(e) for e in edges} <= {frozenset(e) for e in np.argwhere(near).tolist()}
     assert near_duplicates.spanning_edges(np.zeros((3, 3), dtype=bool)).shape == (0, 2)
+
+
+def test_grams_of_a_sender_are_told_apart_once():
+    rng = np.random.default_rng(6)
+    frames, expected = [], {}
+    sent = {k: np.unique(rng.integers(0, 300, rng.integers(0, 60)).astype("<u4")) for k in (4, 9, 2, 30)}
+    for k, grams in sent.items():
+        bits = rng.integers(0, 2, len(grams)).astype(bool)
+        frames.append(repeated_passages._message(7, k, 1, grams, np.packbits(bits)))
+        others = np.concatenate([g for j, g in sent.items() if j != k])
+        several = {int(g) for j, f in zip(sent, frames) for g, b in zip(sent[j], np.unpackbits(np.frombuffer(f[4], np.uint8), count=len(sent[j]))) if b}
+        expected[k] = others
+    replies = repeated_passages._repeated_grams((7,), repeated_passages._frame(frames))
+    got = {int(s): np.frombuffer(a, "<u4").tolist() for s, a in zip(replies["sender"], replies["a"])}
+    told = {int(t): np.frombuffer(a, "<u4").tolist() for t, a in zip(replies["to"], replies["a"])}
+    wanted = {k: [int(g) for g in grams if g in set(expected[k].tolist()) or int(g) in several] for k, grams in sent.items()}
+    assert set(got) == {7} and told == {k: v for k, v in wanted.items() if v}
+
+
+def test_stretches_are_made_once(spark, monkeypatch, tmp_path):
+    log = tmp_path / "made"
+    log.mkdir()
+    make = repeated_passages.Block.__init__
+
+    def logged(self, texts, length):
+        (log / f"{random.SystemRandom().getrandbits(60)}").touch()
+        make(self, texts, length)
+
+    monkeypatch.setattr(repeated_passages.Block, "__init__", logged)
+    ids, texts = np.array([1, 2, 5]), [r[1].encode() for r in passage_rows()[:3]]
+    grams = repeated_passages._send_grams(0, ids, texts, 50, 1)
+    replies = repeated_passages._repeated_grams((0,), repeated_passages._frame(grams))
+    found = repeated_passages.Stretches(ids, texts, 50, 1, replies)
+    on = repeated_passages._frame(repeated_passages._send_on(0, found, 1))
+    assert on["to"].tolist() == [1] and len(list(log.iterdir())) == 2
+    back = repeated_passages.Stretches.unpacked(ids, texts, 50, repeated_passages._least_documents((1,), on, 1))
+    assert len(list(log.iterdir())) == 2  # later passes hash no grams
+    for one, two in ((found, back), (found.block, back.block)):
+        assert all(np.array_equal(getattr(one, c), getattr(two, c)) for c in ("doc", "first", "last", "least", "group", "docs") if hasattr(two, c))
+    assert found.ranges == back.ranges
+    assert [found.block.stretch(k) for k in range(len(found.group))] == [back.block.stretch(k) for k in range(len(back.group))]
+    none = repeated_passages.Stretches.unpacked(ids, texts, 50, replies[:0])
+    assert len(none.least) == len(none.group) == len(none.block.doc) == len(none.ranges) == 0

@@ -440,3 +440,21 @@ def test_stretches_are_made_once(spark, monkeypatch, tmp_path):
     assert [found.block.stretch(k) for k in range(len(found.group))] == [back.block.stretch(k) for k in range(len(back.group))]
     none = repeated_passages.Stretches.unpacked(ids, texts, 50, replies[:0])
     assert len(none.least) == len(none.group) == len(none.block.doc) == len(none.ranges) == 0
+
+
+def test_stage_of_the_pipeline_makes_no_rows_of_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = family(random.Random(9), 240, 4, 11)
+    made, store = [], near_duplicates.stored
+
+    def watched(df):
+        kept = store(df)
+        if kept.columns[:2] == ["a", "b"]:
+            made.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(near_duplicates, "stored", watched)
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 5)})
+    assert max(made) < 4 * len(rows)
